@@ -4,14 +4,16 @@ A key is hot when it has more rows than a task should take. At most ``MAX_HOT``
 other key then has less than 1/``MAX_HOT`` of all rows, so the list is bounded by construction and may be inlined.
 """
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_HOT = 4096
 MAX_SLICES = 4096
 
-# Session settings. Inputs the optimizer estimates below SMALL_BYTES are not searched for hot keys, since a key can
-# then at most hold that much; larger ones are, and a key above GROUP_ROWS rows counts as hot.
+# Session settings. Plans that read less than SMALL_BYTES are not searched for hot keys, since a key can then at
+# most hold that much; larger ones are, and a key above GROUP_ROWS rows counts as hot.
 SMALL_BYTES = "profspark.hot.smallBytes"
 GROUP_ROWS = "profspark.hot.groupRows"
 DEFAULTS = {SMALL_BYTES: 1 << 30, GROUP_ROWS: 4_000_000}
@@ -21,19 +23,34 @@ def setting(df: DataFrame, key: str) -> int:
     return int(df.sparkSession.conf.get(key, str(DEFAULTS[key])))
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate, None where it cannot be read (remote sessions)."""
+def input_bytes(df: DataFrame) -> int | None:
+    """Size of the tables a plan reads, None where it cannot be told (remote sessions)."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
     except AttributeError:
         return None
 
 
 def is_small(df: DataFrame) -> bool:
-    size = estimated_bytes(df)
+    size = input_bytes(df)
     return size is not None and size < setting(df, SMALL_BYTES)
 
 
+def materialized(df: DataFrame, always: bool = False) -> DataFrame:
+    """Cut a plan that several others start from: a checkpoint in the shared folder, unless the input is small.
+
+    The folder is the session's ``spark.checkpoint.dir``; only where none is set, as in tests, a temporary one is used.
+    """
+    if not always and is_small(df):
+        return df
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
 def key_hash(keys: list[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])
 
@@ -41,6 +58,8 @@ def key_hash(keys: list[str]) -> Column:
 def hot_keys(df: DataFrame, keys: list[str]) -> list[tuple[int, int]]:
     """(hash, rows) of the hot keys, largest first. One narrow counting job, none for small inputs.
 
+    ``df`` is run for this, so it should be an input or a materialized result, not a long plan.
+
     Two keys with one hash are treated as one, which only means that a cold key may be handled like a hot one.
     """
     narrow = df.select(key_hash(keys).alias("h"))
@@ -61,15 +80,15 @@ def spread_join(
     right: DataFrame,
     keys: list[str],
     spread_by: str,
+    hot: list[int],
     how: str = "left",
     salts: int = 64,
 ) -> DataFrame:
-    """Equi-join whose left side may hold hot keys; ``right`` has few rows per key.
+    """Equi-join whose left side holds the hot keys ``hot`` (hashes); ``right`` has few rows per key.
 
     Only rows of hot keys are salted, and only the matching rows of ``right`` are repeated, so nothing else grows.
     ``spread_by`` is a left column that varies within a key.
     """
-    hot = [h for h, _ in hot_keys(left, keys)]
     if not hot:
         return left.join(right, keys, how)
     is_hot = key_hash(keys).isin(hot)
@@ -80,3 +99,14 @@ def spread_join(
         .join(right.withColumn("_salt", F.explode(copies)), [*keys, "_salt"], how)
         .drop("_salt")
     )
+
+
+def dictionary_join(
+    left: DataFrame, right: DataFrame, keys: list[str], spread_by: str, how: str = "left", salts: int = 16
+) -> DataFrame:
+    """Equi-join with a dictionary much smaller than ``left``: every key is salted, so that no key is ever hot."""
+    return (
+        left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+        .join(right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "_salt"], how)
+        .drop("_salt")
+    )

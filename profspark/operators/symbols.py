@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profspark.operators.hot import spread_join
+from profspark.operators.hot import hot_keys, materialized, spread_join
 from profspark.operators.ranges import range_lookup
 from profspark.schema import FRAME, KERNEL_SCOPE
 
@@ -18,8 +18,9 @@ def used_stacks(rows: DataFrame) -> DataFrame:
 
 def stack_addresses(used: DataFrame, stackmap: DataFrame) -> DataFrame:
     """(scope, stack_id, pos, address) of the non-zero addresses; unknown stack ids vanish."""
+    hot = [h for h, _ in hot_keys(used, ["stack_id"])]
     return (
-        spread_join(used, stackmap, ["stack_id"], "scope", "inner")
+        spread_join(used, stackmap, ["stack_id"], "scope", hot, "inner")
         .select("scope", "stack_id", F.posexplode("frames").alias("pos", "address"))
         .where(F.col("address") != 0)
     )
@@ -40,16 +41,20 @@ def resolved_stacks(rows: DataFrame, stackmap: DataFrame, symbols: DataFrame) ->
 
     Works on distinct stacks and distinct addresses, so its size follows the variety of code, not the number of events.
     """
-    addresses = stack_addresses(used_stacks(rows), stackmap)
-    frames = spread_join(addresses, resolve_addresses(addresses, symbols), ["scope", "address"], "stack_id", "inner")
+    addresses = materialized(stack_addresses(materialized(used_stacks(rows)), stackmap))
+    hot = [h for h, _ in hot_keys(addresses, ["scope", "address"])]
+    resolved = resolve_addresses(addresses, symbols)
+    frames = spread_join(addresses, resolved, ["scope", "address"], "stack_id", hot, "inner")
     return frames.groupBy("scope", "stack_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "frame"))), lambda f: f["frame"]).alias("stack")
     )
 
 
-def with_stacks(rows: DataFrame, stackmap: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Replace ``ustack_id`` and ``kstack_id`` by the call paths; an empty one where nothing can be resolved."""
-    stacks = resolved_stacks(rows, stackmap, symbols)
+def with_stacks(rows: DataFrame, stacks: DataFrame, raw: DataFrame) -> DataFrame:
+    """Replace ``ustack_id`` and ``kstack_id`` by the ``resolved_stacks``; an empty one where nothing was resolved.
+
+    Stacks that very many events share are looked for in ``raw``, the cheap input the rows come from.
+    """
     none = F.array().cast(f"array<{FRAME.simpleString()}>")
     user = stacks.where(F.col("scope") != KERNEL_SCOPE).select(
         F.col("scope").alias("tgid"), F.col("stack_id").alias("ustack_id"), F.col("stack").alias("ustack")
@@ -57,8 +62,11 @@ def with_stacks(rows: DataFrame, stackmap: DataFrame, symbols: DataFrame) -> Dat
     kernel = stacks.where(F.col("scope") == KERNEL_SCOPE).select(
         F.col("stack_id").alias("kstack_id"), F.col("stack").alias("kstack")
     )
-    rows = spread_join(rows, user, ["tgid", "ustack_id"], "seq")
-    rows = spread_join(rows, kernel, ["kstack_id"], "seq")
+    for keys, side in ((["tgid", "ustack_id"], user), (["kstack_id"], kernel)):
+        # Events without a stack carry -1, which may be the largest key of all; it is counted like the others.
+        ids = raw.select("tgid", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("ustack_id", "kstack_id")])
+        hot = [h for h, _ in hot_keys(ids, keys)]
+        rows = spread_join(rows, side, keys, "seq", hot)
     return rows.withColumns({"ustack": F.coalesce("ustack", none), "kstack": F.coalesce("kstack", none)}).drop(
         "ustack_id", "kstack_id"
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from profspark.functions.frames import offset_name
 from profspark.operators.dense_ids import dense_ids
-from profspark.operators.hot import spread_join
+from profspark.operators.hot import dictionary_join, materialized
 from profspark.operators.ranges import range_lookup
 
 # The strings every profile starts with, at ids 0 to 5.
@@ -41,14 +41,14 @@ def profile(
     lines: DataFrame | None = None,
     inlined: bool = False,
 ) -> Profile:
-    """Profile tables of a result; nothing runs until they are written.
+    """Profile tables of a result.
 
     Without a line table there is one location per function name; its address is the smallest one seen under the name.
     With a line table (``LINE_SCHEMA``) there is one location per address, with file, line and column, and with
-    ``inlined`` also the calls inlined there. Hand in a result read from a table when it is costly: the five tables
-    each start from it.
+    ``inlined`` also the calls inlined there. The result, the call dictionaries and the
+    strings are checkpointed once; the tables are lazy on top of them.
     """
-    rows = _rows(result)
+    rows = materialized(_rows(result), always=True)
     frames = _frames(rows, with_offset)
     if lines is None:
         located, functions = frames.withColumn("place", F.col("name")), _by_name(frames)
@@ -72,14 +72,14 @@ def profile(
     titles = result.sparkSession.range(1).select(
         F.explode(F.array(*[F.lit(c) for c in result.columns[1:3]])).alias("value")
     )
-    strings = string_table(names.unionByName(titles))
+    strings = materialized(string_table(names.unionByName(titles)), always=True)
 
     return Profile(
         samples=_samples(located, locations.select("place", "location_id")),
         locations=locations.select("location_id", "address", "lines"),
         functions=_with_strings(functions, strings),
         strings=strings,
-        header=_header(result, strings),
+        header=_header(rows, result.columns, strings),
     )
 
 
@@ -116,7 +116,8 @@ def _frames(rows: DataFrame, with_offset: bool) -> DataFrame:
 
 def _by_name(frames: DataFrame) -> DataFrame:
     names = frames.where(F.col("name").isNotNull()).select("name")
-    return dense_ids(names, "function_id", 1).withColumn("file", F.lit(None).cast("string"))
+    functions = dense_ids(names, "function_id", 1).withColumn("file", F.lit(None).cast("string"))
+    return materialized(functions, always=True)
 
 
 def _line(function: Column, line: Column, col: Column) -> Column:
@@ -150,16 +151,18 @@ def _by_address(frames: DataFrame, lines: DataFrame, inlined: bool) -> tuple[Dat
         )
         calls = F.concat(nested, F.array(own))
     called = info.select("address", F.posexplode(calls).alias("pos", "call")).select("address", "pos", "call.*")
+    called = materialized(called, always=True)
     # A function's file is the smallest one named with it, whatever order rows come in.
     functions = called.groupBy("name").agg(F.min("file").alias("file"))
-    functions = dense_ids(functions.select("name"), "function_id", 1).join(functions, "name")
+    functions = materialized(dense_ids(functions.select("name"), "function_id", 1).join(functions, "name"), always=True)
     parts = (
-        spread_join(called, functions.select("name", "function_id"), ["name"], "address", "inner")
+        dictionary_join(called, functions.select("name", "function_id"), ["name"], "address", "inner")
         .groupBy("address")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "function_id", "line", "col"))).alias("parts"))
     )
     ids = dense_ids(parts.select("address"), "location_id", 1)
-    locations = parts.join(ids, "address").select(
+    located = materialized(parts.join(ids, "address"), always=True)
+    locations = located.select(
         F.col("address").alias("place"),
         "location_id",
         "address",
@@ -182,7 +185,7 @@ def _with_strings(functions: DataFrame, strings: DataFrame) -> DataFrame:
     names = strings.select(F.col("value").alias("name"), F.col("string_id").alias("name_id"))
     files = strings.select(F.col("value").alias("file"), F.col("string_id").alias("file_id"))
     named = functions.join(names, "name")
-    return spread_join(named, files, ["file"], "function_id").select(
+    return dictionary_join(named, files, ["file"], "function_id").select(
         "function_id", "name_id", F.coalesce("file_id", F.lit(0)).cast("bigint").alias("file_id")
     )
 
@@ -190,7 +193,7 @@ def _with_strings(functions: DataFrame, strings: DataFrame) -> DataFrame:
 def _samples(located: DataFrame, places: DataFrame) -> DataFrame:
     """Location ids per sample in stack order; a name such as the entry point is in most samples, hence the spread."""
     return (
-        spread_join(located, places, ["place"], "sample")
+        dictionary_join(located, places, ["place"], "sample")
         .groupBy("sample", "count", "value", "repeats")
         .agg(
             F.sort_array(F.collect_list(F.when(F.col("location_id").isNotNull(), F.struct("pos", "location_id")))).alias(
@@ -207,10 +210,11 @@ def _samples(located: DataFrame, places: DataFrame) -> DataFrame:
     )
 
 
-def _header(result: DataFrame, strings: DataFrame) -> DataFrame:
+def _header(rows: DataFrame, columns: list[str], strings: DataFrame) -> DataFrame:
     """One row: string ids of the two value titles and the total value; running it on an empty result is an error."""
-    _, count, value = result.columns[:3]
-    total = result.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(value), F.lit(0)).cast("bigint").alias("total"))
+    _, count, value = columns[:3]
+    sum_of_values = F.sum(F.col("value") * F.col("repeats"))
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(sum_of_values, F.lit(0)).alias("total"))
 
     def title(column: str) -> Column:
         return strings.where(F.col("value") == column).select("string_id").scalar()

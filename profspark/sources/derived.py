@@ -108,7 +108,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(span, k * 2 + F.when(is_b, 2).otherwise(1)).alias("span_id"),
         F.when(span, F.when(is_b, k * 2 + 1).otherwise(0)).cast("bigint").alias("parent_id"),
         F.when(span, k).alias("id"),
-        F.floor("o_totalprice").cast("bigint").alias("amount"),
+        (F.floor("o_totalprice").cast("bigint") + s).alias("amount"),
         (k % 2).cast("int").alias("rw"),
         F.when(span, F.concat(F.when(is_b, F.lit("inner")).otherwise(F.lit("outer")), (k % 5).cast("string"))).alias("name"),
         F.when(s == 10, F.concat(F.lit("cmd"), (F.floor(k / 50) % 3).cast("string"))).alias("comm"),
