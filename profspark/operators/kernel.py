@@ -48,12 +48,16 @@ def write_flag(op: str, write_op: int = 1) -> Column:
     return F.when(F.col(op) == write_op, 1).otherwise(0)
 
 
-def throttle(rows: DataFrame, every: int) -> DataFrame:
-    """Per process the first and then each ``every``-th row in arrival order; 0 keeps all."""
+def throttle(rows: DataFrame, every: int, seen: Column | None = None) -> DataFrame:
+    """Per process the first and then each ``every``-th row in arrival order; 0 keeps all.
+
+    ``seen`` is the number of the process's rows that came before these.
+    """
     if every == 0:
         return rows
     numbered = ordered(rows, ["tgid"], ["seq"], _earlier=running_sum(F.lit(1).cast("bigint"), before=True))
-    return numbered.where(F.col("_earlier") % every == 0).drop("_earlier")
+    number = F.col("_earlier") if seen is None else F.col("_earlier") + seen
+    return numbered.where(number % every == 0).drop("_earlier")
 
 
 def rss_pages(clamp: bool = True) -> Column:

@@ -7,12 +7,13 @@ partitioning already satisfies, adds them. Keys that are not hot stay in slice 0
 the plan is the plain window.
 """
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from profspark.operators.hot import GROUP_ROWS, MAX_SLICES, hot_keys, key_hash, setting
+from profspark.operators.hot import GROUP_ROWS, MAX_SLICES, hot_keys, key_hash, materialized, setting
 
 FIRST = Window.unboundedPreceding
 
@@ -128,6 +129,36 @@ class Ordered:
         return joined.withColumns(done).drop(*helpers)
 
 
+    def depth(self, df: DataFrame, change: Column, name: str) -> DataFrame:
+        """Running sum of ``change`` floored at 0, before each row: the depth a row finds, pops at 0 being ignored.
+
+        The floor needs the lowest prefix sum so far, so a slice is summed up by its sum and its lowest prefix.
+        """
+        sliced = self.slice_col is not None and self.slice_col in df.columns
+        groups = [*self.keys, self.slice_col] if sliced else self.keys
+        window = Window.partitionBy(*groups).orderBy(*self.order)
+        zero = F.lit(0).cast("bigint")
+        rows = df.withColumn("_change", change).withColumn("_sum", F.sum("_change").over(window.rowsBetween(FIRST, 0)))
+        low = F.min("_sum").over(window.rowsBetween(FIRST, -1))
+        if not sliced:
+            floor = F.least(F.coalesce(low, zero), zero)
+            return rows.withColumn(name, F.col("_sum") - F.col("_change") - floor).drop("_change", "_sum")
+
+        along = Window.partitionBy(*self.keys).orderBy(self.slice_col)
+        earlier = along.rowsBetween(FIRST, -1)
+        carry = (
+            rows.groupBy(*groups)
+            .agg(F.sum("_change").alias("_total"), F.min("_sum").alias("_lowest"))
+            .withColumn("_base", F.coalesce(F.sum("_total").over(earlier), zero))
+            .withColumn("_before", F.min(F.col("_base") + F.col("_lowest")).over(earlier))
+            .select(*groups, "_base", "_before")
+        )
+        joined = rows.withColumn("_low", low).join(carry, groups, "left")
+        floor = F.least(F.coalesce("_before", zero), F.coalesce(F.col("_base") + F.col("_low"), zero), zero)
+        found = F.col("_base") + F.col("_sum") - F.col("_change") - floor
+        return joined.withColumn(name, found).drop("_change", "_sum", "_low", "_base", "_before")
+
+
 def _local(step: Step, window) -> Column:
     frame = window.rowsBetween(FIRST, -1 if step.before else 0)
     if step.kind == "lag":
@@ -184,3 +215,25 @@ def ordered(df: DataFrame, keys: list[str], order: list[str], **steps: Step) ->
     """One-off form: decide the slices on ``keys`` and the first order column, run the steps, drop the slice."""
     cut = slicing(df, keys, order[0])
     return Ordered(keys, order, "_slice").apply(cut.attach(df, "_slice"), **steps).drop("_slice")
+
+
+def chained(
+    df: DataFrame, cut: Slicing, chain: Callable[[DataFrame, str | None], DataFrame], derived: bool = True
+) -> DataFrame:
+    """Run a chain of ordered steps, rows of hot keys apart from the others.
+
+    ``chain`` gets rows and the name of their slice column, None for the rows without hot keys, which take plain
+    windows on one partitioning. A sliced step uses its input twice, so the chain cuts its plan with ``between``.
+    Rows that are ``derived``, not an input, are materialized before they are split.
+    """
+    if not cut.hot:
+        return chain(df, None)
+    marked = cut.attach(materialized(df) if derived else df, "_slice")
+    cold = chain(marked.where(F.col("_slice") == 0).drop("_slice"), None)
+    hot = chain(between(marked.where(F.col("_slice") > 0), "_slice"), "_slice").drop("_slice")
+    return cold.unionByName(hot)
+
+
+def between(df: DataFrame, slice_col: str | None) -> DataFrame:
+    """A point of a chain where the plan of sliced rows is cut."""
+    return df if slice_col is None else materialized(df)

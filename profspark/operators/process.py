@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profspark.functions.frames import c_string
-from profspark.operators.ordered import Ordered, Slicing, last, running_sum, slicing
+from profspark.operators.ordered import Ordered, Slicing, chained, last, running_sum, slicing
 
 
 # Losses are seen at most once per poll, so a capture has few; beyond this many they are counted by a distributed pass.
@@ -44,14 +44,16 @@ def attribute(raw: DataFrame, cut: Slicing | None = None) -> DataFrame:
 
     The latest exec counts; one that keeps the command keeps the earlier build id, too. An exit forgets nothing.
     """
-    cut = cut or slicing(raw, ["tgid"], "seq")
-    scan = Ordered(["epoch", "tgid"], ["seq"], "_tgid_slice")
-    comm = F.when(F.col("type") == "process_exec", c_string("comm"))
-    rows = cut.attach(raw, "_tgid_slice").withColumn("_comm", comm)
+    return chained(raw, cut or slicing(raw, ["tgid"], "seq"), _attribute)
+
+
+def _attribute(rows: DataFrame, slice_col: str | None) -> DataFrame:
+    scan = Ordered(["epoch", "tgid"], ["seq"], slice_col)
+    rows = rows.withColumn("_comm", F.when(F.col("type") == "process_exec", c_string("comm")))
     rows = scan.apply(rows, _current=last(F.col("_comm"), before=True))
     replaces = F.col("_comm").isNotNull() & ~F.coalesce(F.col("_comm") == F.col("_current"), F.lit(False))
     rows = rows.withColumn("_new", F.when(replaces, F.struct(F.col("_comm").alias("comm"), F.col("buildid"))))
     rows = scan.apply(rows, _info=last(F.col("_new")))
     return rows.withColumns({"command": F.col("_info.comm"), "exe_buildid": F.col("_info.buildid")}).drop(
-        "_tgid_slice", "_comm", "_current", "_new", "_info"
+        "_comm", "_current", "_new", "_info"
     )

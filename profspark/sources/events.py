@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from profspark.functions.frames import unsigned_to_long
-from profspark.schema import EVENT_SCHEMA, RAW_TYPES
+from profspark.schema import EVENT_SCHEMA, RAW_SCHEMA, RAW_TYPES
 
 # A writer's unfinished file, never part of a capture.
 PENDING = "PENDING.parquet"
@@ -82,6 +82,11 @@ def time_slice(events: DataFrame, start: int | None = None, end: int | None = No
     return events
 
 
+def read_raw_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Raw events as a stream over a growing directory of parquet files."""
+    return spark.readStream.schema(RAW_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
 def split_unknown(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(raw events of a known type, rejects with a reason)."""
     known = F.coalesce(F.col("type").isin(RAW_TYPES), F.lit(False))
