@@ -54,7 +54,7 @@ def union_of(a: str, b: str) -> str:
 
 
 def path_id(names: str) -> str:
-    return f"list_reduce({names}, lambda acc, n: left(sha256(concat(acc, chr(1), n)), 32), '')"
+    return f"left(sha256(array_to_string({names}, chr(1))), 32)"
 
 
 # ---------------------------------------------------------------- derived tables

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from profspark.functions.frames import unsigned_to_long
-from profspark.schema import EVENT_SCHEMA, RAW_SCHEMA, RAW_TYPES
+from profspark.schema import EVENT_SCHEMA, FRAME, RAW_SCHEMA, RAW_TYPES
 
 # A writer's unfinished file, never part of a capture.
 PENDING = "PENDING.parquet"
@@ -105,10 +105,14 @@ def run_sql(
 
     Values are bound as the named parameters ``:command`` and ``:buildid`` (hex text). The placeholders ``'?command'``
     and ``decode('?buildid', 'hex')`` of older query files are turned into those parameters; values never become text
-    of the query.
+    of the query. ``empty(stack)`` is available; integer division is ``div``, since ``/`` is fractional here.
     """
     spark = events.sparkSession
     events.createOrReplaceTempView(view)
+    spark.sql(
+        f"create or replace temporary function empty(stack array<{FRAME.simpleString()}>) returns boolean"
+        " return cardinality(stack) = 0"
+    )
     query = query.replace("'?command'", ":command").replace("decode('?buildid', 'hex')", "unhex(:buildid)")
     given = {"command": command, "buildid": buildid}
     args = {k: v for k, v in given.items() if v is not None and f":{k}" in query}
