@@ -5,19 +5,22 @@ Every query reads whole tables. Call paths are rendered as text and build ids as
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oracle import ORACLE
-from profspark.functions.frames import c_string, frame_names, offset_name, stack_text
+from profspark.functions.frames import c_string, frame_names, stack_text
 from profspark.operators import kernel, process, spans, symbols, telemetry
+from profspark.operators.hot import shared_dir
 from profspark.plans import by_stack, collect, tracks
 from profspark.plans.profile import profile
+from profspark.plans.profile_bytes import profile_chunks
 from profspark.plans.trace import categories, trace
-from profspark.schema import KERNEL_SCOPE
 from profspark.sources import derived, events as source
+from profspark.streaming import fold, steps
 
 SF_DIR = "/root/testdata/sf0.001"
 WHO = {"buildid": "01"}
@@ -214,6 +217,25 @@ def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select("snapshot_ts", "program", "busy_percent", "collected_latency_ns")
 
 
+def _stream(name: str, step, *columns: str) -> Query:
+    """A fold over a derived table read as a stream, run until all input is worked off."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = getattr(derived, name)(spark, sf_dir, derived.table_stream)
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        fold.start(rows, step, path).awaitTermination()
+        out = spark.read.parquet(f"{path}/out")
+        return out.select(*columns) if columns else out.drop("batch")
+
+    return run
+
+
+def _string_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = profile(by_stack.cpu_time(derived.events(spark, sf_dir), **WHO))
+    strings = profile_chunks(built).where("section = 5")
+    return strings.agg(F.sum(F.length("data")).alias("bytes"))
+
+
 def queries() -> dict[str, Query]:
     seconds = 1_000_000_000
     slice_start, slice_end = 1_704_153_600 * seconds, 1_704_240_000 * seconds + 500_000_000
@@ -262,6 +284,7 @@ def queries() -> dict[str, Query]:
         "profile_samples": _profile("samples"),
         "profile_header": _profile("header"),
         "profile_offset_functions": _profile("functions", with_offset=True),
+        "profile_string_bytes": _string_bytes,
         "profile_line_locations": _profile("locations", with_lines=True),
         "profile_line_functions": _profile("functions", with_lines=True),
         "profile_line_samples": _profile("samples", with_lines=True),
@@ -319,6 +342,16 @@ def queries() -> dict[str, Query]:
         "unknown_types": _raw(
             lambda r: source.split_unknown(r.withColumn("type", F.when(F.col("cpu") == 3, "other").otherwise(F.col("type"))))[1].select("seq", "reason")
         ),
+        # Streaming forms
+        "stream_switch_pairing": _stream("switches", steps.switch_step(1500), "seq", "cpu", "start", "ts", "tgid", "pid"),
+        "stream_block_pairing": _stream("block_requests", steps.block_step()),
+        "stream_rss_throttle": _stream("rss_counters", steps.throttle_step(29), "seq", "tgid", "pid"),
+        "stream_events": _stream(
+            "raw",
+            steps.collect_step(),
+            "seq", "timestamp", "duration", "kind", "cpu", "tgid", "pid", "span_id", "parent_id", "id", "amount", "command", "trace_name",
+            "ustack_id", "kstack_id",
+        ),
         # Telemetry
         "missing_stacks": _raw(tracks.missing_stacks),
         "program_events": _raw(telemetry.events_per_program),

@@ -373,6 +373,16 @@ _query(
     """,
     "frames",
 )
+# A string takes a tag byte and one length byte (all are shorter than 128) besides its own bytes.
+_query(
+    "profile_string_bytes",
+    """
+    select cast(sum(2 + length(value)) as bigint) as bytes from (
+        select unnest(['', 'samples', 'count', 'sampled_cpu', 'ns', 'process', 'sampled_duration']) as value
+        union all select distinct name from frames)
+    """,
+    "frames",
+)
 _query(
     "profile_header",
     "select 'count' as count_title, 'sampled_duration' as value_title, cast(sum(v) as bigint) as duration_nanos from cpu",
@@ -856,3 +866,14 @@ _query(
     where (holder = 'cmd0' or c_custkey % 3 = 0) and c_custkey % 4 <> 0 and c_custkey <> 0
     """,
 )
+
+# ---------------------------------------------------------------- streaming forms
+
+ORACLE["stream_switch_pairing"] = ORACLE["switch_pairing"]
+ORACLE["stream_block_pairing"] = ORACLE["block_pairing"]
+_query(
+    "stream_rss_throttle",
+    "select seq, tgid, pid from (select *, row_number() over (partition by tgid order by seq) as n from rss) where (n - 1) % 29 = 0",
+    "rss",
+)
+_query("stream_events", "select * exclude (exe) from collected", "collected")

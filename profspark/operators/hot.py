@@ -6,7 +6,7 @@ other key then has less than 1/``MAX_HOT`` of all rows, so the list is bounded b
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_HOT = 4096
@@ -37,17 +37,19 @@ def is_small(df: DataFrame) -> bool:
     return size is not None and size < setting(df, SMALL_BYTES)
 
 
-def materialized(df: DataFrame, always: bool = False) -> DataFrame:
-    """Cut a plan that several others start from: a checkpoint in the shared folder, unless the input is small.
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where none is set, as in tests, a temporary folder."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return given or tempfile.mkdtemp(prefix="checkpoint-")
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set, as in tests, a temporary one is used.
-    """
+
+def materialized(df: DataFrame, always: bool = False) -> DataFrame:
+    """Cut a plan that several others start from: a checkpoint in the shared folder, unless the input is small."""
     if not always and is_small(df):
         return df
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from profspark.functions.frames import c_string
 from profspark.operators.ordered import lag, last, ordered, running_sum
 
 # Fixed value: kernel frames of the probe itself on a switch.
@@ -95,7 +96,7 @@ def keep_tracked(raw: DataFrame, commands: list[str]) -> DataFrame:
     """
     is_exec, is_exit = F.col("type") == "process_exec", F.col("type") == "process_exit"
     leader = ~(is_exec | is_exit) | F.coalesce(F.col("pid") == F.col("tgid"), F.lit(True))
-    change = F.when(is_exec & F.col("comm").isin(commands), True).when(is_exit, False)
+    change = F.when(is_exec & c_string("comm").isin(commands), True).when(is_exit, False)
     states = ordered(
         raw.where(leader), ["tgid"], ["seq"], _now=last(change), _before=last(change, before=True)
     )

@@ -3,11 +3,14 @@
 They give every operator an input whose size follows the tables. Nothing here is sampled or capped.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profspark.schema import KINDS, RAW_SCHEMA
 
+Read = Callable[[SparkSession, str, str], DataFrame]
 PLAIN_TYPES = ["switch", "sample", "rss", "block", "vfs", "udp_recv", "udp_send", "tcp_recv", "tcp_send"]
 
 
@@ -15,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table as a stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def _pick(values: list[str], index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
@@ -68,7 +77,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw(spark: SparkSession, sf_dir: str, read: Read = table) -> DataFrame:
     """Raw events: 13 steps per row of ``orders``, interleaved with those of neighbouring orders.
 
     An order runs a span A with a span B inside, re-enters A, on another thread for some orders, and closes it. Some
@@ -76,7 +85,7 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     k, c, s = F.col("o_orderkey"), F.col("o_custkey"), F.col("step")
     steps = (
-        table(spark, sf_dir, "orders")
+        read(spark, sf_dir, "orders")
         .select("o_orderkey", "o_custkey", "o_totalprice", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("step"))
         .where(~((s == 0) & (k % 17 == 0)))
         .where(~((s == 4) & (k % 11 == 0)))
@@ -165,9 +174,9 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def switches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def switches(spark: SparkSession, sf_dir: str, read: Read = table) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
-    return table(spark, sf_dir, "events").select(
+    return read(spark, sf_dir, "events").select(
         e.alias("seq"),
         (e % 4).cast("int").alias("cpu"),
         ((e + 1) * 1000 + u).alias("ts"),
@@ -178,11 +187,11 @@ def switches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def block_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def block_requests(spark: SparkSession, sf_dir: str, read: Read = table) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
     half = F.floor(e / 2).cast("bigint")
     return (
-        table(spark, sf_dir, "events")
+        read(spark, sf_dir, "events")
         .where(~((e % 2 == 0) & (half % 7 == 0)))
         .select(
             e.alias("seq"),
@@ -199,9 +208,9 @@ def block_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rss_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rss_counters(spark: SparkSession, sf_dir: str, read: Read = table) -> DataFrame:
     e, u, v = F.col("event_id"), F.col("user_id"), F.floor("value").cast("bigint")
-    return table(spark, sf_dir, "events").select(
+    return read(spark, sf_dir, "events").select(
         e.alias("seq"),
         (e * 1000).alias("ts"),
         (u % 8).alias("tgid"),

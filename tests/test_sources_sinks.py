@@ -124,3 +124,12 @@ def test_sql_with_windows_and_stack_functions(spark):
     got = source.run_sql(df, query, view="capture", buildid="01").collect()
     want = by_stack.off_cpu(df, buildid="01").collect()
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+
+
+def test_derived_times_do_not_depend_on_the_session_zone(spark):
+    want = derived.events(spark, SF).agg(F.min("timestamp"), F.max("timestamp")).first()
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert derived.events(spark, SF).agg(F.min("timestamp"), F.max("timestamp")).first() == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
