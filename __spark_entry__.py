@@ -108,7 +108,7 @@ def _profile(part: str, with_lines: bool = False, **options) -> Query:
 
 def _trace(spark: SparkSession, sf_dir: str):
     events = derived.events(spark, sf_dir)
-    return trace([tracks.switch_slices(events), tracks.rss_track(events), tracks.span_slices(events)])
+    return trace([f(events, sort=False) for f in (tracks.switch_slices, tracks.rss_track, tracks.span_slices)])
 
 
 def _trace_rows(phase: str) -> Query:

@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_HOT = 4096
-MAX_SLICES = 4096
+MAX_SLICES = 16384
 
 # Session settings. Plans that read less than SMALL_BYTES are not searched for hot keys, since a key can then at
 # most hold that much; larger ones are, and a key above GROUP_ROWS rows counts as hot.
 SMALL_BYTES = "profspark.hot.smallBytes"
 GROUP_ROWS = "profspark.hot.groupRows"
-DEFAULTS = {SMALL_BYTES: 1 << 30, GROUP_ROWS: 4_000_000}
+DEFAULTS = {SMALL_BYTES: 1 << 30, GROUP_ROWS: 1_000_000}
 
 
 def setting(df: DataFrame, key: str) -> int:

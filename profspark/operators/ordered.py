@@ -53,7 +53,7 @@ def slicing(df: DataFrame, keys: list[str], order: str) -> Slicing:
     rows = sum(n for _, n in found)
     slices = max(2, min(MAX_SLICES, -(-rows // setting(df, GROUP_ROWS))))
     values = df.where(key_hash(keys).isin(hot)).select(F.col(order).cast("double").alias("v"))
-    cuts = values.approxQuantile("v", [i / slices for i in range(1, slices)], 1 / (4 * slices))
+    cuts = values.approxQuantile("v", [i / slices for i in range(1, slices)], 1 / (2 * slices))
     return Slicing(keys, order, hot, sorted(set(cuts)))
 
 

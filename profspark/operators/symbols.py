@@ -11,9 +11,10 @@ from profspark.schema import FRAME, KERNEL_SCOPE
 def used_stacks(rows: DataFrame) -> DataFrame:
     """Distinct (scope, stack_id) of the rows: user stacks per process, kernel stacks in one scope. Ids below 0 mean
     that no stack was collected."""
-    user = rows.select(F.col("tgid").alias("scope"), F.col("ustack_id").alias("stack_id"))
-    kernel = rows.select(F.lit(KERNEL_SCOPE).cast("bigint").alias("scope"), F.col("kstack_id").alias("stack_id"))
-    return user.unionByName(kernel).where(F.col("stack_id") >= 0).distinct()
+    user = F.struct(F.col("tgid").alias("scope"), F.col("ustack_id").alias("stack_id"))
+    kernel = F.struct(F.lit(KERNEL_SCOPE).cast("bigint").alias("scope"), F.col("kstack_id").alias("stack_id"))
+    both = rows.select(F.explode(F.array(user, kernel)).alias("stack")).select("stack.*")
+    return both.where(F.col("stack_id") >= 0).distinct()
 
 
 def stack_addresses(used: DataFrame, stackmap: DataFrame) -> DataFrame:
@@ -41,7 +42,8 @@ def resolved_stacks(rows: DataFrame, stackmap: DataFrame, symbols: DataFrame) ->
 
     Works on distinct stacks and distinct addresses, so its size follows the variety of code, not the number of events.
     """
-    addresses = materialized(stack_addresses(materialized(used_stacks(rows)), stackmap))
+    used = materialized(used_stacks(rows), always=True)
+    addresses = materialized(stack_addresses(used, stackmap), always=True)
     hot = [h for h, _ in hot_keys(addresses, ["scope", "address"])]
     resolved = resolve_addresses(addresses, symbols)
     frames = spread_join(addresses, resolved, ["scope", "address"], "stack_id", hot, "inner")

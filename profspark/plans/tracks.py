@@ -12,9 +12,13 @@ def _micros(column: str) -> Column:
     return F.expr(f"({column}) div 1000")
 
 
-def rss_track(events: DataFrame) -> DataFrame:
+def _sorted(rows: DataFrame, sort: bool, *order: str) -> DataFrame:
+    return rows.orderBy(*order) if sort else rows
+
+
+def rss_track(events: DataFrame, sort: bool = True) -> DataFrame:
     """Resident set per process as a counter."""
-    return (
+    rows = (
         selected(events, ["rss"])
         .select(
             F.lit("counter").alias("event"),
@@ -24,13 +28,13 @@ def rss_track(events: DataFrame) -> DataFrame:
             F.col("tgid").alias("pid"),
             "amount",
         )
-        .orderBy("timestamp", "pid")
     )
+    return _sorted(rows, sort, "timestamp", "pid")
 
 
-def switch_slices(events: DataFrame) -> DataFrame:
+def switch_slices(events: DataFrame, sort: bool = True) -> DataFrame:
     """Time on CPU per thread, with the stack at the end of it."""
-    return (
+    rows = (
         selected(events, ["switch"])
         .select(
             F.lit("complete").alias("event"),
@@ -42,15 +46,20 @@ def switch_slices(events: DataFrame) -> DataFrame:
             combined_stack().alias("end_stack"),
             "cpu",
         )
-        .orderBy("start", "pid")
     )
+    return _sorted(rows, sort, "start", "pid")
 
 
-def span_slices(events: DataFrame, kinds: tuple[str, ...] = ("trace_exit", "trace_close"), start_unit: str = "ns") -> DataFrame:
+def span_slices(
+    events: DataFrame,
+    kinds: tuple[str, ...] = ("trace_exit", "trace_close"),
+    start_unit: str = "ns",
+    sort: bool = True,
+) -> DataFrame:
     """Spans as slices. By default the start is ``timestamp - duration div 1000``, nanoseconds less microseconds, as
     existing timelines have it; ``start_unit="us"`` gives the start in microseconds."""
     start = _micros("timestamp - duration") if start_unit == "us" else F.expr("timestamp - duration div 1000")
-    return (
+    rows = (
         selected(events, list(kinds))
         .select(
             F.lit("complete").alias("event"),
@@ -63,16 +72,20 @@ def span_slices(events: DataFrame, kinds: tuple[str, ...] = ("trace_exit", "trac
             "cpu",
             F.col("ustack").alias("end_stack"),
         )
-        .orderBy("start", "pid")
     )
+    return _sorted(rows, sort, "start", "pid")
 
 
-def slow_spans(events: DataFrame, threshold_ns: int = 10_000_000, start_unit: str = "ns") -> DataFrame:
+def slow_spans(
+    events: DataFrame, threshold_ns: int = 10_000_000, start_unit: str = "ns", sort: bool = True
+) -> DataFrame:
     """Single stays on CPU inside a span that took longer than the threshold."""
-    return span_slices(events.where(F.col("duration") > threshold_ns), ("trace_exit",), start_unit)
+    return span_slices(events.where(F.col("duration") > threshold_ns), ("trace_exit",), start_unit, sort)
 
 
-def parked_spans(events: DataFrame, span_keys: tuple[str, ...] = ("span_id",), keep_thread: bool = False) -> DataFrame:
+def parked_spans(
+    events: DataFrame, span_keys: tuple[str, ...] = ("span_id",), keep_thread: bool = False, sort: bool = True
+) -> DataFrame:
     """Spans that were left and neither resumed nor closed, from their last exit to the capture's end.
 
     ``tid`` repeats the process id, as existing timelines have it, unless ``keep_thread``.
@@ -80,7 +93,7 @@ def parked_spans(events: DataFrame, span_keys: tuple[str, ...] = ("span_id",), k
     columns = [F.col(c) for c in ("tgid", "pid", "trace_name", "cpu", "ustack") if c not in span_keys]
     rows = span_successors(events, columns, list(span_keys))
     end = events.agg(F.max("timestamp")).scalar()
-    return (
+    rows = (
         rows.where((F.col("kind") == "trace_exit") & F.col("next_start").isNull())
         .select(
             F.lit("complete").alias("event"),
@@ -93,8 +106,8 @@ def parked_spans(events: DataFrame, span_keys: tuple[str, ...] = ("span_id",), k
             "cpu",
             F.col("ustack").alias("end_stack"),
         )
-        .orderBy("start", "pid")
     )
+    return _sorted(rows, sort, "start", "pid")
 
 
 def io_totals(events: DataFrame, kinds: tuple[str, ...] = ("blk_write", "tcp_send", "tcp_recv")) -> DataFrame:
