@@ -22,6 +22,13 @@ from profspark.plans.trace import categories, trace
 from profspark.sources import derived, events as source
 from profspark.streaming import fold, steps
 
+try:
+    from profspark.llm import queries as corpus
+except ModuleNotFoundError as missing:  # the corpus operators are an optional part
+    if missing.name not in ("profspark.llm", "corpus_pipeline"):
+        raise
+    corpus = None
+
 SF_DIR = "/root/testdata/sf0.001"
 WHO = {"buildid": "01"}
 CMD = {"command": "cmd1"}
@@ -361,11 +368,12 @@ def queries() -> dict[str, Query]:
         "dropped_totals": lambda spark, d: telemetry.counter_totals(derived.cpu_errors(spark, d)),
         "reset_markers": lambda spark, d: telemetry.reset_markers(telemetry.counter_totals(derived.cpu_errors(spark, d))),
         "program_json": lambda spark, d: telemetry.program_list(derived.program_lists(spark, d), "cmd0"),
+        **(corpus.QUERIES if corpus else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return {**ORACLE, **(corpus.ORACLES if corpus else {})}
 
 
 def entry(spark: SparkSession) -> DataFrame:
