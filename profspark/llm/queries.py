@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from profspark.llm import bpe, language
+from profspark.llm.decontaminate import contamination
 from profspark.llm.jaccard import jaccard_components
 from profspark.llm.sql import SQL
 
@@ -16,12 +20,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    how = {"path": public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    coded = bpe.encoded(table(spark, sf_dir, "documents"), keep=["doc_id"], **how)
+    back = bpe.decoded(coded.withColumn("ids_sha256", F.sha2("ids", 256)), keep=["doc_id", "n_tokens", "ids_sha256"], **how)
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(language.fold("doc_id", 3) == 1, F.lit(False))
+    model = language.train(documents.where(~held_out))
+    found = language.identified(documents, model, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {
+    "op2_decontamination": op2_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_bpe": op5_bpe,
+    "op7_language": op7_language,
 }
 
 ORACLES = {name: SQL[name] for name in QUERIES if name in SQL}

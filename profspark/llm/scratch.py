@@ -8,6 +8,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SETTING = "spark.checkpoint.dir"
 
@@ -61,3 +62,13 @@ def unpacked(df: DataFrame, *columns) -> DataFrame:
     own = {c.lower() for c in columns}
     names = [f.name for f in df.schema["row"].dataType.fields if f.name.lower() not in own]
     return df.select(*[F.col("row").getField(n).alias(n) for n in names], *columns)
+
+
+def row_and(df: DataFrame, ddl: str) -> T.StructType:
+    """A schema of the struct `row` and the given columns."""
+    return T.StructType([df.schema["row"], *T.StructType.fromDDL(ddl).fields])
+
+
+def narrowed(df: DataFrame, names: list[str] | None) -> DataFrame:
+    """`row` with the named columns only; None: with all."""
+    return df.withColumn("row", F.struct(*[F.col("row").getField(c).alias(c) for c in names])) if names else df

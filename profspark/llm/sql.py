@@ -9,7 +9,7 @@ with recursive words as (
 ), sets as (
     select doc_id, list_distinct(case when len(w) = 0 then []
         when len(w) < 3 then [array_to_string(w, ' ')]
-        else list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s
+        else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s
     from words
 ), one as (
     select doc_id, len(s) as n, unnest(s) as shingle from sets
@@ -31,4 +31,32 @@ select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(r.y) as component_i
 from sets s join reach r on r.x = s.doc_id group by s.doc_id, len(s.s)
 """
 
-SQL = {"op4_jaccard_join": OP4}
+OP2 = f"""
+with docs as (
+    select doc_id, regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), items as (
+    select item_id, regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), grams as (
+    select distinct item_id, least(len(w), 10) as n,
+        unnest([array_to_string(w[i:i + least(len(w), 10) - 1], ' ') for i in range(1, len(w) - least(len(w), 10) + 2)]) as gram
+    from items where len(w) > 0
+), sizes as (
+    select distinct n from grams
+), places as (
+    select doc_id, n, unnest(range(1, len(w) - n + 2)) as i,
+        unnest([array_to_string(w[i:i + n - 1], ' ') for i in range(1, len(w) - n + 2)]) as gram
+    from docs, sizes where len(w) >= n
+), hits as (
+    select p.doc_id, p.i, p.n, g.item_id from places p join grams g on p.n = g.n and p.gram = g.gram
+), covered as (
+    select doc_id, count(distinct k) as n_hit from (select distinct doc_id, unnest(range(i, i + n)) as k from hits) group by doc_id
+), named as (
+    select doc_id, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as items
+    from hits group by doc_id
+)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+    sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs d left join covered using (doc_id) left join named using (doc_id)
+"""
+
+SQL = {"op2_decontamination": OP2, "op4_jaccard_join": OP4}
