@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profspark.llm import bpe, language
+from profspark.llm import bpe, language, toxicity
 from profspark.llm.decontaminate import contamination
 from profspark.llm.jaccard import jaccard_components
+from profspark.llm.resample import resampled
 from profspark.llm.sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(language.fold("doc_id", 4) == 2, F.lit(False))
+    model = toxicity.train(documents, labels.where(~held_out))
+    found = toxicity.scored(documents, model, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(
@@ -51,11 +60,19 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    target = table(spark, sf_dir, "labels").where("quality = 1")
+    return resampled(documents, target, keep=["doc_id"])
+
+
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_bpe": op5_bpe,
     "op7_language": op7_language,
+    "op9_importance_resampling": op9_importance_resampling,
 }
 
 ORACLES = {name: SQL[name] for name in QUERIES if name in SQL}
