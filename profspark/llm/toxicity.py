@@ -1,6 +1,6 @@
 """Toxicity with a counterfactual-regularised classifier.
 
-A sparse logistic regression over the words of a text. In labelled texts that name a group of people, the group's terms
+A sparse logistic regression over the words of a text and their beginnings. In labelled texts that name a group of people, the group's terms
 are swapped for other terms of the same kind, or for a neutral one; training adds a penalty on the squared change of the
 score's logit. A term that is frequent in toxic texts so cannot become evidence by itself, and neutral mentions of a
 group keep a low score.
@@ -9,6 +9,7 @@ group keep a low score.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profspark.llm.scratch import Scratch, narrowed, packed, row_and, unpacked
-from profspark.llm.words import ALNUM, U64, encoded, words
+from profspark.llm.words import ALNUM, U64, encoded, mix, words
 
 # Terms that name groups, by kind; the first of each is the neutral one.
 IDENTITIES = {
@@ -32,40 +33,60 @@ IDENTITIES = {
 }
 #: The model is fitted on at most so many labelled rows of each label, the first in the order of a hash of their ids.
 ROWS_PER_LABEL = 5000
-#: It has at most so many words: those in LEAST rows or more whose presence differs most between the labels.
+#: It has at most so many features: those in LEAST rows or more whose presence differs most between the labels.
 VOCABULARY = 20_000
 LEAST = 5
 SWAPS = 4
+BEGINNINGS = [4, 5, 6, 7, 8]
 
 
-def _word(term: str) -> int:
-    return int(words(encoded(term), ALNUM)[0][0])
+def text_words(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's distinct words, in lower case, and their features: the word and its first 4 to 8 bytes.
 
-
-def _kinds() -> list[np.ndarray]:
-    return [np.array([_word(t) for t in terms.split()], dtype=U64) for terms in IDENTITIES.values()]
-
-
-def text_words(text: str | None) -> np.ndarray:
-    """Hashes of a text's distinct words, in lower case."""
-    return np.unique(words(encoded((text or "").lower()), ALNUM)[0])
-
-
-def swapped(own: np.ndarray, kinds: list[np.ndarray], swaps: int = SWAPS) -> list[np.ndarray]:
-    """Copies of a word set with each group term replaced by another of its kind; the first copy takes the neutral ones."""
-    places = [(t, k) for k in kinds for t in k.tolist() if len(own) and own[min(np.searchsorted(own, t), len(own) - 1)] == t]
-    if not places:
+    Beginnings catch inflected forms of a stem. A row has zeros for beginnings longer than the word.
+    """
+    data = encoded((text or "").lower())
+    h, start, end = words(data, ALNUM)
+    h, first = np.unique(h, return_index=True)
+    start, size = start[first], end[first] - start[first]
+    raw = np.frombuffer(data + bytes(BEGINNINGS[-1]), dtype=np.uint8)
+    out = np.zeros((len(h), 1 + len(BEGINNINGS)), dtype=U64)
+    out[:, 0] = h
+    code = np.zeros(len(h), dtype=U64)
+    for i in range(BEGINNINGS[-1]):
+        code |= raw[start + i].astype(U64) << U64(8 * i)
+        if i + 1 in BEGINNINGS:
+            at = 1 + BEGINNINGS.index(i + 1)
+            out[:, at] = np.where(size > i, mix(code + U64((i + 1) << 56)), U64(0))
+    return h, out
+
+
+def features(rows: np.ndarray) -> np.ndarray:
+    return np.unique(rows[rows != 0])
+
+
+@cache
+def _kinds() -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each kind the hashes and the features of its terms, in order."""
+    found = [[text_words(term) for term in terms.split()] for terms in IDENTITIES.values()]
+    return [(np.concatenate([h for h, _ in kind]), np.concatenate([f for _, f in kind])) for kind in found]
+
+
+def swapped(h: np.ndarray, rows: np.ndarray, swaps: int = SWAPS) -> list[np.ndarray]:
+    """Features of copies with each group term replaced by another of its kind, in the first copy by the neutral one."""
+    named = [(k, int(i)) for k, (terms, _) in enumerate(_kinds()) for i in np.flatnonzero(np.isin(terms, h))]
+    if not named:
         return []
+    rest = rows[~np.isin(h, np.concatenate([terms for terms, _ in _kinds()]))]
     out = []
     for s in range(swaps):
-        gone = np.array([t for t, _ in places], dtype=U64)
-        new = [k[0] if s == 0 else k[(int(np.flatnonzero(k == t)[0]) + s) % len(k)] for t, k in places]
-        out.append(np.unique(np.concatenate((np.setdiff1d(own, gone), np.array(new, dtype=U64)))))
+        new = [_kinds()[k][1][0 if s == 0 else (i + s) % len(_kinds()[k][0])] for k, i in named]
+        out.append(features(np.vstack((rest, *new))))
     return out
 
 
 class Model:
-    """Sorted word hashes, their weights, and an intercept."""
+    """Sorted features, their weights, and an intercept."""
 
     def __init__(self, vocabulary: np.ndarray, weight: np.ndarray, intercept: float):
         self.vocabulary, self.weight, self.intercept = vocabulary, weight, intercept
@@ -150,21 +171,21 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                own = [text_words(t).view(np.int64) for t in part["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([part["label"], pa.array(own, pa.list_(pa.int64()))], names=["label", "words"])
+                own = [features(text_words(t)[1]).view(np.int64) for t in part["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([part["label"], pa.array(own, pa.list_(pa.int64()))], names=["label", "features"])
 
     scratch = Scratch(spark)
-    sample = scratch.keep(texts.mapInArrow(read, "label int, words array<long>"))
+    sample = scratch.keep(texts)
     n = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     ones, zeros = n.get(1, 0), n.get(0, 0)
-    counts = sample.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.sum("label").alias("a"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
+    found = sample.mapInArrow(read, "label int, features array<long>")
+    counts = found.select("label", F.explode("features").alias("word")).groupBy("word").agg(F.sum("label").alias("a"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
     differ = F.abs(F.col("a") / max(1, ones) - (F.col("n") - F.col("a")) / max(1, zeros)) / F.sqrt(F.col("n"))
     vocabulary = np.unique(counts.orderBy(F.desc(differ), "word").limit(VOCABULARY).select("word").toArrow()["word"].to_numpy().view(U64))
     if not len(vocabulary) or not ones or not zeros:
         rate = 0.5 if not ones and not zeros else min(max(ones / (ones + zeros), 1e-3), 1 - 1e-3)
         return Model(np.empty(0, U64), np.empty(0), float(np.log(rate / (1 - rate))))
-    kinds = _kinds()
-    vocabulary = np.union1d(vocabulary, np.concatenate(kinds))
+    vocabulary = np.union1d(vocabulary, features(np.concatenate([f for _, f in _kinds()])))
     known = spark.sparkContext.broadcast(vocabulary)
 
     def index(own: np.ndarray) -> np.ndarray:
@@ -173,9 +194,9 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for label, w in zip(batch["label"].to_pylist(), batch["words"], strict=True):
-                own = w.values.to_numpy().view(U64)
-                sets = [index(own), *[index(s) for s in swapped(own, kinds)]]
+            for label, text in zip(batch["label"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                h, rows = text_words(text)
+                sets = [index(features(rows)), *map(index, swapped(h, rows))]
                 yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([sets], pa.list_(pa.list_(pa.int32())))], names=["label", "sets"])
 
     # At most VOCABULARY small integers for each of a bounded number of rows.
@@ -201,7 +222,7 @@ def scored(df: DataFrame, model: Model, text_col: str = "text", keep: list[str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = [shared.value.score(text_words(t)) for t in batch["text"].to_pylist()]
+            score = [shared.value.score(features(text_words(t)[1])) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(score, pa.float64())], names=["row", "score"])
 
     rows = narrowed(packed(df, text=F.col(text_col)), keep)
