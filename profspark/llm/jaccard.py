@@ -156,7 +156,8 @@ def jaccard_components(
     scratch.drop(nodes)
 
     labelled = rows.where("n > 0").join(labels, "node", "left").select("id", "n", F.coalesce("label", "node").alias("label"))
-    smallest = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
+    # Written, so that the join has two plain shuffles, of which Spark can split a hot label's rows.
+    smallest = scratch.keep(labelled.groupBy("label").agg(F.min("id").alias("component_id")))
     none = rows.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     found = labelled.join(smallest, "label").select("id", F.col("n").alias("n_shingles"), "component_id")
     return found.unionByName(none).withColumnRenamed("id", id_col)
