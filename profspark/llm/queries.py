@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profspark.llm import bpe, language, toxicity
+from profspark.llm import bpe, chat, language, rules, toxicity
 from profspark.llm.decontaminate import contamination
 from profspark.llm.jaccard import jaccard_components
 from profspark.llm.resample import resampled
@@ -66,13 +66,47 @@ def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(documents, target, keep=["doc_id"])
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.assessed(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], conversations.schema)
+    back = chat.read_back(chat.windows(conversations.unionByName(own)))
+    # A digest of a conversation needs its texts in one place, as no window does.
+    of_window = back.select(
+        "conv_id",
+        F.struct(
+            "window",
+            F.size("turns").alias("n"),
+            F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("turns"),
+            F.array_join("learned", "").alias("learned"),
+            F.length("formatted").alias("chars"),
+        ).alias("w"),
+    )
+    whole = of_window.groupBy("conv_id").agg(F.sort_array(F.collect_list("w")).alias("w"), F.sum("w.n").alias("n_turns"), F.sum("w.chars").alias("formatted_chars"))
+    learned = F.array_join("w.learned", "")
+    return whole.select(
+        "conv_id",
+        F.col("n_turns").cast("long"),
+        F.sha2(F.array_join("w.turns", ""), 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"),
+        F.sha2(learned, 256).alias("loss_sha256"),
+        F.col("formatted_chars").cast("long"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_bpe": op5_bpe,
     "op7_language": op7_language,
+    "op8_quality_rules": op8_quality_rules,
     "op9_importance_resampling": op9_importance_resampling,
+    "op10_chat_windows": op10_chat_windows,
 }
 
 ORACLES = {name: SQL[name] for name in QUERIES if name in SQL}
