@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profspark.llm import bpe, chat, language, rules, toxicity
+from profspark.llm import bpe, chat, language, licenses, pii, rules, toxicity
 from profspark.llm.decontaminate import contamination
 from profspark.llm.jaccard import jaccard_components
 from profspark.llm.resample import resampled
@@ -41,6 +41,16 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scanned(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.array_join(F.array_sort(F.array_distinct("matches.template")), ",").alias("templates"),
+        F.coalesce(F.array_max("matches.containment"), F.lit(0.0)).alias("best"),
+    )
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -52,6 +62,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymised(documents, key="public test key")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = F.coalesce(language.fold("doc_id", 3) == 1, F.lit(False))
@@ -101,8 +116,10 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
+    "op3_license_scan": op3_license_scan,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_bpe": op5_bpe,
+    "op6_surrogates": op6_surrogates,
     "op7_language": op7_language,
     "op8_quality_rules": op8_quality_rules,
     "op9_importance_resampling": op9_importance_resampling,
