@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from profspark.llm.bloom import Bloom
 from profspark.llm.components import components
-from profspark.llm.scratch import Scratch
+from profspark.llm.scratch import Scratch, packed, unpacked
 from profspark.llm.words import SPACED, U64, encoded, mix, shingles, words
 
 TILE = 1024
@@ -163,6 +163,26 @@ def jaccard_components(
     return found.unionByName(none).withColumnRenamed("id", id_col)
 
 
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """`df` with one row of each component: the one with the smallest id, and of rows with one id the first by text hash.
+
+    Of repeated rows one stays. Rows without words are linked with nothing and all stay, repeated ones once.
+    """
+    scratch = Scratch(df.sparkSession)
+    own = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"))
+    found = jaccard_components(df.select(own.alias("own"), F.col(text_col).alias("text")), "own", "text", **options)
+    kept = found.where(F.col("own").eqNullSafe(F.col("component_id"))).groupBy("own").agg(F.count(F.lit(1)).alias("copies"))
+    kept = scratch.keep(kept.select(F.xxhash64("own.id", "own.mark").alias("key"), "own", "copies"))
+    rows = packed(df, key=F.xxhash64(F.col(id_col), F.xxhash64(text_col)), own=own)
+    named = kept.select("key", F.col("own").alias("kept"), "copies")
+    once = rows.join(named.where("copies = 1"), "key").where(F.col("own").eqNullSafe(F.col("kept"))).select("row")
+    if not kept.where("copies > 1").isEmpty():
+        again = rows.join(named.where("copies > 1"), "key").where(F.col("own").eqNullSafe(F.col("kept")))
+        number = F.row_number().over(Window.partitionBy("key", "own").orderBy(F.lit(1)))
+        once = once.unionByName(again.withColumn("number", number).where("number = 1").select("row"))
+    return unpacked(once)
+
+
 def _links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, size: int, p: int, q: int, tile: int) -> DataFrame:
     """Edges (u, v) between sets, enough of them to connect whatever links connect."""
     flat = nodes.select("node", F.explode("sigs").alias("sig"))

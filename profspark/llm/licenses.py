@@ -22,6 +22,7 @@ from profspark.llm.words import ALNUM, U64, encoded, windows, words
 SHINGLE, SHARE, STEP, BANDS = 5, 0.8, 1.25, 16
 #: Templates are sent to every executor; more than this many words of them are refused.
 MOST_WORDS = 2_000_000
+PIECE = 1 << 14
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -64,29 +65,28 @@ class Index:
                 k = min(size, len(h))
                 own = np.unique(windows(h, k))
                 classes.setdefault((k, block_size(len(h) - k + 1)), []).append(Template(name, own))
-        self.classes = {key: (own, [np.array([(t.shingles * f).min() for t in own]) for f in self.factor]) for key, own in classes.items()}
+        self.classes = {key: (own, [(t.shingles * self.factor[:, None]).min(axis=1) for t in own]) for key, own in classes.items()}
+
+    def least(self, s: np.ndarray, block: int) -> np.ndarray:
+        """For each hash function and each window of three blocks, the least value; a few thousand blocks at a time."""
+        step = block * (1 + PIECE // block)
+        parts = [np.minimum.reduceat(s[a : a + step] * self.factor[:, None], np.arange(0, min(step, len(s) - a), block), axis=1) for a in range(0, len(s), step)]
+        low = parts[0] if len(parts) == 1 else np.concatenate(parts, axis=1)
+        out = low.copy()
+        for shift in (1, 2):
+            np.minimum(out[:, :-shift], low[:, shift:], out=out[:, :-shift])
+        return out
 
     def matches(self, h: np.ndarray, share: float) -> list[tuple[str, float, int, int]]:
-        out = []
-        sizes = {k for k, _ in self.classes}
-        for k in sorted(sizes):
-            s = windows(h, k)
-            if not len(s):
-                continue
-            found: dict[tuple[int, int], set[int]] = {}
-            for f_at, f in enumerate(self.factor):
-                value = s * f
-                for (own_k, block), (_, least) in self.classes.items():
-                    if own_k == k:
-                        low = np.minimum.reduceat(value, np.arange(0, len(s), block))
-                        padded = np.concatenate((low, low[-1:], low[-1:]))
-                        low = np.minimum(np.minimum(padded[:-2], padded[1:-1]), padded[2:])
-                        for t, v in enumerate(least[f_at]):
-                            at = np.flatnonzero(low == v)
-                            if len(at):
-                                found.setdefault((block, t), set()).update(at.tolist())
-            for (block, t), windows_at in found.items():
-                out += _verified(s, k, block, self.classes[k, block][0][t], sorted(windows_at), share)
+        out, shingles = [], {k: windows(h, k) for k, _ in self.classes}
+        for (k, block), (templates, values) in self.classes.items():
+            s = shingles[k]
+            if len(s):
+                low = self.least(s, block)
+                for t, v in zip(templates, values, strict=True):
+                    at = np.flatnonzero((low == v[:, None]).any(axis=0))
+                    if len(at):
+                        out += _verified(s, k, block, t, at.tolist(), share)
         return sorted(out)
 
 

@@ -126,4 +126,5 @@ QUERIES: dict[str, Query] = {
     "op10_chat_windows": op10_chat_windows,
 }
 
+# SQL has the digests of op10 (see tests/llm), but not the windows.
 ORACLES = {name: SQL[name] for name in QUERIES if name in SQL}

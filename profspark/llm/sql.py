@@ -68,9 +68,9 @@ def _license_sql() -> str:
     words = "regexp_extract_all(" + FOLD.format("{}") + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     return f"""
 with templates as (
-    select name, w, least(len(w), {licenses.SHINGLE}) as k from (select column0 as name, {words.format("column1")} as w from (values {rows}))
+    select name, w, least(len(w), {licenses.SHINGLE}) as k from (select column0 as name, {words.format("column1")} as w from (values {rows}) v(column0, column1))
 ), sized as (
-    select name, w, k, column1 as block from templates join (values {blocks}) b on column0 = len(w) - k + 1
+    select name, w, k, column1 as block from templates join (values {blocks}) b(column0, column1) on column0 = len(w) - k + 1
 ), wanted as (
     select distinct name, k, block, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) as shingle from sized
 ), size as (
@@ -82,21 +82,21 @@ with templates as (
         unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) as shingle
     from docs, (select distinct k from wanted) where len(w) >= k
 ), hits as (
-    select doc_id, name, shingle, pos, pos // block as b from places p join wanted t on p.k = t.k and p.shingle = t.shingle
+    select doc_id, name, p.shingle, pos, pos // block as b from places p join wanted t on p.k = t.k and p.shingle = t.shingle
 ), windows as (
-    select doc_id, name, b - d as at, count(distinct shingle) as n from hits, (values (0), (1), (2)) o(d) where b >= d group by all
+    select doc_id, name, b - d as nr, count(distinct shingle) as n from hits, (values (0), (1), (2)) o(d) where b >= d group by all
 ), good as (
-    select w.doc_id, w.name, w.at from windows w join size s using (name) where w.n >= {licenses.SHARE} * s.n - 1e-9
+    select w.doc_id, w.name, w.nr from windows w join size s using (name) where w.n >= {licenses.SHARE} * s.n - 1e-9
 ), spans as (
-    select g.doc_id, g.name, g.at, min(h.pos) as first, max(h.pos) as last
-    from good g join hits h on g.doc_id = h.doc_id and g.name = h.name and h.b between g.at and g.at + 2 group by all
+    select g.doc_id, g.name, g.nr, min(h.pos) as first, max(h.pos) as last
+    from good g join hits h on g.doc_id = h.doc_id and g.name = h.name and h.b between g.nr and g.nr + 2 group by all
 ), marked as (
-    select *, max(last) over (partition by doc_id, name order by at rows between unbounded preceding and 1 preceding) as seen from spans
+    select *, max(last) over (partition by doc_id, name order by nr rows between unbounded preceding and 1 preceding) as seen from spans
 ), grouped as (
-    select *, sum(case when seen is null or first > seen then 1 else 0 end) over (partition by doc_id, name order by at rows unbounded preceding) as place from marked
+    select *, sum(case when seen is null or first > seen then 1 else 0 end) over (partition by doc_id, name order by nr rows unbounded preceding) as place from marked
 ), best as (
     select g.doc_id, g.name, g.place, count(distinct h.shingle) * 1.0 / any_value(s.n) as containment
-    from grouped g join hits h on g.doc_id = h.doc_id and g.name = h.name and h.b between g.at and g.at + 2 join size s on s.name = g.name
+    from grouped g join hits h on g.doc_id = h.doc_id and g.name = h.name and h.b between g.nr and g.nr + 2 join size s on s.name = g.name
     group by g.doc_id, g.name, g.place
 ), found as (
     select doc_id, string_agg(distinct name, ',' order by name) as templates, max(containment) as best from best group by doc_id
