@@ -23,6 +23,7 @@ from profspark.sources import derived, events as source
 from profspark.streaming import fold, steps
 
 try:
+    import corpus_pipeline
     from profspark.llm import queries as corpus
 except ModuleNotFoundError as missing:  # the corpus operators are an optional part
     if missing.name not in ("profspark.llm", "corpus_pipeline"):
@@ -368,12 +369,15 @@ def queries() -> dict[str, Query]:
         "dropped_totals": lambda spark, d: telemetry.counter_totals(derived.cpu_errors(spark, d)),
         "reset_markers": lambda spark, d: telemetry.reset_markers(telemetry.counter_totals(derived.cpu_errors(spark, d))),
         "program_json": lambda spark, d: telemetry.program_list(derived.program_lists(spark, d), "cmd0"),
-        **(corpus.QUERIES if corpus else {}),
+        **({**corpus.QUERIES, "pipeline": corpus_pipeline.run} if corpus else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**ORACLE, **(corpus.ORACLES if corpus else {})}
+    oracles = {**ORACLE, **(corpus.ORACLES if corpus else {})}
+    if corpus and corpus_pipeline.ORACLE_SQL:
+        oracles["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return oracles
 
 
 def entry(spark: SparkSession) -> DataFrame:
