@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from profspark.llm.sampling import first_rows
 from profspark.llm.scratch import Scratch, narrowed, packed, row_and, unpacked
 from profspark.llm.words import ALNUM, U64, encoded, windows, words
 
@@ -34,7 +35,8 @@ def log_ratios(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
 
     Raw counts cover every text of `df`; target counts the texts of at most `target_rows` ids of `target`.
     """
-    chosen = target.select(F.col(id_col).alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(target_rows)
+    named = target.select(F.col(id_col).alias("id")).where("id is not null").distinct()
+    chosen = first_rows(named, "id", target_rows, named.count())
     flag = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.withColumn("target", F.lit(True))), "id", "left").select("target", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

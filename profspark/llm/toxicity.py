@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from profspark.llm.sampling import first_rows
 from profspark.llm.scratch import Scratch, narrowed, packed, row_and, unpacked
 from profspark.llm.words import ALNUM, U64, encoded, mix, words
 
@@ -162,8 +163,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = df.sparkSession
     named = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     totals = {r.label: r["count"] for r in named.groupBy("label").count().collect()}
-    order = [F.xxhash64("id"), F.col("id")]
-    chosen = named.where("label = 1").orderBy(*order).limit(rows_per_label).unionByName(named.where("label = 0").orderBy(*order).limit(rows_per_label))
+    one, zero = (first_rows(named.where(F.col("label") == v), "id", rows_per_label, totals.get(v, 0)) for v in (1, 0))
+    chosen = one.unionByName(zero)
     # Bounded by the two limits, so that it may be sent to all executors.
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("label", "text")
 
