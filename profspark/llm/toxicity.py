@@ -1,7 +1,7 @@
 """Toxicity with a counterfactual-regularised classifier.
 
 A sparse logistic regression over the words of a text and their beginnings. In labelled texts that name a group of people, the group's terms
-are swapped for other terms of the same kind, or for a neutral one; training adds a penalty on the squared change of the
+are swapped for other terms of the same kind, or for an unknown word; training adds a penalty on the squared change of the
 score's logit. A term that is frequent in toxic texts so cannot become evidence by itself, and neutral mentions of a
 group keep a low score.
 """
@@ -20,7 +20,7 @@ from profspark.llm.sampling import first_rows
 from profspark.llm.scratch import Scratch, narrowed, packed, row_and, unpacked
 from profspark.llm.words import ALNUM, U64, encoded, mix, words
 
-# Terms that name groups, by kind; the first of each is the neutral one.
+# Terms that name groups, by kind.
 IDENTITIES = {
     "en_plural": "people women men muslims christians jews immigrants blacks whites asians arabs gays lesbians",
     "en_person": "person woman man muslim christian jew immigrant",
@@ -74,14 +74,17 @@ def _kinds() -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def swapped(h: np.ndarray, rows: np.ndarray, swaps: int = SWAPS) -> list[np.ndarray]:
-    """Features of copies with each group term replaced by another of its kind, in the first copy by the neutral one."""
+    """Features of copies with each group term replaced by another of its kind, in the first copy by a word without any.
+
+    Terms that may all be swapped for each other could still count as evidence together; the unknown word rules that out.
+    """
     named = [(k, int(i)) for k, (terms, _) in enumerate(_kinds()) for i in np.flatnonzero(np.isin(terms, h))]
     if not named:
         return []
     rest = rows[~np.isin(h, np.concatenate([terms for terms, _ in _kinds()]))]
     out = []
     for s in range(swaps):
-        new = [_kinds()[k][1][0 if s == 0 else (i + s) % len(_kinds()[k][0])] for k, i in named]
+        new = [_kinds()[k][1][(i + s) % len(_kinds()[k][0])] for k, i in named] if s else []
         out.append(features(np.vstack((rest, *new))))
     return out
 
