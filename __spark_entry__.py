@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from oracle import ORACLE
 from profspark.functions.frames import c_string, frame_names, stack_text
 from profspark.operators import kernel, process, spans, symbols, telemetry
-from profspark.operators.hot import shared_dir
+from profspark.operators.hot import GROUP_ROWS, shared_dir
 from profspark.plans import by_stack, collect, tracks
 from profspark.plans.profile import profile
 from profspark.plans.profile_bytes import profile_chunks
@@ -41,7 +41,7 @@ def _text(stack: str = "ustack") -> Column:
     return stack_text(stack).alias("stack")
 
 
-def _stacks(analysis, **options) -> Query:
+def _by_path(analysis, **options) -> Query:
     """A by-stack analysis with its call paths as text."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,12 +178,12 @@ def _rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derived.raw(spark, sf_dir).where(F.col("ustack_id").isNotNull())
-    resolved = symbols.resolved_stacks(rows, derived.stackmap(spark, sf_dir), derived.symbols(spark, sf_dir))
+    resolved = symbols.resolved_call_paths(rows, derived.stackmap(spark, sf_dir), derived.symbols(spark, sf_dir))
     return resolved.select("scope", "stack_id", stack_text("stack").alias("stack"))
 
 
 def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = symbols.used_stacks(derived.raw(spark, sf_dir))
+    used = symbols.used_call_paths(derived.raw(spark, sf_dir))
     return symbols.stack_addresses(used, derived.stackmap(spark, sf_dir))
 
 
@@ -232,6 +232,9 @@ def _stream(name: str, step, *columns: str) -> Query:
         rows = getattr(derived, name)(spark, sf_dir, derived.table_stream)
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         fold.start(rows, step, path).awaitTermination()
+        for part in ("state", "checkpoint"):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
         out = spark.read.parquet(f"{path}/out")
         return out.select(*columns) if columns else out.drop("batch")
 
@@ -244,28 +247,45 @@ def _string_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strings.agg(F.sum(F.length("data")).alias("bytes"))
 
 
+def _hot(query: Query, rows: int = 50) -> Query:
+    """A query as it runs where keys of more than ``rows`` rows are hot: on large inputs, but for the number."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = spark.conf.get(GROUP_ROWS, None)
+        spark.conf.set(GROUP_ROWS, str(rows))
+        try:
+            return query(spark, sf_dir)
+        finally:
+            if before is None:
+                spark.conf.unset(GROUP_ROWS)
+            else:
+                spark.conf.set(GROUP_ROWS, before)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
     seconds = 1_000_000_000
     slice_start, slice_end = 1_704_153_600 * seconds, 1_704_240_000 * seconds + 500_000_000
     return {
         # Analyses by call path
-        "cpu_by_stack": _stacks(by_stack.cpu_time, **WHO),
-        "cpu_by_stack_command": _stacks(by_stack.cpu_time, **CMD),
-        "blk_bytes": _stacks(by_stack.block_bytes, **WHO),
-        "blk_latency": _stacks(by_stack.block_latency, **WHO),
-        "tcp_bytes": _stacks(by_stack.tcp_bandwidth, **WHO),
-        "udp_bytes": _stacks(by_stack.udp_bandwidth, **WHO),
-        "vfs_read_bytes": _stacks(by_stack.file_read_bytes, **WHO),
-        "vfs_read_bytes_command": _stacks(by_stack.file_read_bytes, **CMD),
-        "vfs_write_bytes": _stacks(by_stack.file_write_bytes, **WHO),
-        "vfs_write_bytes_command": _stacks(by_stack.file_write_bytes, **CMD),
-        "offcpu": _stacks(by_stack.off_cpu, **WHO),
-        "offcpu_command": _stacks(by_stack.off_cpu, **CMD),
-        "offcpu_all_frames": _stacks(by_stack.off_cpu, dedup=False, **WHO),
-        "rss_growth": _stacks(by_stack.rss_growth, **WHO),
-        "rss_growth_command": _stacks(by_stack.rss_growth, **CMD),
-        "span_wait": _stacks(by_stack.span_wait),
-        "span_wait_clamped": _stacks(by_stack.span_wait, clamp_negative=True, span_keys=("tgid", "span_id")),
+        "cpu_by_stack": _by_path(by_stack.cpu_time, **WHO),
+        "cpu_by_stack_command": _by_path(by_stack.cpu_time, **CMD),
+        "blk_bytes": _by_path(by_stack.block_bytes, **WHO),
+        "blk_latency": _by_path(by_stack.block_latency, **WHO),
+        "tcp_bytes": _by_path(by_stack.tcp_bandwidth, **WHO),
+        "udp_bytes": _by_path(by_stack.udp_bandwidth, **WHO),
+        "vfs_read_bytes": _by_path(by_stack.file_read_bytes, **WHO),
+        "vfs_read_bytes_command": _by_path(by_stack.file_read_bytes, **CMD),
+        "vfs_write_bytes": _by_path(by_stack.file_write_bytes, **WHO),
+        "vfs_write_bytes_command": _by_path(by_stack.file_write_bytes, **CMD),
+        "offcpu": _by_path(by_stack.off_cpu, **WHO),
+        "offcpu_command": _by_path(by_stack.off_cpu, **CMD),
+        "offcpu_all_frames": _by_path(by_stack.off_cpu, dedup=False, **WHO),
+        "rss_growth": _by_path(by_stack.rss_growth, **WHO),
+        "rss_growth_command": _by_path(by_stack.rss_growth, **CMD),
+        "span_wait": _by_path(by_stack.span_wait),
+        "span_wait_clamped": _by_path(by_stack.span_wait, clamp_negative=True, span_keys=("tgid", "span_id")),
         # Timelines and reports
         "rss_track": _track(tracks.rss_track),
         "switch_slices": _track(tracks.switch_slices),
@@ -324,7 +344,7 @@ def queries() -> dict[str, Query]:
         ),
         "process_filter": _raw(lambda r: kernel.keep_tracked(r.withColumn("pid", F.when(F.col("type").isin("process_exec", "process_exit"), F.col("tgid")).otherwise(F.col("pid"))), ["cmd1"]).select("seq", "type")),
         "stack_selection": _raw(
-            lambda r: kernel.select_stacks(r, {"sample": "u", "switch": "uk", "rss": "k", "block": "n"})
+            lambda r: kernel.select_call_paths(r, {"sample": "u", "switch": "uk", "rss": "k", "block": "n"})
             .groupBy("type")
             .agg(F.sum(F.when(F.col("ustack_id") >= 0, 1).otherwise(0)).alias("user"), F.sum(F.when(F.col("kstack_id") >= 0, 1).otherwise(0)).alias("kernel"))
         ),
@@ -360,8 +380,13 @@ def queries() -> dict[str, Query]:
             "seq", "timestamp", "duration", "kind", "cpu", "tgid", "pid", "span_id", "parent_id", "id", "amount", "command", "trace_name",
             "ustack_id", "kstack_id",
         ),
+        # The same with hot keys
+        "hot_offcpu": _hot(_by_path(by_stack.off_cpu, **WHO)),
+        "hot_rss_growth": _hot(_by_path(by_stack.rss_growth, **WHO)),
+        "hot_span_exit": _hot(lambda spark, d: spans.span_exits(_span_state(spark, d)).select(*SPAN_COLUMNS)),
+        "hot_collected_events": _hot(_collected),
         # Telemetry
-        "missing_stacks": _raw(tracks.missing_stacks),
+        "missing_call_paths": _raw(tracks.missing_call_paths),
         "program_events": _raw(telemetry.events_per_program),
         "counter_delta": _deltas,
         "program_rates": _rates,

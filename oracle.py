@@ -208,7 +208,7 @@ def _wait(name: str, keys: str, wait: str) -> None:
         select {text("ustack")} as stack, n as count, v as wait_ns from (
             select ustack, count(*) as n, cast(sum({wait}) as bigint) as v from (
                 select ustack, kind, "timestamp" as parked,
-                       coalesce(lead("timestamp" - duration) over (partition by {keys} order by "timestamp"),
+                       coalesce(lead("timestamp" - duration) over (partition by {keys} order by "timestamp", kind desc),
                                 (select max("timestamp") from ev)) as resumed
                 from ev where kind in ('trace_exit', 'trace_close')
             ) where kind = 'trace_exit' group by ustack)
@@ -259,7 +259,7 @@ _slices(
     select 'complete' as event, kind, "timestamp" // 1000 as start,
            ((select max("timestamp") from ev) - "timestamp") // 1000 as duration, tgid as pid, tgid as tid,
            trace_name as name, cpu, ustack as end_stack
-    from (select *, lead("timestamp" - duration) over (partition by span_id order by "timestamp") as resumed
+    from (select *, lead("timestamp" - duration) over (partition by span_id order by "timestamp", kind desc) as resumed
           from ev where kind in ('trace_exit', 'trace_close'))
     where kind = 'trace_exit' and resumed is null
     """,
@@ -795,7 +795,7 @@ _query("unknown_types", "select seq, 'unknown type' as reason from raw where cpu
 # ---------------------------------------------------------------- telemetry
 
 _query(
-    "missing_stacks",
+    "missing_call_paths",
     "select ustack_id, count(*) as count from raw where type = 'sample' and ustack_id < -1 group by ustack_id",
     "raw",
 )
@@ -877,3 +877,8 @@ _query(
     "rss",
 )
 _query("stream_events", "select * exclude (exe) from collected", "collected")
+
+# ---------------------------------------------------------------- with hot keys
+
+for _name in ("offcpu", "rss_growth", "span_exit", "collected_events"):
+    ORACLE[f"hot_{_name}"] = ORACLE[_name]

@@ -1,52 +1,46 @@
 """Hot keys: find them, and join or order by them without one task getting a whole key.
 
-A key is hot when it has more rows than a task should take. At most ``MAX_HOT`` keys are kept, the largest ones; any
-other key then has less than 1/``MAX_HOT`` of all rows, so the list is bounded by construction and may be inlined.
+A key is hot when it has more rows than a task should take. There are at most rows / ``GROUP_ROWS`` such keys. They stay
+a table; their number is known, so that it is broadcast only below a bound.
 """
 
 import tempfile
+from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_HOT = 4096
-MAX_SLICES = 16384
-
-# Session settings. Plans that read less than SMALL_BYTES are not searched for hot keys, since a key can then at
-# most hold that much; larger ones are, and a key above GROUP_ROWS rows counts as hot.
-SMALL_BYTES = "profspark.hot.smallBytes"
+# Session setting: a key with more rows than this is hot.
 GROUP_ROWS = "profspark.hot.groupRows"
-DEFAULTS = {SMALL_BYTES: 1 << 30, GROUP_ROWS: 1_000_000}
-
+DEFAULT_GROUP_ROWS = 1_000_000
+# A table of so many (hash, number) rows takes some 50 MB at most on each executor; larger ones are joined by shuffles.
+BROADCAST_KEYS = 1_000_000
 
-def setting(df: DataFrame, key: str) -> int:
-    return int(df.sparkSession.conf.get(key, str(DEFAULTS[key])))
 
+def group_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get(GROUP_ROWS, str(DEFAULT_GROUP_ROWS)))
 
-def input_bytes(df: DataFrame) -> int | None:
-    """Size of the tables a plan reads, None where it cannot be told (remote sessions)."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
-    except AttributeError:
-        return None
 
-
-def is_small(df: DataFrame) -> bool:
-    size = input_bytes(df)
-    return size is not None and size < setting(df, SMALL_BYTES)
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="checkpoint-")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where none is set, as in tests, a temporary folder."""
+    """The session's ``spark.checkpoint.dir``. Only a local master, as in tests, may go without: it gets a folder of its
+    own; on a cluster executors would not see it."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return given or tempfile.mkdtemp(prefix="checkpoint-")
+    if given:
+        return given.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder()
 
 
-def materialized(df: DataFrame, always: bool = False) -> DataFrame:
-    """Cut a plan that several others start from: a checkpoint in the shared folder, unless the input is small."""
-    if not always and is_small(df):
-        return df
+def materialized(df: DataFrame) -> DataFrame:
+    """Cut a plan that several others start from: a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
@@ -57,58 +51,51 @@ def key_hash(keys: list[str]) -> Column:
     return F.xxhash64(*[F.col(k) for k in keys])
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> list[tuple[int, int]]:
-    """(hash, rows) of the hot keys, largest first. One narrow counting job, none for small inputs.
+@dataclass(frozen=True)
+class HotKeys:
+    """``frame`` (_h, _n): hash and rows of each hot key; ``count`` of them with ``rows`` in all. False without any."""
+
+    frame: DataFrame
+    count: int
+    rows: int
+
+    def __bool__(self) -> bool:
+        return self.count > 0
+
+    def small(self) -> DataFrame:
+        return F.broadcast(self.frame) if self.count <= BROADCAST_KEYS else self.frame
+
 
-    ``df`` is run for this, so it should be an input or a materialized result, not a long plan.
+def hot_keys(df: DataFrame, keys: list[str]) -> HotKeys:
+    """The keys of more than ``GROUP_ROWS`` rows, by one narrow counting job.
 
-    Two keys with one hash are treated as one, which only means that a cold key may be handled like a hot one.
+    ``df`` is run for this, so it should be an input or a materialized result, not a long plan. Two keys with one hash
+    are treated as one, which only means that a cold key may be handled like a hot one. A null key is a key like others.
     """
-    narrow = df.select(key_hash(keys).alias("h"))
-    if is_small(narrow):
-        return []
-    top = (
-        narrow.groupBy("h")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > setting(df, GROUP_ROWS))
-        .orderBy(F.desc("n"), "h")
-        .limit(MAX_HOT)
-    )
-    return [(row.h, row.n) for row in top.collect()]
-
-
-def spread_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    spread_by: str,
-    hot: list[int],
-    how: str = "left",
-    salts: int = 64,
-) -> DataFrame:
-    """Equi-join whose left side holds the hot keys ``hot`` (hashes); ``right`` has few rows per key.
-
-    Only rows of hot keys are salted, and only the matching rows of ``right`` are repeated, so nothing else grows.
-    ``spread_by`` is a left column that varies within a key.
+    counted = df.select(key_hash(keys).alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
+    found = materialized(counted.where(F.col("_n") > group_rows(df.sparkSession)))
+    total = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    return HotKeys(found, total[0], total[1])
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: str, hot: HotKeys, how: str = "left") -> DataFrame:
+    """Equi-join whose left side holds the hot keys ``hot``; ``right`` has few rows per key.
+
+    A hot key's rows are dealt into as many salts as a task's share goes into them, and only the matching rows of
+    ``right`` are repeated. ``spread_by`` is a left column that varies within a key.
     """
     if not hot:
         return left.join(right, keys, how)
-    is_hot = key_hash(keys).isin(hot)
-    salt = F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0)
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return (
-        left.withColumn("_salt", salt)
-        .join(right.withColumn("_salt", F.explode(copies)), [*keys, "_salt"], how)
-        .drop("_salt")
-    )
-
-
-def dictionary_join(
-    left: DataFrame, right: DataFrame, keys: list[str], spread_by: str, how: str = "left", salts: int = 16
-) -> DataFrame:
-    """Equi-join with a dictionary much smaller than ``left``: every key is salted, so that no key is ever hot."""
-    return (
-        left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-        .join(right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*keys, "_salt"], how)
-        .drop("_salt")
-    )
+    salts = hot.small().withColumn("_salts", F.ceil(F.col("_n") / group_rows(left.sparkSession)).cast("int"))
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.withColumn("_h", key_hash(keys)).join(salts, "_h", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+
+    salted = marked(left).withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.col("_salts")).cast("int")).drop("_h", "_n", "_salts")
+    repeated = marked(right).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_h", "_n", "_salts")
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def dictionary_join(left: DataFrame, right: DataFrame, keys: list[str], spread_by: str, how: str = "left") -> DataFrame:
+    """Equi-join with a dictionary much smaller than ``left``, an input or materialized, whose hot keys are spread."""
+    return spread_join(left, right, keys, spread_by, hot_keys(left, keys), how)

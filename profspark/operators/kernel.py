@@ -105,7 +105,7 @@ def keep_tracked(raw: DataFrame, commands: list[str]) -> DataFrame:
     return states.where(tracked | passes).drop("_now", "_before")
 
 
-def select_stacks(raw: DataFrame, collected: dict[str, str]) -> DataFrame:
+def select_call_paths(raw: DataFrame, collected: dict[str, str]) -> DataFrame:
     """Keep the stack ids asked for per event type: 'u', 'k', 'uk' / 'ku' or 'n'; others become -1."""
 
     def wanted(letter: str) -> list[str]:

@@ -2,33 +2,34 @@
 
 A plain window sorts all rows of a key in one task. Here the rows of hot keys are first cut into slices of the order
 column, at quantiles of the hot rows, so that no (key, slice) group is large. Windows run inside the slices, a summary
-of one row per (key, slice) carries the values over from slice to slice, and a join on (key, slice), which the window's
-partitioning already satisfies, adds them. Keys that are not hot stay in slice 0 and need no carry; without any hot key
-the plan is the plain window.
+of one row per (key, slice) carries the values over from slice to slice, and a join on (key, slice) adds them. Null keys
+are keys like others, and null order values come first, as in the plain window. Rows of other keys take the plain window;
+without any hot key it is the whole plan.
 """
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from profspark.operators.hot import GROUP_ROWS, MAX_SLICES, hot_keys, key_hash, materialized, setting
+from profspark.operators.hot import HotKeys, group_rows, hot_keys, key_hash, materialized
 
 FIRST = Window.unboundedPreceding
 
 
 @dataclass(frozen=True)
 class Slicing:
-    """How the rows of hot keys are cut: the hot key hashes and the cut points on the order column."""
+    """How the rows of hot keys are cut: the hot keys, and the cut points on the order column."""
 
     keys: list[str]
     order: str
-    hot: list[int] = field(default_factory=list)
+    hot: HotKeys | None = None
     cuts: list[float] = field(default_factory=list)
 
     def attach(self, df: DataFrame, name: str) -> DataFrame:
-        """Add the slice number: 0 for keys that are not hot, from 1 on along the order for hot ones."""
+        """Add the slice number: 0 for keys that are not hot, from 1 on along the order for hot ones, nulls first."""
         if not self.hot:
             return df
         from pyspark.ml.feature import Bucketizer
@@ -36,25 +37,35 @@ class Slicing:
         cutter = Bucketizer(
             splits=[float("-inf"), *self.cuts, float("inf")], inputCol="_order", outputCol="_cut", handleInvalid="keep"
         )
-        number = F.when(key_hash(self.keys).isin(self.hot), F.col("_cut").cast("int") + 1).otherwise(0)
-        return (
-            cutter.transform(df.withColumn("_order", F.col(self.order).cast("double")))
-            .withColumn(name, number)
-            .drop("_order", "_cut")
-        )
+        flags = self.hot.small().select("_h", F.lit(True).alias("_hot"))
+        marked = df.withColumn("_h", key_hash(self.keys)).join(flags, "_h", "left")
+        # The cutter leaves nulls out; their place is the first slice.
+        order = F.col(self.order).cast("double")
+        marked = marked.withColumns({"_order": F.coalesce(order, F.lit(0.0)), "_null": order.isNull()})
+        number = F.when(F.col("_hot") & F.col("_null"), 1).when(F.col("_hot"), F.col("_cut").cast("int") + 1).otherwise(0)
+        return cutter.transform(marked).withColumn(name, number).drop("_h", "_hot", "_order", "_null", "_cut")
 
 
 def slicing(df: DataFrame, keys: list[str], order: str) -> Slicing:
-    """Decide the slices from the data: one narrow count, and quantiles only when there are hot keys."""
+    """Decide the slices from the data: one narrow count, and quantiles only when there are hot keys.
+
+    The number of slices follows the rows of hot keys. Rows with one key and one order value stay together.
+    """
     found = hot_keys(df, keys)
     if not found:
         return Slicing(keys, order)
-    hot = [h for h, _ in found]
-    rows = sum(n for _, n in found)
-    slices = max(2, min(MAX_SLICES, -(-rows // setting(df, GROUP_ROWS))))
-    values = df.where(key_hash(keys).isin(hot)).select(F.col(order).cast("double").alias("v"))
+    slices = max(2, -(-found.rows // group_rows(df.sparkSession)))
+    hot_rows = df.withColumn("_h", key_hash(keys)).join(found.small(), "_h", "left_semi")
+    values = hot_rows.select(F.col(order).cast("double").alias("v"))
     cuts = values.approxQuantile("v", [i / slices for i in range(1, slices)], 1 / (2 * slices))
-    return Slicing(keys, order, hot, sorted(set(cuts)))
+    return Slicing(keys, order, found, sorted({c for c in cuts if c == c}))
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on ``keys``, in which null equals null."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(other, same, "left").drop(*[f"_r_{k}" for k in keys])
 
 
 @dataclass(frozen=True)
@@ -123,7 +134,7 @@ class Ordered:
             )
             for name, step in steps.items()
         }
-        joined = df.withColumns(wrapped).join(carry, groups, "left")
+        joined = null_safe_join(df.withColumns(wrapped), carry, groups)
         done = {name: _combine(step, F.col(f"_l_{name}"), F.col(f"_c_{name}")) for name, step in steps.items()}
         helpers = [f"_{part}_{name}" for part in "lc" for name in steps]
         return joined.withColumns(done).drop(*helpers)
@@ -153,7 +164,7 @@ class Ordered:
             .withColumn("_before", F.min(F.col("_base") + F.col("_lowest")).over(earlier))
             .select(*groups, "_base", "_before")
         )
-        joined = rows.withColumn("_low", low).join(carry, groups, "left")
+        joined = null_safe_join(rows.withColumn("_low", low), carry, groups)
         floor = F.least(F.coalesce("_before", zero), F.coalesce(F.col("_base") + F.col("_low"), zero), zero)
         found = F.col("_base") + F.col("_sum") - F.col("_change") - floor
         return joined.withColumn(name, found).drop("_change", "_sum", "_low", "_base", "_before")
@@ -214,7 +225,7 @@ def _combine(step: Step, local: Column, carried: Column) -> Column:
 def ordered(df: DataFrame, keys: list[str], order: list[str], **steps: Step) -> DataFrame:
     """One-off form: decide the slices on ``keys`` and the first order column, run the steps, drop the slice."""
     cut = slicing(df, keys, order[0])
-    return Ordered(keys, order, "_slice").apply(cut.attach(df, "_slice"), **steps).drop("_slice")
+    return chained(df, cut, lambda rows, slice_col: Ordered(keys, order, slice_col).apply(rows, **steps), derived=False)
 
 
 def chained(

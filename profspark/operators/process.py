@@ -6,34 +6,19 @@ from pyspark.sql import functions as F
 from profspark.functions.frames import c_string
 from profspark.operators.ordered import Ordered, Slicing, chained, last, running_sum, slicing
 
-
-# Losses are seen at most once per poll, so a capture has few; beyond this many they are counted by a distributed pass.
-MAX_INLINE_RESETS = 4096
 BLOCK_BITS = 18
 
 
 def with_epoch(raw: DataFrame) -> DataFrame:
     """Number the stretches between losses of events: state is never carried over a reset marker.
 
-    The few reset positions are read with one filtered scan and looked up per row, without a shuffle.
+    A running count of resets over blocks of the arrival order, carried from block to block; without any reset, which
+    one filtered scan tells, a constant.
     """
     if "epoch" in raw.columns:
         return raw
-    resets = raw.where(F.col("type") == "reset").select("seq")
-    found = [row.seq for row in resets.orderBy("seq").limit(MAX_INLINE_RESETS + 1).collect()]
-    if not found:
+    if raw.where(F.col("type") == "reset").isEmpty():
         return raw.withColumn("epoch", F.lit(0).cast("bigint"))
-    if len(found) > MAX_INLINE_RESETS:
-        return _count_resets(raw)
-    from pyspark.ml.feature import Bucketizer
-
-    cutter = Bucketizer(splits=[float("-inf"), *found, float("inf")], inputCol="_seq", outputCol="_epoch")
-    cut = cutter.transform(raw.withColumn("_seq", F.col("seq").cast("double")))
-    return cut.withColumn("epoch", F.col("_epoch").cast("bigint")).drop("_seq", "_epoch")
-
-
-def _count_resets(raw: DataFrame) -> DataFrame:
-    """Running count of resets over blocks of the arrival order, carried from block to block."""
     blocks = raw.withColumn("_block", F.shiftright("seq", BLOCK_BITS) + 1)
     is_reset = F.when(F.col("type") == "reset", 1).otherwise(0).cast("bigint")
     return Ordered([], ["seq"], "_block").apply(blocks, epoch=running_sum(is_reset)).drop("_block")

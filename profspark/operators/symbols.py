@@ -8,8 +8,8 @@ from profspark.operators.ranges import range_lookup
 from profspark.schema import FRAME, KERNEL_SCOPE
 
 
-def used_stacks(rows: DataFrame) -> DataFrame:
-    """Distinct (scope, stack_id) of the rows: user stacks per process, kernel stacks in one scope. Ids below 0 mean
+def used_call_paths(rows: DataFrame) -> DataFrame:
+    """Distinct (scope, stack_id) of the rows: user call paths per process, kernel ones in one scope. Ids below 0 mean
     that no stack was collected."""
     user = F.struct(F.col("tgid").alias("scope"), F.col("ustack_id").alias("stack_id"))
     kernel = F.struct(F.lit(KERNEL_SCOPE).cast("bigint").alias("scope"), F.col("kstack_id").alias("stack_id"))
@@ -19,7 +19,7 @@ def used_stacks(rows: DataFrame) -> DataFrame:
 
 def stack_addresses(used: DataFrame, stackmap: DataFrame) -> DataFrame:
     """(scope, stack_id, pos, address) of the non-zero addresses; unknown stack ids vanish."""
-    hot = [h for h, _ in hot_keys(used, ["stack_id"])]
+    hot = hot_keys(used, ["stack_id"])
     return (
         spread_join(used, stackmap, ["stack_id"], "scope", hot, "inner")
         .select("scope", "stack_id", F.posexplode("frames").alias("pos", "address"))
@@ -37,14 +37,14 @@ def resolve_addresses(addresses: DataFrame, symbols: DataFrame) -> DataFrame:
     return named.where("found").select("scope", "address", frame.alias("frame"))
 
 
-def resolved_stacks(rows: DataFrame, stackmap: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(scope, stack_id, stack) of the stacks the rows use; frames without a symbol are left out, order is kept.
+def resolved_call_paths(rows: DataFrame, stackmap: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(scope, stack_id, stack) of the call paths the rows use; frames without a symbol are left out, order is kept.
 
-    Works on distinct stacks and distinct addresses, so its size follows the variety of code, not the number of events.
+    Works on distinct call paths and distinct addresses, so its size follows the variety of code, not the number of events.
     """
-    used = materialized(used_stacks(rows), always=True)
-    addresses = materialized(stack_addresses(used, stackmap), always=True)
-    hot = [h for h, _ in hot_keys(addresses, ["scope", "address"])]
+    used = materialized(used_call_paths(rows))
+    addresses = materialized(stack_addresses(used, stackmap))
+    hot = hot_keys(addresses, ["scope", "address"])
     resolved = resolve_addresses(addresses, symbols)
     frames = spread_join(addresses, resolved, ["scope", "address"], "stack_id", hot, "inner")
     return frames.groupBy("scope", "stack_id").agg(
@@ -52,22 +52,22 @@ def resolved_stacks(rows: DataFrame, stackmap: DataFrame, symbols: DataFrame) ->
     )
 
 
-def with_stacks(rows: DataFrame, stacks: DataFrame, raw: DataFrame) -> DataFrame:
-    """Replace ``ustack_id`` and ``kstack_id`` by the ``resolved_stacks``; an empty one where nothing was resolved.
+def with_call_paths(rows: DataFrame, paths: DataFrame, raw: DataFrame) -> DataFrame:
+    """Replace ``ustack_id`` and ``kstack_id`` by the ``resolved_call_paths``; an empty one where nothing was resolved.
 
-    Stacks that very many events share are looked for in ``raw``, the cheap input the rows come from.
+    Call paths that very many events share are looked for in ``raw``, the cheap input the rows come from.
     """
     none = F.array().cast(f"array<{FRAME.simpleString()}>")
-    user = stacks.where(F.col("scope") != KERNEL_SCOPE).select(
+    user = paths.where(F.col("scope") != KERNEL_SCOPE).select(
         F.col("scope").alias("tgid"), F.col("stack_id").alias("ustack_id"), F.col("stack").alias("ustack")
     )
-    kernel = stacks.where(F.col("scope") == KERNEL_SCOPE).select(
+    kernel = paths.where(F.col("scope") == KERNEL_SCOPE).select(
         F.col("stack_id").alias("kstack_id"), F.col("stack").alias("kstack")
     )
     for keys, side in ((["tgid", "ustack_id"], user), (["kstack_id"], kernel)):
         # Events without a stack carry -1, which may be the largest key of all; it is counted like the others.
         ids = raw.select("tgid", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("ustack_id", "kstack_id")])
-        hot = [h for h, _ in hot_keys(ids, keys)]
+        hot = hot_keys(ids, keys)
         rows = spread_join(rows, side, keys, "seq", hot)
     return rows.withColumns({"ustack": F.coalesce("ustack", none), "kstack": F.coalesce("kstack", none)}).drop(
         "ustack_id", "kstack_id"

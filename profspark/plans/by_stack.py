@@ -29,7 +29,7 @@ def value_by_stack(
     buildid: str | None = None,
     command: str | None = None,
 ) -> DataFrame:
-    """Events and the sum of one column by user stack. Partial aggregation on the map side absorbs hot stacks."""
+    """Events and the sum of one column by user call path. Partial aggregation on the map side absorbs hot ones."""
     return selected(events, kinds, buildid, command).groupBy("ustack").agg(_count(), F.sum(value).alias(name))
 
 
@@ -104,7 +104,9 @@ def span_successors(events: DataFrame, columns: list[Column], span_keys: list[st
     rows = selected(events, ["trace_exit", "trace_close"]).select(
         *span_keys, "timestamp", "kind", (F.col("timestamp") - F.col("duration")).alias("_start"), *columns
     )
-    return ordered(rows, span_keys, ["timestamp", "kind"], next_start=lead(F.col("_start"))).drop("_start")
+    # A span that is left and closed in one nanosecond is left first.
+    rows = rows.withColumn("_closes", F.when(F.col("kind") == "trace_close", 1).otherwise(0))
+    return ordered(rows, span_keys, ["timestamp", "_closes"], next_start=lead(F.col("_start"))).drop("_start", "_closes")
 
 
 def span_wait(

@@ -48,7 +48,7 @@ def profile(
     ``inlined`` also the calls inlined there. The result, the call dictionaries and the
     strings are checkpointed once; the tables are lazy on top of them.
     """
-    rows = materialized(_rows(result), always=True)
+    rows = materialized(_rows(result))
     frames = _frames(rows, with_offset)
     if lines is None:
         located, functions = frames.withColumn("place", F.col("name")), _by_name(frames)
@@ -72,7 +72,7 @@ def profile(
     titles = result.sparkSession.range(1).select(
         F.explode(F.array(*[F.lit(c) for c in result.columns[1:3]])).alias("value")
     )
-    strings = materialized(string_table(names.unionByName(titles)), always=True)
+    strings = materialized(string_table(names.unionByName(titles)))
 
     return Profile(
         samples=_samples(located, locations.select("place", "location_id")),
@@ -117,7 +117,7 @@ def _frames(rows: DataFrame, with_offset: bool) -> DataFrame:
 def _by_name(frames: DataFrame) -> DataFrame:
     names = frames.where(F.col("name").isNotNull()).select("name")
     functions = dense_ids(names, "function_id", 1).withColumn("file", F.lit(None).cast("string"))
-    return materialized(functions, always=True)
+    return materialized(functions)
 
 
 def _line(function: Column, line: Column, col: Column) -> Column:
@@ -151,17 +151,17 @@ def _by_address(frames: DataFrame, lines: DataFrame, inlined: bool) -> tuple[Dat
         )
         calls = F.concat(nested, F.array(own))
     called = info.select("address", F.posexplode(calls).alias("pos", "call")).select("address", "pos", "call.*")
-    called = materialized(called, always=True)
+    called = materialized(called)
     # A function's file is the smallest one named with it, whatever order rows come in.
     functions = called.groupBy("name").agg(F.min("file").alias("file"))
-    functions = materialized(dense_ids(functions.select("name"), "function_id", 1).join(functions, "name"), always=True)
+    functions = materialized(dense_ids(functions.select("name"), "function_id", 1).join(functions, "name"))
     parts = (
         dictionary_join(called, functions.select("name", "function_id"), ["name"], "address", "inner")
         .groupBy("address")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "function_id", "line", "col"))).alias("parts"))
     )
     ids = dense_ids(parts.select("address"), "location_id", 1)
-    located = materialized(parts.join(ids, "address"), always=True)
+    located = materialized(parts.join(ids, "address"))
     locations = located.select(
         F.col("address").alias("place"),
         "location_id",

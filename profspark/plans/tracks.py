@@ -146,7 +146,7 @@ def off_cpu_in_kernel(events: DataFrame, functions: list[str], command: str | No
     )
 
 
-def missing_stacks(samples: DataFrame) -> DataFrame:
+def missing_call_paths(samples: DataFrame) -> DataFrame:
     """Samples whose user stack could not be collected, by error number (-1 only means it was not asked for)."""
     return (
         samples.where((F.col("type") == "sample") & (F.col("ustack_id") < -1))

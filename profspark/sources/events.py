@@ -1,5 +1,6 @@
 """Reading captures, choosing a run, and running user SQL over the event table."""
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,15 +11,20 @@ from profspark.functions.frames import unsigned_to_long
 from profspark.schema import EVENT_SCHEMA, FRAME, RAW_SCHEMA, RAW_TYPES
 
 # A writer's unfinished file, never part of a capture.
-PENDING = "PENDING.parquet"
+PENDING = "PENDING"
+
+
+def finished_files() -> str:
+    """A glob for all parquet files but the unfinished one, which must not even be opened: names that leave its name at
+    some letter, or go on after it."""
+    leave = [f"{PENDING[:i]}[!{c}]*" for i, c in enumerate(PENDING)]
+    short = [PENDING[:i] for i in range(1, len(PENDING))]
+    return "{" + ",".join([*leave, *short, f"{PENDING}?*"]) + "}.parquet"
 
 
 def load_events(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
     """All files of a capture that match ``glob``, as the canonical event table."""
-    files = spark.read.option("pathGlobFilter", glob).parquet(path)
-    if glob == "*.parquet":
-        files = files.where(~F.col("_metadata.file_name").endswith(PENDING))
-    return normalise(files)
+    return normalise(spark.read.option("pathGlobFilter", finished_files() if glob == "*.parquet" else glob).parquet(path))
 
 
 def normalise(df: DataFrame) -> DataFrame:
@@ -94,18 +100,24 @@ def split_unknown(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return raw.where(known), rejects
 
 
+# Quoted text, comments, or a division.
+DIVISION = re.compile(r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|/", re.DOTALL)
+
+
 def run_sql(
     events: DataFrame,
     query: str,
     view: str = "events",
     command: str | None = None,
     buildid: str | None = None,
+    integer_division: bool = False,
 ) -> DataFrame:
     """Run query text over ``events`` registered as ``view``.
 
     Values are bound as the named parameters ``:command`` and ``:buildid`` (hex text). The placeholders ``'?command'``
     and ``decode('?buildid', 'hex')`` of older query files are turned into those parameters; values never become text
-    of the query. ``empty(stack)`` is available; integer division is ``div``, since ``/`` is fractional here.
+    of the query. ``empty(stack)`` is available. ``/`` is fractional here and ``div`` is not; ``integer_division`` reads
+    every ``/`` outside of quotes and comments as ``div``, as query files written for whole numbers mean it.
     """
     spark = events.sparkSession
     events.createOrReplaceTempView(view)
@@ -113,6 +125,8 @@ def run_sql(
         f"create or replace temporary function empty(stack array<{FRAME.simpleString()}>) returns boolean"
         " return cardinality(stack) = 0"
     )
+    if integer_division:
+        query = DIVISION.sub(lambda m: " div " if m[0] == "/" else m[0], query)
     query = query.replace("'?command'", ":command").replace("decode('?buildid', 'hex')", "unhex(:buildid)")
     given = {"command": command, "buildid": buildid}
     args = {k: v for k, v in given.items() if v is not None and f":{k}" in query}

@@ -8,13 +8,14 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[8]")
         .appName("profspark-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
@@ -25,11 +26,9 @@ def spark():
 
 @pytest.fixture
 def split_hot(spark):
-    """Treat every input as large and every key above a few rows as hot."""
-    from profspark.operators.hot import GROUP_ROWS, SMALL_BYTES
+    """Every key above a few rows is hot."""
+    from profspark.operators.hot import GROUP_ROWS
 
-    spark.conf.set(SMALL_BYTES, "0")
     spark.conf.set(GROUP_ROWS, "20")
     yield
-    spark.conf.unset(SMALL_BYTES)
     spark.conf.unset(GROUP_ROWS)

@@ -127,8 +127,8 @@ def test_symbols(spark):
     rows = spark.createDataFrame([(1, 7, 3, -1)], "seq long, tgid long, ustack_id int, kstack_id int")
     stackmap = spark.createDataFrame([(3, [0x1005, 0, 0x9999, 0x1010, 0])], "stack_id int, frames array<long>")
     table = spark.createDataFrame([(7, 0x1000, 0x1100, "f"), (8, 0x9000, 0xA000, "g")], "scope long, start long, end long, name string")
-    stacks = symbols.resolved_stacks(rows, stackmap, table)
-    (row,) = symbols.with_stacks(rows, stacks, rows).collect()
+    paths = symbols.resolved_call_paths(rows, stackmap, table)
+    (row,) = symbols.with_call_paths(rows, paths, rows).collect()
     assert [tuple(f) for f in row.ustack] == [("f", 0x1000, 5), ("f", 0x1000, 16)]
     assert row.kstack == []
 
