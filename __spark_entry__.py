@@ -33,6 +33,7 @@ except ModuleNotFoundError as missing:  # the corpus operators are an optional p
 SF_DIR = "/root/testdata/sf0.001"
 WHO = {"buildid": "01"}
 CMD = {"command": "cmd1"}
+BATCHES = 3
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -226,13 +227,13 @@ def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(name: str, step, *columns: str) -> Query:
-    """A fold over a derived table read as a stream, run until all input is worked off."""
+    """A fold over a derived table, read as a stream of several batches so that state is carried between them."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = getattr(derived, name)(spark, sf_dir, derived.table_stream)
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        rows = source.replay_stream(getattr(derived, name)(spark, sf_dir), "seq", f"{path}/in", BATCHES)
         fold.start(rows, step, path).awaitTermination()
-        for part in ("state", "checkpoint"):
+        for part in ("in", "state", "checkpoint"):
             folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
         out = spark.read.parquet(f"{path}/out")
@@ -380,6 +381,7 @@ def queries() -> dict[str, Query]:
             "seq", "timestamp", "duration", "kind", "cpu", "tgid", "pid", "span_id", "parent_id", "id", "amount", "command", "trace_name",
             "ustack_id", "kstack_id",
         ),
+        "stream_rejects": lambda spark, d: collect.reject_counts(_stream("raw", steps.collect_step(report=True))(spark, d)),
         # The same with hot keys
         "hot_offcpu": _hot(_by_path(by_stack.off_cpu, **WHO)),
         "hot_rss_growth": _hot(_by_path(by_stack.rss_growth, **WHO)),

@@ -882,3 +882,6 @@ _query("stream_events", "select * exclude (exe) from collected", "collected")
 
 for _name in ("offcpu", "rss_growth", "span_exit", "collected_events"):
     ORACLE[f"hot_{_name}"] = ORACLE[_name]
+
+# A fold over several batches gives what one pass gives.
+ORACLE["stream_rejects"] = ORACLE["rejects"]

@@ -1,23 +1,31 @@
 """Looking up values in tables of ranges."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from profspark.operators.ordered import last, ordered
+# Ranges and points meet in pages of 2 ** PAGE_BITS values. A range longer than a page is listed once for each page.
+PAGE_BITS = 16
 
 
 def range_lookup(points: DataFrame, ranges: DataFrame, scope: list[str], point: str, payload: list[str]) -> DataFrame:
-    """Left as-of join: each point gets the ``payload`` of the range [start, end) of its scope that starts last before
-    it, nulls where there is none. One union and one ordered pass; ranges of a scope should not overlap.
+    """Each of the distinct ``points`` with the ``payload`` of the range [start, end) of its scope that holds it, nulls
+    where there is none; of ranges that overlap the one that starts last.
+
+    An equi-join on scope and page, so that no scope, however large, is one group.
     """
-    values = F.struct("end", *payload)
-    # A range sorts before a point at its start.
-    starts = ranges.select(*scope, F.col("start").alias("_at"), F.lit(0).alias("_side"), values.alias("_range"))
-    kept = points.columns
-    probes = points.withColumns({"_at": F.col(point), "_side": F.lit(1)})
-    rows = starts.unionByName(probes, allowMissingColumns=True)
-    found = ordered(rows, scope, ["_at", "_side"], _range=last(F.col("_range"))).where(F.col("_side") == 1)
-    inside = F.col("_range.end") > F.col("_at")
+    pages = F.sequence(F.shiftright("start", PAGE_BITS), F.shiftright(F.col("end") - 1, PAGE_BITS))
+    listed = ranges.where(F.col("end") > F.col("start")).select(
+        *[F.col(c).alias(f"_s_{c}") for c in scope], F.explode(pages).alias("_p"), F.struct("start", "end", *payload).alias("_range")
+    )
+    at = F.col(point)
+    same = [F.col(c) == F.col(f"_s_{c}") for c in scope]
+    inside = reduce(
+        lambda a, b: a & b,
+        [*same, F.shiftright(at, PAGE_BITS) == F.col("_p"), F.col("_range.start") <= at, at < F.col("_range.end")],
+    )
+    found = points.join(listed, inside, "left").groupBy(*points.columns).agg(F.max_by("_range", "_range.start").alias("_range"))
     return found.select(
-        *kept, inside.alias("found"), *[F.when(inside, F.col(f"_range.{c}")).alias(c) for c in payload]
+        *points.columns, F.col("_range").isNotNull().alias("found"), *[F.col(f"_range.{c}").alias(c) for c in payload]
     )

@@ -131,12 +131,8 @@ def _by_address(frames: DataFrame, lines: DataFrame, inlined: bool) -> tuple[Dat
 
     One address has one name in a capture; should it have several, the smallest stands for it.
     """
-    addresses = (
-        frames.where(F.col("name").isNotNull()).groupBy("address").agg(F.min("name").alias("name")).withColumn("binary", F.lit(0))
-    )
-    info = range_lookup(
-        addresses, lines.withColumn("binary", F.lit(0)), ["binary"], "address", ["file", "line", "col", "inlined"]
-    )
+    addresses = frames.where(F.col("name").isNotNull()).groupBy("address").agg(F.min("name").alias("name"))
+    info = range_lookup(addresses, lines, [], "address", ["file", "line", "col", "inlined"])
     own = F.struct("name", "file", F.coalesce("line", F.lit(0)).alias("line"), F.coalesce("col", F.lit(0)).alias("col"))
     calls = F.array(own)
     if inlined:

@@ -93,6 +93,23 @@ def read_raw_stream(spark: SparkSession, path: str, files_per_batch: int = 1000)
     return spark.readStream.schema(RAW_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def replay_stream(df: DataFrame, order: str, path: str, files: int) -> DataFrame:
+    """A table as a stream of ``files`` micro-batches in the order of a column.
+
+    ``path`` gets one file per range of the order; the file source takes files by age, so that each is made older than
+    the next.
+    """
+    spark = df.sparkSession
+    df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    for i, part in enumerate(parts):
+        fs.setTimes(part, fs.getFileStatus(part).getModificationTime() - 1000 * (len(parts) - i), -1)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def split_unknown(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(raw events of a known type, rejects with a reason)."""
     known = F.coalesce(F.col("type").isin(RAW_TYPES), F.lit(False))
