@@ -75,23 +75,28 @@ def _profile(part: str, with_lines: bool = False, **options) -> Query:
         if with_lines:
             options.update(lines=derived.lines(spark, sf_dir), inlined=True)
         built = profile(result, **options)
-        text = built.strings.select(F.col("string_id").alias("name_id"), F.col("value").alias("name"))
-        files = built.strings.select(F.col("string_id").alias("file_id"), F.col("value").alias("file"))
-        functions = built.functions.join(text, "name_id").join(files, "file_id")
-        lines = built.locations.select("location_id", "address", F.posexplode("lines").alias("pos", "l")).select(
-            "location_id", "address", "pos", "l.*"
-        )
-        named = lines.join(functions.select("function_id", "name", "file"), "function_id")
+
+        def functions() -> DataFrame:
+            text = built.strings.select(F.col("string_id").alias("name_id"), F.col("value").alias("name"))
+            files = built.strings.select(F.col("string_id").alias("file_id"), F.col("value").alias("file"))
+            return built.functions.join(text, "name_id").join(files, "file_id")
+
+        def named() -> DataFrame:
+            lines = built.locations.select("location_id", "address", F.posexplode("lines").alias("pos", "l")).select(
+                "location_id", "address", "pos", "l.*"
+            )
+            return lines.join(functions().select("function_id", "name", "file"), "function_id")
+
         if part == "functions":
             # Ids must be dense: the comparison sees their range beside the names.
             count = built.functions.agg(F.max("function_id") - F.min("function_id") + 1).scalar()
-            return functions.select("name", "file", count.alias("id_range"))
+            return functions().select("name", "file", count.alias("id_range"))
         if part == "locations":
-            return named.select("address", F.col("pos").cast("int").alias("pos"), "name", "file", "line", "col")
+            return named().select("address", F.col("pos").cast("int").alias("pos"), "name", "file", "line", "col")
         if part == "samples":
             located = built.samples.withColumn("sample", F.monotonically_increasing_id())
             rows = located.select("sample", "count", "value", F.posexplode_outer("location_ids").alias("pos", "location_id"))
-            own = named.groupBy("location_id").agg(F.max_by(F.struct("name", "address"), "pos").alias("last"))
+            own = named().groupBy("location_id").agg(F.max_by(F.struct("name", "address"), "pos").alias("last"))
             rows = rows.join(own, "location_id", "left")
             path = F.array_join(
                 F.transform(
@@ -161,6 +166,21 @@ def _attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq", "epoch", "command", F.lower(F.hex("exe_buildid")).alias("buildid"))
 
 
+def _two_runs(analysis):
+    """The analysis over the events as if they came from two runs."""
+    return lambda events, **options: analysis(events.withColumn("run", F.col("cpu") % 2), **options)
+
+
+def _raw_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw events as if they came from two runs with the same process ids, each with its own resets."""
+    raw = derived.raw(spark, sf_dir).withColumn("run", F.expr("seq div 16 % 2"))
+    return process.with_epoch(raw, ("run",))
+
+
+def _run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.span_state(_raw_runs(spark, sf_dir))
+
+
 def _collected(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, _ = collect.collect_events(
         derived.raw(spark, sf_dir), derived.stackmap(spark, sf_dir), derived.symbols(spark, sf_dir)
@@ -382,6 +402,13 @@ def queries() -> dict[str, Query]:
             "ustack_id", "kstack_id",
         ),
         "stream_rejects": lambda spark, d: collect.reject_counts(_stream("raw", steps.collect_step(report=True))(spark, d)),
+        # Several runs, whose process and thread ids are the same
+        "offcpu_runs": _by_path(_two_runs(by_stack.off_cpu), scope=("run",), **WHO),
+        "rss_growth_runs": _by_path(_two_runs(by_stack.rss_growth), scope=("run",), **WHO),
+        "span_exit_runs": lambda spark, d: spans.span_exits(_run_state(spark, d)).select(*SPAN_COLUMNS),
+        "attribution_runs": lambda spark, d: process.attribute(_raw_runs(spark, d)).select(
+            "seq", "command", F.lower(F.hex("exe_buildid")).alias("buildid")
+        ),
         # The same with hot keys
         "hot_offcpu": _hot(_by_path(by_stack.off_cpu, **WHO)),
         "hot_rss_growth": _hot(_by_path(by_stack.rss_growth, **WHO)),

@@ -885,3 +885,12 @@ for _name in ("offcpu", "rss_growth", "span_exit", "collected_events"):
 
 # A fold over several batches gives what one pass gives.
 ORACLE["stream_rejects"] = ORACLE["rejects"]
+
+# ---------------------------------------------------------------- two runs
+
+for _name, _key in (("offcpu", "pid"), ("rss_growth", "tgid")):
+    ORACLE[f"{_name}_runs"] = ORACLE[_name].replace(f"partition by {_key} ", f"partition by cpu % 2, {_key} ")
+_RUNS = """select raw.*, count(*) filter (type = 'reset') over (partition by seq // 16 % 2 order by seq) * 2 + seq // 16 % 2 as epoch
+from raw"""
+ORACLE["span_exit_runs"] = ORACLE["span_exit"].replace(PARTS["rawe"], _RUNS)
+ORACLE["attribution_runs"] = ORACLE["process_attribution"].replace(PARTS["rawe"], _RUNS).replace("select seq, epoch, command", "select seq, command")

@@ -23,15 +23,16 @@ def pair_switches(switches: DataFrame, min_duration: int = 0, cpu_keys: tuple[st
     )
 
 
-def pair_block_io(requests: DataFrame) -> DataFrame:
+def pair_block_io(requests: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Block operations from their start and done rows (seq, type, request, op, ts, tgid, pid, size, stack ids).
 
     The done row directly after a start row of its request closes it: a later start replaces an open one, and a done row
     without an open start is dropped. All but the direction and the end comes from the start row.
     """
     kept = ["type", "ts", "tgid", "pid", "size", "ustack_id", "kstack_id"]
-    rows = ordered(requests, ["request"], ["seq"], opened=lag(F.struct(*kept)))
+    rows = ordered(requests, [*scope, "request"], ["seq"], opened=lag(F.struct(*kept)))
     return rows.where((F.col("type") == "done") & (F.col("opened.type") == "start")).select(
+        *scope,
         "seq",
         F.col("ts"),
         F.col("opened.ts").alias("start"),
@@ -49,14 +50,14 @@ def write_flag(op: str, write_op: int = 1) -> Column:
     return F.when(F.col(op) == write_op, 1).otherwise(0)
 
 
-def throttle(rows: DataFrame, every: int, seen: Column | None = None) -> DataFrame:
+def throttle(rows: DataFrame, every: int, seen: Column | None = None, scope: tuple[str, ...] = ()) -> DataFrame:
     """Per process the first and then each ``every``-th row in arrival order; 0 keeps all.
 
     ``seen`` is the number of the process's rows that came before these.
     """
     if every == 0:
         return rows
-    numbered = ordered(rows, ["tgid"], ["seq"], _earlier=running_sum(F.lit(1).cast("bigint"), before=True))
+    numbered = ordered(rows, [*scope, "tgid"], ["seq"], _earlier=running_sum(F.lit(1).cast("bigint"), before=True))
     number = F.col("_earlier") if seen is None else F.col("_earlier") + seen
     return numbered.where(number % every == 0).drop("_earlier")
 
@@ -69,9 +70,9 @@ def rss_pages(clamp: bool = True) -> Column:
     return parts[0] + parts[1] + parts[2]
 
 
-def rss_events(counters: DataFrame, every: int = 29, clamp: bool = True) -> DataFrame:
+def rss_events(counters: DataFrame, every: int = 29, clamp: bool = True, scope: tuple[str, ...] = ()) -> DataFrame:
     """Throttled resident-set events; ``amount`` is in pages."""
-    return throttle(counters, every).withColumn("amount", rss_pages(clamp).cast("bigint"))
+    return throttle(counters, every, scope=scope).withColumn("amount", rss_pages(clamp).cast("bigint"))
 
 
 def file_events(calls: DataFrame) -> DataFrame:
@@ -88,21 +89,30 @@ def drop_idle(samples: DataFrame) -> DataFrame:
     return samples.where(F.col("pid") != 0)
 
 
-def keep_tracked(raw: DataFrame, commands: list[str]) -> DataFrame:
+def keep_tracked(
+    raw: DataFrame, commands: list[str], scope: tuple[str, ...] = (), initial: DataFrame | None = None
+) -> DataFrame:
     """Only events of processes that run, or started as, one of the commands.
 
     The exec of a listed command tracks its process until the process exits, whatever it execs meanwhile. Execs and
     exits count for group leaders only (pid = tgid). Reset markers and block completions, which name no process, pass.
+    ``initial`` (``scope``, tgid, comm): processes that already run when the capture starts, as if they had begun before
+    its first row. ``scope``: the columns that tell hosts and runs apart.
     """
+    if initial is not None:
+        seeds = initial.select(*scope, "tgid", F.col("tgid").alias("pid"), "comm", F.lit("process_exec").alias("type"))
+        # Nulls come first in the order of arrival.
+        raw = raw.withColumn("_seed", F.lit(False)).unionByName(seeds.withColumn("_seed", F.lit(True)), allowMissingColumns=True)
     is_exec, is_exit = F.col("type") == "process_exec", F.col("type") == "process_exit"
     leader = ~(is_exec | is_exit) | F.coalesce(F.col("pid") == F.col("tgid"), F.lit(True))
     change = F.when(is_exec & c_string("comm").isin(commands), True).when(is_exit, False)
     states = ordered(
-        raw.where(leader), ["tgid"], ["seq"], _now=last(change), _before=last(change, before=True)
+        raw.where(leader), [*scope, "tgid"], ["seq"], _now=last(change), _before=last(change, before=True)
     )
     tracked = F.coalesce(F.when(is_exit, F.col("_before")).otherwise(F.col("_now")), F.lit(False))
     passes = F.col("type").isin("reset", "done")
-    return states.where(tracked | passes).drop("_now", "_before")
+    kept = states.where(tracked | passes).drop("_now", "_before")
+    return kept if initial is None else kept.where(~F.col("_seed")).drop("_seed")
 
 
 def select_call_paths(raw: DataFrame, collected: dict[str, str]) -> DataFrame:

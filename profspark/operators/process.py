@@ -9,19 +9,24 @@ from profspark.operators.ordered import Ordered, Slicing, chained, last, running
 BLOCK_BITS = 18
 
 
-def with_epoch(raw: DataFrame) -> DataFrame:
+def with_epoch(raw: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Number the stretches between losses of events: state is never carried over a reset marker.
 
     A running count of resets over blocks of the arrival order, carried from block to block; without any reset, which
-    one filtered scan tells, a constant.
+    one filtered scan tells, a constant. ``scope`` names the columns of a host and run: they become part of the epoch,
+    so that neither a reset nor any state of one run touches another one, whose process and thread ids may be the same.
     """
     if "epoch" in raw.columns:
         return raw
     if raw.where(F.col("type") == "reset").isEmpty():
-        return raw.withColumn("epoch", F.lit(0).cast("bigint"))
+        return _scoped(raw.withColumn("epoch", F.lit(0).cast("bigint")), scope)
     blocks = raw.withColumn("_block", F.shiftright("seq", BLOCK_BITS) + 1)
     is_reset = F.when(F.col("type") == "reset", 1).otherwise(0).cast("bigint")
-    return Ordered([], ["seq"], "_block").apply(blocks, epoch=running_sum(is_reset)).drop("_block")
+    return _scoped(Ordered(list(scope), ["seq"], "_block").apply(blocks, epoch=running_sum(is_reset)).drop("_block"), scope)
+
+
+def _scoped(rows: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    return rows.withColumn("epoch", F.struct(*scope, F.col("epoch").alias("number"))) if scope else rows
 
 
 def attribute(raw: DataFrame, cut: Slicing | None = None) -> DataFrame:

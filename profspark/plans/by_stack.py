@@ -62,15 +62,20 @@ def file_write_bytes(events: DataFrame, **who) -> DataFrame:
 
 
 def off_cpu(
-    events: DataFrame, buildid: str | None = None, command: str | None = None, dedup: bool = True
+    events: DataFrame,
+    buildid: str | None = None,
+    command: str | None = None,
+    dedup: bool = True,
+    scope: tuple[str, ...] = (),
 ) -> DataFrame:
     """Time from a thread's leaving the CPU to its next start, by combined stack.
 
     Only rows with some stack take part, also as the next start. A thread's last row counts but adds no time.
+    ``scope``: the columns that tell hosts and runs apart, whose thread ids may be the same.
     """
     rows = selected(events, ["switch"], buildid, command).where(~is_empty("ustack") | ~is_empty("kstack"))
-    rows = rows.select("pid", "timestamp", (F.col("timestamp") - F.col("duration")).alias("start"), combined_stack(dedup).alias("stack"))
-    gaps = ordered(rows, ["pid"], ["start", "timestamp"], next_start=lead(F.col("start")))
+    rows = rows.select(*scope, "pid", "timestamp", (F.col("timestamp") - F.col("duration")).alias("start"), combined_stack(dedup).alias("stack"))
+    gaps = ordered(rows, [*scope, "pid"], ["start", "timestamp"], next_start=lead(F.col("start")))
     return gaps.groupBy("stack").agg(_count(), F.sum(F.col("next_start") - F.col("timestamp")).alias("offcpu_ns"))
 
 
@@ -79,6 +84,7 @@ def rss_growth(
     buildid: str | None = None,
     command: str | None = None,
     skip_empty: bool | None = None,
+    scope: tuple[str, ...] = (),
 ) -> DataFrame:
     """Growth of the resident set by the stack that caused it, largest first.
 
@@ -89,8 +95,8 @@ def rss_growth(
     rows = selected(events, ["rss"], buildid, command)
     if skip_empty:
         rows = rows.where(~is_empty("ustack"))
-    rows = rows.select("tgid", "timestamp", "pid", "amount", "ustack")
-    steps = ordered(rows, ["tgid"], ["timestamp", "pid"], prev_amount=lag(F.col("amount")))
+    rows = rows.select(*scope, "tgid", "timestamp", "pid", "amount", "ustack")
+    steps = ordered(rows, [*scope, "tgid"], ["timestamp", "pid"], prev_amount=lag(F.col("amount")))
     return (
         steps.where(F.col("amount") > F.col("prev_amount"))
         .groupBy("ustack")

@@ -3,7 +3,7 @@
 A result has three columns, by position: call path, count, value.
 """
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,13 +17,72 @@ from profspark.operators.ranges import range_lookup
 PRESET_STRINGS = ["", "samples", "count", "sampled_cpu", "ns", "process"]
 
 
-@dataclass
 class Profile:
-    samples: DataFrame  # location_ids, count, value
-    locations: DataFrame  # location_id, address, lines (function_id, line, col; innermost inlined call first)
-    functions: DataFrame  # function_id, name_id, file_id
-    strings: DataFrame  # string_id, value
-    header: DataFrame  # count_type, value_type, duration_nanos
+    """Profile tables of a result, each made when it is asked for; what several share is checkpointed once.
+
+    Without a line table there is one location per function name; its address is the smallest one seen under the name.
+    With a line table (``LINE_SCHEMA``) there is one location per address, with file, line and column, and with
+    ``inlined`` also the calls inlined there.
+    """
+
+    def __init__(
+        self, result: DataFrame, with_offset: bool = False, lines: DataFrame | None = None, inlined: bool = False
+    ):
+        self.result, self.with_offset, self.lines, self.inlined = result, with_offset, lines, inlined
+
+    @cached_property
+    def _rows(self) -> DataFrame:
+        return materialized(_rows(self.result))
+
+    @cached_property
+    def _frames(self) -> DataFrame:
+        return _frames(self._rows, self.with_offset)
+
+    @cached_property
+    def _dictionaries(self) -> tuple[DataFrame, DataFrame]:
+        """Locations by place, and functions."""
+        if self.lines is not None:
+            return _by_address(self._frames, self.lines, self.inlined)
+        functions = _by_name(self._frames)
+        named = self._frames.where(F.col("name").isNotNull()).groupBy("name").agg(F.min("address").alias("address"))
+        locations = named.join(functions, "name").select(
+            F.col("name").alias("place"),
+            F.col("function_id").alias("location_id"),
+            "address",
+            F.array(_line(F.col("function_id"), F.lit(0), F.lit(0))).alias("lines"),
+        )
+        return locations, functions
+
+    @cached_property
+    def samples(self) -> DataFrame:
+        """location_ids, count, value"""
+        located = self._frames.withColumn("place", F.col("name" if self.lines is None else "address"))
+        return _samples(located, self._dictionaries[0].select("place", "location_id"))
+
+    @cached_property
+    def locations(self) -> DataFrame:
+        """location_id, address, lines (function_id, line, col; innermost inlined call first)"""
+        return self._dictionaries[0].select("location_id", "address", "lines")
+
+    @cached_property
+    def functions(self) -> DataFrame:
+        """function_id, name_id, file_id"""
+        return _with_strings(self._dictionaries[1], self.strings)
+
+    @cached_property
+    def strings(self) -> DataFrame:
+        """string_id, value"""
+        functions = self._dictionaries[1]
+        names = functions.select(F.col("name").alias("value")).unionByName(functions.select(F.col("file").alias("value")))
+        titles = self.result.sparkSession.range(1).select(
+            F.explode(F.array(*[F.lit(c) for c in self.result.columns[1:3]])).alias("value")
+        )
+        return materialized(string_table(names.unionByName(titles)))
+
+    @cached_property
+    def header(self) -> DataFrame:
+        """count_type, value_type, duration_nanos"""
+        return _header(self._rows, self.result.columns, self.strings)
 
     def tables(self) -> dict[str, DataFrame]:
         return {
@@ -41,46 +100,8 @@ def profile(
     lines: DataFrame | None = None,
     inlined: bool = False,
 ) -> Profile:
-    """Profile tables of a result.
-
-    Without a line table there is one location per function name; its address is the smallest one seen under the name.
-    With a line table (``LINE_SCHEMA``) there is one location per address, with file, line and column, and with
-    ``inlined`` also the calls inlined there. The result, the call dictionaries and the
-    strings are checkpointed once; the tables are lazy on top of them.
-    """
-    rows = materialized(_rows(result))
-    frames = _frames(rows, with_offset)
-    if lines is None:
-        located, functions = frames.withColumn("place", F.col("name")), _by_name(frames)
-        locations = (
-            located.where(F.col("name").isNotNull())
-            .groupBy("name")
-            .agg(F.min("address").alias("address"))
-            .join(functions, "name")
-            .select(
-                F.col("name").alias("place"),
-                F.col("function_id").alias("location_id"),
-                "address",
-                F.array(_line(F.col("function_id"), F.lit(0), F.lit(0))).alias("lines"),
-            )
-        )
-    else:
-        located = frames.withColumn("place", F.col("address"))
-        locations, functions = _by_address(frames, lines, inlined)
-
-    names = functions.select(F.col("name").alias("value")).unionByName(functions.select(F.col("file").alias("value")))
-    titles = result.sparkSession.range(1).select(
-        F.explode(F.array(*[F.lit(c) for c in result.columns[1:3]])).alias("value")
-    )
-    strings = materialized(string_table(names.unionByName(titles)))
-
-    return Profile(
-        samples=_samples(located, locations.select("place", "location_id")),
-        locations=locations.select("location_id", "address", "lines"),
-        functions=_with_strings(functions, strings),
-        strings=strings,
-        header=_header(rows, result.columns, strings),
-    )
+    """The profile tables of a result."""
+    return Profile(result, with_offset, lines, inlined)
 
 
 def _rows(result: DataFrame) -> DataFrame:

@@ -128,16 +128,19 @@ def peak_rss(events: DataFrame) -> DataFrame:
     )
 
 
-def off_cpu_in_kernel(events: DataFrame, functions: list[str], command: str | None = None) -> DataFrame:
+def off_cpu_in_kernel(
+    events: DataFrame, functions: list[str], command: str | None = None, scope: tuple[str, ...] = ()
+) -> DataFrame:
     """Off-CPU time of threads that wait below given kernel functions; a thread's last row has no successor and is
     left out. One row per function that occurs."""
     rows = selected(events, ["switch"], command=command).select(
+        *scope,
         "pid",
         "timestamp",
         (F.col("timestamp") - F.col("duration")).alias("start"),
         F.array_intersect(F.col("kstack.name"), F.array(*[F.lit(f) for f in functions])).alias("functions"),
     )
-    gaps = ordered(rows, ["pid"], ["timestamp", "start"], wakeup=lead(F.col("start")))
+    gaps = ordered(rows, [*scope, "pid"], ["timestamp", "start"], wakeup=lead(F.col("start")))
     return (
         gaps.where(F.col("wakeup").isNotNull() & (F.col("wakeup") != 0))
         .select(F.explode("functions").alias("function"), (F.col("wakeup") - F.col("timestamp")).alias("wait"))

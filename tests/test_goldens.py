@@ -180,3 +180,12 @@ def test_totals_are_conserved(spark):
     rows = [{"kind": k, "amount": 1 << 20, "timestamp": i} for i, k in enumerate(["blk_write", "tcp_send", "tcp_recv"] * 10)]
     totals = {r.kind: (r.total, r.amount_sum) for r in tracks.io_totals(events(spark, rows)).collect()}
     assert totals == {k: (10, 10 << 20) for k in ("blk_write", "tcp_send", "tcp_recv")}
+
+
+def test_processes_that_run_before_the_capture_are_tracked(spark):
+    rows = [(1, "sample", 5, 5, None), (2, "sample", 6, 6, None), (3, "process_exit", 5, 5, None), (4, "sample", 5, 5, None)]
+    raw = spark.createDataFrame([(r, *x) for r in ("a", "b") for x in rows], "run string, seq long, type string, tgid long, pid long, comm string")
+    initial = spark.createDataFrame([("a", 5, "app"), ("b", 6, "app"), ("b", 5, "other")], "run string, tgid long, comm string")
+    got = kernel.keep_tracked(raw, ["app"], scope=("run",), initial=initial)
+    assert sorted((r.run, r.seq) for r in got.collect()) == [("a", 1), ("a", 3), ("b", 2)]
+    assert kernel.keep_tracked(raw, ["app"], scope=("run",)).count() == 0
