@@ -1,16 +1,15 @@
-"""A profile's tables as chunks of the encoded profile message.
+"""A profile's tables as chunks of the encoded profile message, with built-in functions only.
 
-Repeated fields of a message may be written in pieces, so each partition encodes its own rows; the chunks in the order
-of (section, part) are the whole message, and no task or driver holds it.
+Repeated fields of a message may be written in pieces, so each chunk encodes its own rows; the chunks in the order of
+(section, part) are the whole message, and no task or driver holds it.
 """
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Callable
 
-SCHEMA = "section int, part long, data binary"
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # Field numbers of the public profile message format.
 SAMPLE_TYPE, SAMPLE, LOCATION, FUNCTION, STRINGS, DURATION = 1, 2, 4, 5, 6, 10
@@ -18,6 +17,7 @@ VARINT, BYTES = 0, 2
 
 
 def varint(value: int) -> bytes:
+    """A number of the format, for constants."""
     value &= (1 << 64) - 1
     out = bytearray()
     while value > 127:
@@ -27,81 +27,83 @@ def varint(value: int) -> bytes:
     return bytes(out)
 
 
-def number(field: int, value: int) -> bytes:
-    return varint(field << 3 | VARINT) + varint(int(value)) if value else b""
+def _varint(value: Column) -> Column:
+    """A column's numbers as hexadecimal digits: seven bits a byte, lowest first, the top bit set on all but the last."""
 
+    def byte(value: Column, i: Column) -> Column:
+        rest = F.call_function("shiftrightunsigned", value, i * 7 + 7)
+        more = F.when((i < 9) & (rest != 0), 128).otherwise(0)
+        return F.lpad(F.hex(F.call_function("shiftrightunsigned", value, i * 7).bitwiseAND(127) + more), 2, "0")
 
-def block(field: int, data: bytes) -> bytes:
-    return varint(field << 3 | BYTES) + varint(len(data)) + data
+    # A value has as many bytes as its bits fill, seven in each.
+    def bytes_of(value: Column) -> Column:
+        last = F.when(value < 0, 9).otherwise(F.greatest(F.length(F.bin(value)) - 1, F.lit(0)) / 7).cast("int")
+        return F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: byte(value, i)), "")
 
+    return _let(value.cast("long"), bytes_of)
 
-def packed(field: int, values) -> bytes:
-    data = b"".join(varint(int(v)) for v in values)
-    return block(field, data) if data else b""
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-def _sample(row) -> bytes:
-    return block(SAMPLE, packed(1, row.location_ids) + packed(2, [row.count_, row.value]))
 
+def _tag(field: int, kind: int) -> Column:
+    return F.lit(varint(field << 3 | kind).hex().upper())
 
-def _location(row) -> bytes:
-    lines = b"".join(
-        block(4, number(1, line["function_id"]) + number(2, line["line"]) + number(3, line["col"])) for line in row.lines
-    )
-    return block(LOCATION, number(1, row.location_id) + number(3, row.address) + lines)
+
+def _number(field: int, value: Column) -> Column:
+    """Absent where it is 0."""
+    return F.when(F.coalesce(value, F.lit(0)) == 0, "").otherwise(F.concat(_tag(field, VARINT), _varint(value)))
+
+
+def _block(field: int, digits: Column) -> Column:
+    return _let(digits, lambda d: F.concat(_tag(field, BYTES), _varint(F.length(d) / 2), d))
 
 
-def _function(row) -> bytes:
-    return block(FUNCTION, number(1, row.function_id) + number(2, row.name_id) + number(4, row.file_id))
+def _packed(field: int, values: Column) -> Column:
+    digits = F.array_join(F.transform(values, _varint), "")
+    return F.when(F.size(values) > 0, _block(field, digits)).otherwise("")
 
 
-def _string(row) -> bytes:
-    return block(STRINGS, row.value.encode())
+def _sample() -> Column:
+    return _block(SAMPLE, F.concat(_packed(1, F.col("location_ids")), _packed(2, F.array("count", "value"))))
 
 
-def _header(row) -> bytes:
-    types = [block(SAMPLE_TYPE, number(1, t)) for t in (row.count_type, row.value_type)]
-    return b"".join(types) + number(DURATION, row.duration_nanos)
+def _location() -> Column:
+    def line(part: Column) -> Column:
+        return _block(4, F.concat(_number(1, part["function_id"]), _number(2, part["line"]), _number(3, part["col"])))
 
+    lines = F.array_join(F.transform("lines", line), "")
+    return _block(LOCATION, F.concat(_number(1, F.col("location_id")), _number(3, F.col("address")), lines))
 
-def _encoder(section: int, encode):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                part = int(batch["_part"].iloc[0])
-                data = b"".join(encode(row) for row in batch.itertuples(index=False))
-                yield pd.DataFrame({"section": [section], "part": [part], "data": [data]})
 
-    return run
+def _function() -> Column:
+    return _block(FUNCTION, F.concat(_number(1, F.col("function_id")), _number(2, F.col("name_id")), _number(4, F.col("file_id"))))
+
+
+def _header() -> Column:
+    types = [_block(SAMPLE_TYPE, _number(1, F.col(t))) for t in ("count_type", "value_type")]
+    return F.concat(*types, _number(DURATION, F.col("duration_nanos")))
 
 
 def profile_chunks(profile, rows_per_chunk: int = 5000) -> DataFrame:
-    """(section, part, data). Strings are cut by id range, because their position in the message is their id."""
-
-    def encoded(section: int, table: DataFrame, encode) -> DataFrame:
-        # Samples, locations and functions may come in any order, so the input partition names the part.
-        numbered = table.withColumn("_part", F.monotonically_increasing_id())
-        return numbered.mapInPandas(_encoder(section, encode), SCHEMA)
-
-    samples = profile.samples.withColumnRenamed("count", "count_")
-    strings = (
-        profile.strings.withColumn("_part", F.floor(F.col("string_id") / rows_per_chunk))
-        .groupBy("_part")
-        .applyInPandas(
-            lambda rows: pd.DataFrame(
-                {
-                    "section": [5],
-                    "part": [int(rows["_part"].iloc[0])],
-                    "data": [b"".join(_string(r) for r in rows.sort_values("string_id").itertuples(index=False))],
-                }
-            ),
-            SCHEMA,
+    """(section, part, data) with at most ``rows_per_chunk`` rows in a chunk. Strings are cut by id range and ordered,
+    because their position in the message is their id; all else may come in any order."""
+
+    def encoded(section: int, table: DataFrame, digits: Column, number: Column) -> DataFrame:
+        rows = table.select(number.alias("number"), digits.alias("digits"))
+        chunks = rows.groupBy(F.floor(F.col("number") / rows_per_chunk).alias("part")).agg(
+            F.sort_array(F.collect_list(F.struct("number", "digits"))).alias("rows")
         )
-    )
+        data = F.unhex(F.array_join("rows.digits", ""))
+        return chunks.select(F.lit(section).alias("section"), "part", data.alias("data"))
+
+    any_order = F.monotonically_increasing_id()
     return (
-        encoded(1, profile.header, _header)
-        .unionByName(encoded(2, samples, _sample))
-        .unionByName(encoded(3, profile.locations, _location))
-        .unionByName(encoded(4, profile.functions, _function))
-        .unionByName(strings)
+        encoded(1, profile.header, _header(), any_order)
+        .unionByName(encoded(2, profile.samples, _sample(), any_order))
+        .unionByName(encoded(3, profile.locations, _location(), any_order))
+        .unionByName(encoded(4, profile.functions, _function(), any_order))
+        .unionByName(encoded(5, profile.strings, _block(STRINGS, F.hex(F.encode("value", "utf-8"))), F.col("string_id")))
     )
