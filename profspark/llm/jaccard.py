@@ -9,7 +9,7 @@ Inside tiles no list of all pairs is made:
 
 1. Each set is compared with the leader of its tiles (the set with the most company over its segments), which is linear
    and joins the bulk of any group of copies.
-2. What then is not joined yet is compared tile by tile in blocks of at most TILE sets: set bits in the difference of two
+2. What then is not joined yet is compared tile by tile in blocks of about TILE sets: set bits in the difference of two
    bitmaps bound the overlap from above, and the distance is a metric, so that distances to the leader bound it, too.
    Only pairs across components are wanted, and of those the best ones per set and component come first. Pairs that
    pass are compared exactly. Rounds follow, with more pairs per set and component, until no round left any out.
@@ -204,7 +204,7 @@ def _links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, size: int, p: in
     take = 1
     while True:
         labels = components(edges, scratch)
-        found = scratch.keep(_undecided(led, nodes, labels, p, q, tile, take))
+        found = scratch.keep(_undecided(led, nodes, labels, scratch, p, q, tile, take))
         more = found.where("a is not null").select("a", "b").distinct()
         edges = edges.unionByName(_checked(more, sets, p, q).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
         edges = scratch.keep(edges.distinct())
@@ -259,7 +259,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return both.mapInArrow(intersect, "a long, b long, distance double, linked boolean")
 
 
-def _undecided(led: DataFrame, nodes: DataFrame, labels: DataFrame, p: int, q: int, tile: int, take: int) -> DataFrame:
+def _undecided(led: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Scratch, p: int, q: int, tile: int, take: int) -> DataFrame:
     """Pairs (a, b) of a tile that may link and would join two components, at most `take` per set and component.
 
     A row of nulls says that pairs were left out. Tiles of one component are done. So are sets in a tile that link to
@@ -267,13 +267,14 @@ def _undecided(led: DataFrame, nodes: DataFrame, labels: DataFrame, p: int, q: i
     """
     limit = 1 - p / q + 1e-9
     marked = led.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).where("node != leader")
-    per_tile = marked.groupBy("sig").agg(F.min(F.when(~F.col("linked"), F.col("distance"))).alias("nearest"), F.min("label").alias("l1"), F.max("label").alias("l2"))
-    open_tiles = per_tile.where("nearest is not null and l1 != l2").select("sig", "nearest")
+    per_tile = marked.groupBy("sig").agg(F.min(F.when(~F.col("linked"), F.col("distance"))).alias("nearest"), F.min("label").alias("l1"), F.max("label").alias("l2"), F.count(F.lit(1)).alias("sets"))
+    open_tiles = per_tile.where("nearest is not null and l1 != l2").select("sig", "nearest", F.ceil(F.col("sets") / tile).cast("int").alias("blocks"))
+    # Written, so that the join has two plain shuffles, of which Spark can split a large tile's rows.
+    open_tiles = scratch.keep(open_tiles)
     left = marked.join(open_tiles, "sig").where(~F.col("linked") | (F.col("distance") >= F.col("nearest") - limit))
-    left = left.join(nodes.select("node", "n", "bits"), "node").select("sig", "node", "label", "distance", "n", "bits")
-    at = F.row_number().over(Window.partitionBy("sig").orderBy("n", "node")) - 1
-    blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("sig")) / F.lit(tile)).cast("int")
-    left = left.withColumn("own", F.floor(at / tile).cast("int")).withColumn("blocks", blocks)
+    left = left.join(nodes.select("node", "n", "bits"), "node").select("sig", "node", "label", "distance", "n", "bits", "blocks")
+    # Blocks of about `tile` sets, by a hash.
+    left = left.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
