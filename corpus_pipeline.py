@@ -12,7 +12,7 @@ from profspark.llm.jaccard import representatives
 from profspark.llm.scratch import Scratch
 
 #: Texts of which a smaller share of words is in the language found are rejected; passages in a second language are not.
-LEAST_SHARE = 0.4
+LEAST_SHARE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
