@@ -23,8 +23,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that links of 90 per cent of common shingles connect, the one with the smallest id stays."""
-    return representatives(docs)
+    """Of texts that links of 80 per cent of common five-word shingles connect, the one with the smallest id stays."""
+    return representatives(docs, size=5, percent=80)
 
 
 def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from functools import partial
 
 import duckdb
 import pytest
@@ -88,6 +89,23 @@ def test_pipeline_stages(spark, documents):
     assert {r.doc_id for r in last} == set(clean) and all(r.exact for r in last)
 
 
+def test_pipeline_keeps_one_of_near_copies(spark, documents, monkeypatch):
+    """The stage links by five-word shingles and 80 per cent, on the tables and on texts just above and below that."""
+    import test_llm_jaccard as model
+
+    five_words = partial(model.shingle_set, size=5)
+    monkeypatch.setattr(model, "shingle_set", five_words)
+    words = [f"w{i}" for i in range(200)]
+    changed = lambda *at: " ".join(f"v{i}" if i in at else w for i, w in enumerate(words))
+    # A word inside a text is in five of its 196 shingles: four words leave 176 of 216, five leave 171 of 221.
+    own = [(-4, changed()), (-3, changed(40, 80, 120, 160)), (-2, changed(20, 60, 100, 140, 180)), (-1, "other words than those of all the rest")]
+    rows = [(r.doc_id, r.text) for r in documents.collect()] + own
+    want = {d for d, (_, c) in model.brute(rows, percent=80).items() if d == c}
+    assert want & {-4, -3, -2, -1} == {-4, -2, -1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["copies"](spark, docs, SF).collect()} == want
+
+
 def test_registered():
     assert set(QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
     assert set(ORACLES) <= set(entry.oracle_sql())
