@@ -131,11 +131,10 @@ def assessed(df: DataFrame, text_col: str = "text", lang_col: str = "lang", keep
     width = len(CLASSES) + 1
     most = max(len(x.split()) for x in COMMON.values()) + 1
     sums = [F.array(*[F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0.0)) for i in range(n)]).alias(f"all_{c}") for c, n in (("chars", width), ("words", most))]
-    # One row per language with a list of common words, and one for all rows.
-    listed = F.when(F.col("lang").isin(*COMMON), F.col("lang"))
-    by_lang = counted.withColumn("key", listed).groupBy("key").agg(*sums)
+    # One row per language, and one for all rows. Written, so that its size decides how it is joined.
+    by_lang = scratch.keep(counted.groupBy("lang").agg(*sums))
     total = by_lang.agg(F.array(*[F.sum(F.get("all_chars", F.lit(i))) for i in range(width)]).alias("every_chars"))
-    both = counted.join(F.broadcast(by_lang.withColumnRenamed("key", "lang").where("lang is not null")), "lang", "left").join(F.broadcast(total))
+    both = counted.join(by_lang.where("lang is not null"), "lang", "left").join(F.broadcast(total))
     found = both.withColumn("char_distance", _distance(F.col("chars"), F.coalesce("all_chars", "every_chars")))
     found = found.withColumn("word_distance", _distance(F.col("words"), F.slice("all_words", 1, F.greatest(F.size("words"), F.lit(0)))))
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))

@@ -40,3 +40,14 @@ def test_edges(edges, empty):
     rows = found.collect()
     assert len(rows) == edges.count() and not any(r.kept for r in rows if not (r.text or "").strip())
     assert rules.assessed(empty).count() == 0
+
+
+def test_every_language_has_its_own_reference(spark):
+    """Prose of a fifth language beside much English is near its own histogram, and far from that of all rows."""
+    english = "the house of the old man and a tree in the garden that is for you and it was as big as the sea by this road with on "
+    russian = "старый дом стоял у реки, и дети каждый день ходили туда смотреть на воду и слушать рассказы своего деда о далёких городах. "
+    mark = lambda text, i: " ".join(f"{x}{chr(97 + k % 26) * (k % 5)}{i}" for k, x in enumerate(text.split() * 3))
+    rows = [(i, mark(english, i), "en") for i in range(30)] + [(100 + i, mark(russian, i), "ru") for i in range(3)] + [(200, mark(russian, 9), None)]
+    got = {r.doc_id: r for r in rules.assessed(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[100 + i].kept and got[100 + i].char_distance < 0.1 and got[100 + i].word_distance == 0 for i in range(3))
+    assert got[200].char_distance > rules.MOST_CHARS and not got[200].kept
