@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from profspark.llm.rules import let
 from profspark.llm.scratch import Scratch, packed
 
 # Given names by gender and script; a surrogate is another one of the same list.
@@ -29,7 +30,7 @@ SYLLABLES = {
 #: Types in the order of their precedence: where two patterns match at one place, the first counts.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
-    "secret": r"(?i:token|secret|password|api[_\-]?key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_\-]{16,128}\"?",
+    "secret": r"(?i:token|secret|password|api[_\-]?key)\s{0,3}[=:]\s{0,3}\"?[A-Za-z0-9_\-]{16,}+\"?",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-]*\d)",
@@ -116,12 +117,14 @@ def surrogate(type_: Column, normal_form: Column, key: str, attempt: Column) ->
     email = F.concat(_spelled(local, digest, F.lit(False)), more, F.lit("@"), _spelled(F.substring(domain, F.lit(1), F.length(domain) - F.length(last)), own, F.lit(False)), last)
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_draw(digest, i, 223) + 1).cast("string")), ".")
     iban = F.concat(F.substring(normal_form, 1, 2), F.upper(_spelled(F.lower(F.substring(normal_form, F.lit(3), F.length(normal_form))), digest, F.lit(False))))
-    secret = F.transform(F.split(normal_form, ""), lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(_char(F.lower(c), i, digest, ~normal_form.rlike("[G-Zg-z_\\-]")))).otherwise(_char(c, i, digest, ~normal_form.rlike("[G-Zg-z_\\-]"))))
+    # A secret may be long: what all its characters share is computed once.
+    drawn = lambda d, h: F.transform(F.split(normal_form, ""), lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(_char(F.lower(c), i, d, h))).otherwise(_char(c, i, d, h)))
+    secret = let(digest, lambda d: let(~normal_form.rlike("[G-Zg-z_\\-]"), lambda h: F.array_join(drawn(d, h), "")))
     return (
         F.when(type_ == "email", email)
         .when(type_ == "ip", octets)
         .when(type_ == "iban", iban)
-        .when(type_ == "secret", F.array_join(secret, ""))
+        .when(type_ == "secret", secret)
         .when(type_.startswith("name_"), _name(normal_form, type_, digest, attempt))
         .otherwise(_spelled(normal_form, digest, F.lit(False)))
     )

@@ -82,3 +82,16 @@ def test_edges(edges, empty):
 def test_no_python_on_the_way(documents):
     plan = pii.pseudonymised(documents, "k")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_long_secrets_are_replaced_to_their_end(spark):
+    """Secrets that agree in their first 128 characters, one of 300 and one of 50,000."""
+    head = "0123456789abcdef" * 8
+    values = [head + "A1b2C3" * 28 + "Wxyz", head + "A1b2C3" * 28 + "Wxyw", head * 390 + "ab" * 40]
+    assert list(map(len, values)) == [300, 300, 50_000]
+    rows = [(i, f'before token = "{v}", after') for i, v in enumerate(values)]
+    got = pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    new = [re.fullmatch(r'before token = "([A-Za-z0-9]+)", after', r.text)[1] for r in got]
+    assert list(map(len, new)) == [300, 300, 50_000] and len(set(new)) == 3
+    assert not any(v[at : at + 20] in n for v, n in zip(values, new, strict=True) for at in range(0, 300 - 20))
+    assert all(r.n_entities == 1 for r in got)
