@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profspark.llm import bpe, chat, language, licenses, pii, rules, toxicity
+from profspark.llm import bpe, chat, language, licenses, mixing, pii, rules, toxicity, whitening
 from profspark.llm.decontaminate import contamination
 from profspark.llm.jaccard import jaccard_components
 from profspark.llm.resample import resampled
+from profspark.llm.runs import periodic_runs
 from profspark.llm.sql import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,6 +114,47 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_planted_runs(documents: DataFrame) -> DataFrame:
+    """(doc_id, text): in one of ten documents, by a hash of the id, the words behind some place repeat those at it."""
+    h = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1))
+    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = documents.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("w"))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.floor(F.col("h") / 10) % F.col("n")))
+    rows = rows.withColumn("left", F.col("n") - F.col("a")).withColumn("p", 1 + F.floor(F.col("left") / (3 + F.floor(F.col("h") / 10) % 8)))
+    cycle = F.slice("w", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    again = F.slice(F.flatten(F.array_repeat(cycle, F.ceil(F.col("left") / F.col("p")).cast("int"))), F.lit(1), F.col("left").cast("int"))
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), again), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("l"), F.array_join(F.transform("runs", line), "").alias("lines"), "collapsed")
+    return rows.select(
+        "doc_id",
+        "n_runs",
+        (-F.col("l.s")).alias("start"),
+        F.col("l.length").alias("length"),
+        (-F.col("l.p")).alias("period"),
+        F.expr("(1000 * l.length) div -l.p").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixture(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"), whitening.fixed_point(F.col("embedding")), keep=["vec_id"])
+    exact = F.col("deviation").try_cast("long").alias("deviation")
+    return found.select("vec_id", "component", "n", exact, "whitened", "explained", "identity_error")
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -124,6 +166,9 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_importance_resampling": op9_importance_resampling,
     "op10_chat_windows": op10_chat_windows,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_mixing": op12_mixing,
+    "op13_whitening": op13_whitening,
 }
 
 # SQL has the digests of op10 (see tests/llm), but not the windows.

@@ -165,7 +165,52 @@ from compared
 """
 
 
-SQL = {"op3_license_scan": _license_sql(), "op8_quality_rules": _rules_sql(), "op2_decontamination": OP2, "op4_jaccard_join": OP4}
+OP12 = r"""
+with marked as (
+    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+        md5(coalesce(length(cast(doc_id as varchar)) || ':' || doc_id, '-') || coalesce(length(source) || ':' || source, '-')
+            || len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) as mark
+    from documents
+), units as (
+    select doc_id, source, size, mark, count(*) as copies, size * count(*) as amount from marked group by doc_id, source, size, mark
+), sources as (
+    select source, sum(amount) as total, 2 * sum(amount) as cap,
+        [3, 1, 2][(row_number() over (order by source is null, encode(source)) - 1) % 3 + 1] as weight
+    from units group by source
+), ordered as (
+    select *, sum(amount) over () as everything from (select source, total as amount from sources)
+), ratios as (
+    select s.source, total, cap, weight, (select max(everything) from ordered) as everything,
+        coalesce(sum(cap) over earlier, 0) as caps, sum(weight) over () - coalesce(sum(weight) over earlier, 0) as open
+    from sources s window earlier as (order by cap / weight, s.source rows between unbounded preceding and 1 preceding)
+), rate as (
+    select min(cast(150 * everything - 100 * caps as double) / cast(100 * open as double)) as rate from ratios
+    where cap > weight * (cast(150 * everything - 100 * caps as double) / cast(100 * open as double))
+), targets as (
+    select source, total, case when total = 0 then 0.0 else least(coalesce(weight * rate, cap), cast(cap as double)) end as target
+    from sources, rate
+), placed as (
+    select u.*, t.total, t.target, sum(amount) over (partition by u.source order by mark, size, doc_id rows unbounded preceding) as upto
+    from units u join targets t on u.source is not distinct from t.source
+), entries as (
+    select mark, doc_id, source, size, amount, epoch, cast(epoch * total + upto as double) / target as finish
+    from placed, (values (0), (1)) e(epoch) where amount > 0
+), spent as (
+    select *, sum(amount) over (order by finish, mark, epoch rows unbounded preceding) as upto from entries
+), budget as (
+    select 150 * sum(amount) // 100 as budget from units
+), taken as (
+    select doc_id, source, size, list(greatest(0, least(amount, amount - (upto - budget)))) as words
+    from spent, budget group by doc_id, source, size
+)
+select p.doc_id, p.source, cast(p.size as bigint) as size, cast(p.total as bigint) as source_size, p.target,
+    cast(coalesce(list_sum([greatest(0, least(p.size, w - copy * p.size)) for w in words]), 0) as bigint) as taken
+from (select *, unnest(range(copies)) as copy from placed) p
+left join taken t on p.doc_id is not distinct from t.doc_id and p.source is not distinct from t.source and p.size = t.size
+"""
+
+
+SQL = {"op12_mixing": OP12, "op3_license_scan": _license_sql(), "op8_quality_rules": _rules_sql(), "op2_decontamination": OP2, "op4_jaccard_join": OP4}
 
 OP10_DIGESTS = r"""
 with rows as (
