@@ -184,8 +184,7 @@ with marked as (
         coalesce(sum(cap) over earlier, 0) as caps, sum(weight) over () - coalesce(sum(weight) over earlier, 0) as open
     from sources s window earlier as (order by cap / weight, s.source rows between unbounded preceding and 1 preceding)
 ), rate as (
-    select min(cast(150 * everything - 100 * caps as double) / cast(100 * open as double)) as rate from ratios
-    where cap > weight * (cast(150 * everything - 100 * caps as double) / cast(100 * open as double))
+    select max(cast(150 * everything - 100 * caps as double) / cast(100 * open as double)) as rate from ratios
 ), targets as (
     select source, total, case when total = 0 then 0.0 else least(coalesce(weight * rate, cap), cast(cap as double)) end as target
     from sources, rate
