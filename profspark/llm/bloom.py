@@ -36,3 +36,8 @@ class Bloom:
     def has(self, key: int) -> bool:
         bit = key & self.mask
         return bool(self.bytes[bit >> 3] >> (bit & 7) & 1)
+
+    def hits(self, keys: np.ndarray) -> np.ndarray:
+        """`has` for an array of 64-bit keys."""
+        bit = keys.astype(np.int64, copy=False) & self.mask
+        return (self.bytes[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)

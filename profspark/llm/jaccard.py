@@ -5,10 +5,14 @@ in a bounded number of shingles, D. The band's hash space is cut into more than
 has no difference. A *tile* is all sets of a band that agree in one segment; both sides of every link meet in a tile,
 whatever the data. Tiles of one set, by far the most, end there.
 
+Signatures that only one set has, by far the most, are found before rows of them are made: tasks deal their signatures,
+each at most twice, to ranges as plain arrays, and a range keeps those it gets twice. Rows (signature, set) are made of
+what a bounded filter of the kept ones lets pass; a join settles the rest.
+
 Inside tiles no list of all pairs is made:
 
 1. Each set is compared with the leader of its tiles (the set with the most company over its segments), which is linear
-   and joins the bulk of any group of copies.
+   and joins the bulk of any group of copies. Bitmaps bound the overlap; what may link is compared exactly.
 2. What then is not joined yet is compared tile by tile in blocks of about TILE sets: set bits in the difference of two
    bitmaps bound the overlap from above, and the distance is a metric, so that distances to the leader bound it, too.
    Only pairs across components are wanted, and of those the best ones per set and component come first. Pairs that
@@ -35,6 +39,8 @@ from profspark.llm.scratch import Scratch, packed, unpacked
 from profspark.llm.words import SPACED, U64, encoded, mix, shingles, words
 
 TILE = 1024
+#: Signatures that a range of them has on average.
+RANGE = 1 << 20
 WIDEST = 1 << 40
 
 
@@ -147,13 +153,13 @@ def jaccard_components(
     described = scratch.keep(
         docs.mapInArrow(describe, T.StructType([id_field, *longs, T.StructField("sigs", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())]))
     )
-    rows = described.select("id", "n", "node")
+    rows = scratch.keep(described.select("id", "n", "node"))
     # One row speaks for all copies of a set.
-    nodes = described.where("n > 0").groupBy("node").agg(F.min(F.struct("key", "n", "sigs", "bits")).alias("own"))
+    nodes = described.where("n > 0").groupBy("node").agg(F.min(F.struct("key", "n")).alias("own"))
     nodes = scratch.keep(nodes.select("node", "own.*"))
-    edges = _links(docs, nodes, scratch, size, p, q, tile)
-    labels = components(edges, scratch)
-    scratch.drop(nodes)
+    edges = _links(docs, described, nodes, scratch, size, p, q, tile)
+    labels = scratch.keep(components(edges, scratch))
+    scratch.drop(nodes, edges)
 
     labelled = rows.where("n > 0").join(labels, "node", "left").select("id", "n", F.coalesce("label", "node").alias("label"))
     # Written, so that the join has two plain shuffles, of which Spark can split a hot label's rows.
@@ -183,42 +189,137 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return unpacked(once)
 
 
-def _links(docs: DataFrame, nodes: DataFrame, scratch: Scratch, size: int, p: int, q: int, tile: int) -> DataFrame:
-    """Edges (u, v) between sets, enough of them to connect whatever links connect."""
-    flat = nodes.select("node", F.explode("sigs").alias("sig"))
-    met = flat.withColumn("mates", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("mates > 1")
-    met = scratch.keep(met)
-    company = met.groupBy("node").agg(F.sum("mates").alias("company"))
-    leader = met.join(company, "node").groupBy("sig").agg(F.max(F.struct("company", "node")).alias("top"))
-    led = scratch.keep(met.join(leader, "sig").select("sig", "node", F.col("top.node").alias("leader")))
-    scratch.drop(met)
+def _met(described: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sig, node, mates) of the signatures that several sets have."""
+    spark = described.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = described.agg(F.coalesce(F.sum(F.size("sigs")), F.lit(0))).first()[0]
+    ranges = max(partitions, -(-total // RANGE))
+    speaks = spark.sparkContext.broadcast(Bloom.of(nodes, "key"))
+
+    def of_speakers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that speak for a set, and the signatures of each; a few copies may pass, too."""
+        rows = np.flatnonzero(speaks.value.hits(batch["key"].to_numpy()))
+        lists = batch["sigs"].take(pa.array(rows))
+        return np.repeat(rows, lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = np.sort(of_speakers(batch)[1])
+            third = np.zeros(len(sigs), dtype=bool)
+            third[2:] = sigs[2:] == sigs[:-2]
+            sigs = sigs[~third]
+            own = ((sigs.view(U64) >> U64(32)) * U64(ranges)) >> U64(32)
+            order = np.argsort(own, kind="stable")
+            sigs, own = sigs[order], own[order]
+            edge = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True]))) if len(own) else np.zeros(1, dtype=np.int64)
+            blobs = [sigs[x:y].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(own[edge[:-1]].astype(np.int64)), pa.array(blobs, pa.binary())], names=["range", "sigs"])
+
+    def twice(table: pa.Table) -> pa.Table:
+        sigs = np.sort(np.concatenate([np.frombuffer(v.as_buffer(), dtype=np.int64) for v in table["sigs"]]))
+        return pa.table({"sig": np.unique(sigs[1:][sigs[1:] == sigs[:-1]])})
+
+    dealt = described.select("key", "sigs").mapInArrow(deal, "range long, sigs binary")
+    shared = scratch.keep(dealt.groupBy("range").applyInArrow(twice, "sig long"))
+    passes = spark.sparkContext.broadcast(Bloom.of(shared, "sig"))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, sigs = of_speakers(batch)
+            may = passes.value.hits(sigs)
+            row, sigs = row[may], sigs[may]
+            node, key = (batch[c].to_numpy()[row] for c in ("node", "key"))
+            for at in range(0, len(row), 1 << 16):
+                k = slice(at, at + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(x[k]) for x in (sigs, node, key)], names=["sig", "node", "key"])
+
+    flat = described.select("node", "key", "sigs").mapInArrow(listed, "sig long, node long, key long")
+    flat = scratch.keep(flat.join(nodes, ["node", "key"], "left_semi").select("sig", "node").distinct())
+    # Aggregates are written, here and below, so that joins have two plain shuffles, of which Spark can split a hot key.
+    counts = scratch.keep(flat.groupBy("sig").agg(F.count(F.lit(1)).alias("mates")).where("mates > 1"))
+    met = scratch.keep(flat.join(counts, "sig"))
+    scratch.drop(shared, flat, counts)
+    return met
+
+
+def _led(met: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sig, node, leader): the tiles, each with the set that has the most company over all its tiles."""
+    company = scratch.keep(met.groupBy("node").agg(F.sum("mates").alias("company")))
+    top = F.max(F.struct("company", "node"))
+    leader = scratch.keep(met.join(company, "node").groupBy("sig").agg(top.alias("top")).select("sig", F.col("top.node").alias("leader")))
+    led = scratch.keep(met.join(leader, "sig").select("sig", "node", "leader"))
+    scratch.drop(company, leader)
+    return led
+
+
+def _links(docs: DataFrame, described: DataFrame, nodes: DataFrame, scratch: Scratch, size: int, p: int, q: int, tile: int) -> DataFrame:
+    """Edges (u, v) between sets, enough of them to connect whatever links connect. Drops `described`."""
+    met = _met(described, nodes, scratch)
+    led = _led(met, scratch)
+    need = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "key")
+    maps = described.join(need, ["node", "key"], "left_semi").select("node", "key", "n", "bits").dropDuplicates(["node"])
+    maps = scratch.keep(maps)
+    scratch.drop(met, described)
 
-    sets = _arrays(docs, nodes.join(led.select("node").distinct(), "node", "left_semi").select("node", "key"), scratch, size)
     pairs = led.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    checked = scratch.keep(_checked(pairs, sets, p, q))
-    to_leader = checked.select(F.col("a").alias("node"), F.col("b").alias("leader"), "distance", "linked")
-    led = led.join(to_leader, ["node", "leader"], "left").select("sig", "node", "leader", "distance", "linked")
-    led = scratch.keep(led)
-    edges = checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    bounded = scratch.keep(_bounded(pairs, maps, p, q))
+    sets = _arrays(docs, bounded.where("may").select("a", "b"), maps, None, scratch, size)
+    checked = scratch.keep(_checked(bounded.where("may").select("a", "b"), sets, p, q))
+    sure = checked.select("a", "b", F.col("distance").alias("low"), F.col("distance").alias("high"), "linked")
+    known = sure.unionByName(bounded.where("not may").select("a", "b", "low", F.lit(1.0).alias("high"), F.lit(False).alias("linked")))
+    known = known.withColumnsRenamed({"a": "node", "b": "leader"})
+    to_leader, led = led, scratch.keep(led.join(known, ["node", "leader"], "left").select("sig", "node", "leader", "low", "high", "linked"))
+    edges = scratch.keep(checked.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    scratch.drop(to_leader, bounded, checked)
 
     take = 1
     while True:
-        labels = components(edges, scratch)
-        found = scratch.keep(_undecided(led, nodes, labels, scratch, p, q, tile, take))
-        more = found.where("a is not null").select("a", "b").distinct()
-        edges = edges.unionByName(_checked(more, sets, p, q).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        edges = scratch.keep(edges.distinct())
-        if found.where("a is null").isEmpty():
+        labels = scratch.keep(components(edges, scratch))
+        found = scratch.keep(_undecided(led, maps, labels, scratch, p, q, tile, take))
+        more = scratch.keep(found.where("a is not null").select("a", "b").distinct())
+        if not more.isEmpty():
+            sets = _arrays(docs, more, maps, sets, scratch, size)
+            new = _checked(more, sets, p, q).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+            before, edges = edges, scratch.keep(edges.unionByName(new).distinct())
+            scratch.drop(before)
+        done = found.where("a is null").isEmpty()
+        scratch.drop(labels, found, more)
+        if done:
+            scratch.drop(led, maps, sets)
             return edges
         take *= 8
 
 
-def _arrays(docs: DataFrame, need: DataFrame, scratch: Scratch, size: int) -> DataFrame:
-    """(node, n, shingles) of the needed sets, from the texts again.
+def _bounded(pairs: DataFrame, maps: DataFrame, p: int, q: int) -> DataFrame:
+    """The pairs (a, b) with a lower bound of their distance, and whether they may link, by their bitmaps."""
+    both = pairs.join(maps.select("node", "n", "bits").toDF("a", "n_a", "bits_a"), "a").join(maps.select("node", "n", "bits").toDF("b", "n_b", "bits_b"), "b")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for a, b in zip(batch["bits_a"], batch["bits_b"], strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint8) for v in (a, b))
+                least = min(len(x), len(y))
+                out.append(int(np.bitwise_count((folded(x, least) ^ folded(y, least)).view(np.uint64)).sum()))
+            apart, both_n = np.array(out, dtype=np.int64), batch["n_a"].to_numpy() + batch["n_b"].to_numpy()
+            columns = [batch["a"], batch["b"], pa.array(2 * apart / (both_n + apart)), pa.array(apart * (q + p) <= (q - p) * both_n)]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "low", "may"])
+
+    return both.mapInArrow(bound, "a long, b long, low double, may boolean")
+
+
+def _arrays(docs: DataFrame, pairs: DataFrame, maps: DataFrame, have: DataFrame | None, scratch: Scratch, size: int) -> DataFrame:
+    """(node, n, shingles) of the sets in `pairs` (a, b), from the texts again; `have` has some of them already.
 
     A filter of bounded size keeps most other texts' sets from being moved; the join settles the rest.
     """
-    need = scratch.keep(need)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if have is not None:
+        wanted = wanted.join(have.select("node"), "node", "left_anti")
+    need = scratch.keep(maps.join(wanted, "node", "left_semi").select("node", "key"))
+    if have is not None and need.isEmpty():
+        return have
     bloom = docs.sparkSession.sparkContext.broadcast(Bloom.of(need, "key"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,8 +338,10 @@ def _arrays(docs: DataFrame, need: DataFrame, scratch: Scratch, size: int) -> Da
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds)], names=["node", "key", "n", "shingles"])
 
     found = docs.mapInArrow(read, "node long, key long, n long, shingles binary")
-    found = found.join(need, ["node", "key"], "left_semi").dropDuplicates(["node", "key"])
-    return scratch.keep(found.select("node", "n", "shingles"))
+    found = found.join(need, ["node", "key"], "left_semi").dropDuplicates(["node", "key"]).select("node", "n", "shingles")
+    sets = scratch.keep(found if have is None else found.unionByName(have))
+    scratch.drop(need, *([] if have is None else [have]))
+    return sets
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -259,27 +362,28 @@ def _checked(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return both.mapInArrow(intersect, "a long, b long, distance double, linked boolean")
 
 
-def _undecided(led: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Scratch, p: int, q: int, tile: int, take: int) -> DataFrame:
+def _undecided(led: DataFrame, maps: DataFrame, labels: DataFrame, scratch: Scratch, p: int, q: int, tile: int, take: int) -> DataFrame:
     """Pairs (a, b) of a tile that may link and would join two components, at most `take` per set and component.
 
     A row of nulls says that pairs were left out. Tiles of one component are done. So are sets in a tile that link to
-    its leader, unless another set is near enough to the leader for a link between the two.
+    its leader, unless another set is near enough to the leader for a link between the two. Distances to the leader are
+    exact, or, where bitmaps ruled a link out, at least `low`.
     """
     limit = 1 - p / q + 1e-9
     marked = led.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).where("node != leader")
-    per_tile = marked.groupBy("sig").agg(F.min(F.when(~F.col("linked"), F.col("distance"))).alias("nearest"), F.min("label").alias("l1"), F.max("label").alias("l2"), F.count(F.lit(1)).alias("sets"))
+    per_tile = marked.groupBy("sig").agg(F.min(F.when(~F.col("linked"), F.col("low"))).alias("nearest"), F.min("label").alias("l1"), F.max("label").alias("l2"), F.count(F.lit(1)).alias("sets"))
     open_tiles = per_tile.where("nearest is not null and l1 != l2").select("sig", "nearest", F.ceil(F.col("sets") / tile).cast("int").alias("blocks"))
     # Written, so that the join has two plain shuffles, of which Spark can split a large tile's rows.
     open_tiles = scratch.keep(open_tiles)
-    left = marked.join(open_tiles, "sig").where(~F.col("linked") | (F.col("distance") >= F.col("nearest") - limit))
-    left = left.join(nodes.select("node", "n", "bits"), "node").select("sig", "node", "label", "distance", "n", "bits", "blocks")
+    left = marked.join(open_tiles, "sig").where(~F.col("linked") | (F.col("high") >= F.col("nearest") - limit))
+    left = left.join(maps.select("node", "n", "bits"), "node").select("sig", "node", "label", "low", "high", "n", "bits", "blocks")
     # Blocks of about `tile` sets, by a hash.
     left = left.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
     def compare(table: pa.Table) -> pa.Table:
-        n, label, distance = (table[c].to_numpy() for c in ("n", "label", "distance"))
+        n, label, low, high = (table[c].to_numpy() for c in ("n", "label", "low", "high"))
         maps = [np.frombuffer(v.as_buffer(), dtype=np.uint8) for v in table["bits"].combine_chunks()]
         shortest = min(map(len, maps))
         bits = np.stack([folded(m, shortest) for m in maps]).view(np.uint64)
@@ -290,7 +394,7 @@ def _undecided(led: DataFrame, nodes: DataFrame, labels: DataFrame, scratch: Scr
             j = slice(i, i + step)
             apart = np.bitwise_count(bits[j, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
             may = (apart * (q + p) <= (q - p) * (n[j, None] + n[None, :])) & (label[j, None] != label[None, :])
-            may &= np.abs(distance[j, None] - distance[None, :]) <= limit
+            may &= (low[j, None] - high[None, :] <= limit) & (low[None, :] - high[j, None] <= limit)
             if not same_block:
                 may &= own[j, None] != own[None, :]
             x, y = np.nonzero(may)

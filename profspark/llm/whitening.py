@@ -67,18 +67,22 @@ def _summed(rows: DataFrame, d: int, width: int, part: Callable[[np.ndarray], np
     return np.concatenate([np.frombuffer(r.sums, dtype=np.int64) for r in parts.orderBy("block").toLocalIterator()]).reshape(-1, width)
 
 
-def _covariance(rows: DataFrame, n: int, sums: list[int]) -> np.ndarray:
-    """Of all vectors, divisor n. Entries are centred at the integer next to the mean; the rest is taken out exactly."""
+def _covariance(rows: DataFrame, n: int, sums: list[int], spread: int) -> np.ndarray:
+    """Of all vectors, divisor n. Entries are centred at the integer next to the mean; the rest is taken out exactly.
+
+    Where entries are more than 2**20 apart, products are rounded to a power of two that keeps their sums in 64 bits.
+    """
+    unit = 1 << max(0, spread.bit_length() - 20)
     d, centre = len(sums), [(2 * s + n) // (2 * n) for s in sums]
     around = np.array(centre, dtype=np.int64)
 
     def products(x: np.ndarray) -> np.ndarray:
-        c = (x - around).astype(np.float64)
+        c = (x - around).astype(np.float64) / unit
         return np.rint(c.T @ c).astype(np.int64)
 
     total = _summed(rows, d, d, products).astype(object)
     off = np.array([s - n * c for s, c in zip(sums, centre, strict=True)], dtype=object)
-    return ((n * total - np.outer(off, off)) / (n * n)).astype(np.float64)
+    return ((n * total * unit**2 - np.outer(off, off)) / (n * n)).astype(np.float64)
 
 
 def whitened(df: DataFrame, vector: Column, components: int = 8, keep: list[str] | None = None) -> DataFrame:
@@ -95,13 +99,13 @@ def whitened(df: DataFrame, vector: Column, components: int = 8, keep: list[str]
     scratch = Scratch(df.sparkSession)
     schema = "deviation decimal(38,0), whitened array<double>"
     rows = narrowed(packed(df, x=vector.cast("array<long>")), keep).where("x is not null and not exists(x, e -> e is null) and size(x) > 0")
-    common = rows.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.desc("d")).first()
+    common = rows.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.min(F.array_min("x")).alias("least"), F.max(F.array_max("x")).alias("most")).orderBy(F.desc("n"), F.desc("d")).first()
     d, n = (common["d"], common["n"]) if common else (0, 0)
     rows = rows.where(F.size("x") == d)
     values, sums = np.empty(0), []
     if n:
         sums = [int(s) for s in _summed(rows, d, d, lambda x: x.sum(axis=0, dtype=np.int64)[None])[0]]
-        covariance = _covariance(rows, n, sums)
+        covariance = _covariance(rows, n, sums, common["most"] - common["least"])
         values, vectors = feast.largest(covariance, components, FLOOR)
     names = ["component", "n", "deviation", "whitened", "explained", "identity_error"]
     if not len(values):
