@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 from oracle import ORACLE
 from profspark.functions.frames import c_string, frame_names, stack_text
 from profspark.operators import kernel, process, spans, symbols, telemetry
-from profspark.operators.hot import GROUP_ROWS, shared_dir
+from profspark.operators.hot import GROUP_ROWS, materialized, shared_dir
+from profspark.operators.intervals import EARLIEST
+from profspark.operators.ranges import range_lookup
 from profspark.plans import by_stack, collect, tracks
+from profspark.plans.paths import intern_paths
 from profspark.plans.profile import profile
 from profspark.plans.profile_bytes import profile_chunks
-from profspark.plans.trace import categories, trace
+from profspark.plans.trace import categories, contract_rejects, trace
 from profspark.sources import derived, events as source
+from profspark.sources.sinks import write_events, write_trace_document
 from profspark.streaming import fold, steps
 
 try:
@@ -53,6 +57,18 @@ def _by_path(analysis, **options) -> Query:
     return run
 
 
+def _interned(analysis, **options) -> Query:
+    """The analysis over events that hold keys of call paths, and their dictionary."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        keyed, paths = intern_paths(derived.events(spark, sf_dir))
+        result = analysis(materialized(keyed), paths=materialized(paths), **options)
+        stack, *values = result.columns
+        return result.select(_text(stack), *values)
+
+    return run
+
+
 def _track(analysis, **options) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         result = analysis(derived.events(spark, sf_dir), **options)
@@ -149,15 +165,15 @@ def _raw(transform: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: transform(derived.raw(spark, sf_dir))
 
 
-def _span_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.span_state(process.with_epoch(derived.raw(spark, sf_dir)))
+def _span_state(spark: SparkSession, sf_dir: str) -> spans.SpanState:
+    return spans.SpanState(process.with_epoch(derived.raw(spark, sf_dir)))
 
 
 SPAN_COLUMNS = ["seq", "tgid", "pid", "span_id", "duration", "parent_id", "id", "amount", "name"]
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _span_state(spark, sf_dir).where(F.col("type").isin(collect.PLAIN))
+    rows = _span_state(spark, sf_dir).others.where(F.col("type").isin(collect.PLAIN))
     return rows.select("seq", F.col("top").alias("open_span"), F.col("entry.id").alias("id"), F.col("entry.name").alias("name"))
 
 
@@ -166,6 +182,13 @@ def _attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq", "epoch", "command", F.lower(F.hex("exe_buildid")).alias("buildid"))
 
 
+def _after_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attribution where each loss of events is followed by a list of what still runs."""
+    raw = process.with_running(derived.raw(spark, sf_dir), derived.running(spark, sf_dir))
+    rows = process.attribute(process.with_epoch(raw)).where(~F.col("type").isin("process_exec", "reset"))
+    return rows.select("seq", "epoch", "command", F.lower(F.hex("exe_buildid")).alias("buildid"))
+
+
 def _two_runs(analysis):
     """The analysis over the events as if they came from two runs."""
     return lambda events, **options: analysis(events.withColumn("run", F.col("cpu") % 2), **options)
@@ -177,16 +200,20 @@ def _raw_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return process.with_epoch(raw, ("run",))
 
 
-def _run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.span_state(_raw_runs(spark, sf_dir))
+def _run_state(spark: SparkSession, sf_dir: str) -> spans.SpanState:
+    return spans.SpanState(_raw_runs(spark, sf_dir))
 
 
 def _collected(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, _ = collect.collect_events(
         derived.raw(spark, sf_dir), derived.stackmap(spark, sf_dir), derived.symbols(spark, sf_dir)
     )
+    return _shown(events)
+
+
+def _shown(events: DataFrame, *more: str) -> DataFrame:
     return events.select(
-        "timestamp", "duration", "kind", "cpu", "tgid", "pid", "span_id", "parent_id", "id", "amount", "command", "trace_name",
+        *more, "timestamp", "duration", "kind", "cpu", "tgid", "pid", "span_id", "parent_id", "id", "amount", "command", "trace_name",
         F.lower(F.hex("buildid")).alias("buildid"),
         stack_text("ustack").alias("ustack"),
         stack_text("kstack").alias("kstack"),
@@ -215,6 +242,31 @@ def _symbol_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _symbol_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each address in the symbol table that its process had when the event arrived."""
+    tables = derived.symbol_versions(spark, sf_dir)
+    used = symbols.used_call_paths(symbols.with_version(derived.raw(spark, sf_dir), tables))
+    found = symbols.resolve_addresses(symbols.stack_addresses(used, derived.stackmap(spark, sf_dir)), tables)
+    since = F.when(F.col("version") != EARLIEST, F.col("version")).alias("since")
+    return found.select("scope", since, "address", F.col("frame.name").alias("name"), F.col("frame.address").alias("start"), F.col("frame.offset").alias("off"))
+
+
+def _collected_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs with the same process and stack ids, each with its own symbols, call paths and resets."""
+    run = lambda rows, k: rows.withColumn("run", F.lit(k).cast("bigint"))
+    raw = derived.raw(spark, sf_dir).withColumn("run", F.expr("seq div 16 % 2"))
+    paths, names = derived.stackmap(spark, sf_dir), derived.symbols(spark, sf_dir)
+    moved = paths.withColumn("frames", F.transform("frames", lambda f: F.when(f != 0, f + 1).otherwise(f)))
+    names = [run(names.withColumn("name", F.concat("name", F.lit(f"_r{k}"))), k) for k in (0, 1)]
+    events, _ = collect.collect_events(raw, run(paths, 0).unionByName(run(moved, 1)), names[0].unionByName(names[1]), scope=("run",))
+    return _shown(events, "run")
+
+
+def _wide_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = range_lookup(derived.wide_points(spark, sf_dir), derived.wide_ranges(spark, sf_dir), ["grp"], "addr", ["id"])
+    return found.select("grp", "addr", "id")
+
+
 def _sql_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     query = """
         select kind, count(*) as count, cast(sum(amount) as bigint) as amount
@@ -253,10 +305,7 @@ def _stream(name: str, step, *columns: str) -> Query:
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         rows = source.replay_stream(getattr(derived, name)(spark, sf_dir), "seq", f"{path}/in", BATCHES)
         fold.start(rows, step, path).awaitTermination()
-        for part in ("in", "state", "checkpoint"):
-            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        out = spark.read.parquet(f"{path}/out")
+        out = fold.read_output(spark, path)
         return out.select(*columns) if columns else out.drop("batch")
 
     return run
@@ -268,6 +317,67 @@ def _string_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strings.agg(F.sum(F.length("data")).alias("bytes"))
 
 
+def _message_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each section of the encoded message."""
+    chunks = profile_chunks(profile(by_stack.cpu_time(derived.events(spark, sf_dir), **WHO)))
+    return chunks.groupBy("section").agg(F.sum(F.length("data")).alias("bytes"))
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _trace_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a written document, read back."""
+    path = _fresh(spark, "document")
+    write_trace_document(_trace(spark, sf_dir), path)
+    text = spark.read.text(f"{path}/part-01-*").select(F.regexp_replace("value", "^,", "").alias("value"))
+    schema = "ph string, name string, id string, cat string, ts long, dur long, tid long, pid long, esf string, args struct<amount: long, cpu: long>"
+    return text.select(F.from_json("value", schema).alias("r")).select("r.*").select("*", "args.*").drop("args")
+
+
+def _empty_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = derived.events(spark, sf_dir).where("kind = 'no such kind'")
+    return trace([tracks.switch_slices(none, sort=False), tracks.rss_track(none, sort=False)]).header
+
+
+def _contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tracks.switch_slices(derived.events(spark, sf_dir), sort=False)
+    event = F.when(F.col("cpu") == 3, "other").when(F.col("pid") % 7 != 0, "complete")
+    broken = rows.withColumns({"event": event, "name": F.when(F.col("pid") % 11 != 0, F.col("name"))})
+    return contract_rejects(broken).select("event", "name", "pid", "start", "reason")
+
+
+def _unsigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other span id as an unsigned number beyond the signed ones."""
+    wide = F.col("span_id").cast("decimal(20,0)") + F.when(F.col("id") % 2 == 0, F.lit(str(1 << 63)).cast("decimal(20,0)")).otherwise(0)
+    return source.normalise(derived.events(spark, sf_dir).withColumn("span_id", wide.cast("decimal(20,0)"))).select("id", "span_id")
+
+
+def _capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two numbered runs, of which the latest is read, and in it all files but the unfinished one."""
+    base, events = _fresh(spark, "capture"), derived.events(spark, sf_dir)
+    write_events(events.where("cpu < 2"), f"{base}/3")
+    write_events(events.where("cpu >= 2"), f"{base}/12")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(path(f"{base}/12/PENDING.parquet"), False)
+    out.write(b"not finished")
+    out.close()
+    return source.load_events(spark, source.latest_run_path(spark, base)).select("id", "timestamp", "kind")
+
+
+def _roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _fresh(spark, "events")
+    write_events(derived.events(spark, sf_dir), path, rows_per_file=1000)
+    return source.load_events(spark, path).select("id", "timestamp", "duration", "kind", "amount", _text())
+
+
+def _span_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    enters = _span_state(spark, sf_dir).parents.withColumn("explicit", F.when(F.col("parent_id") != 0, F.col("parent_id")))
+    return enters.select("seq", kernel.span_parent("explicit", "enclosing").alias("parent"))
+
+
 def _hot(query: Query, rows: int = 50) -> Query:
     """A query as it runs where keys of more than ``rows`` rows are hot: on large inputs, but for the number."""
 
@@ -307,6 +417,10 @@ def queries() -> dict[str, Query]:
         "rss_growth_command": _by_path(by_stack.rss_growth, **CMD),
         "span_wait": _by_path(by_stack.span_wait),
         "span_wait_clamped": _by_path(by_stack.span_wait, clamp_negative=True, span_keys=("tgid", "span_id")),
+        "cpu_by_stack_interned": _interned(by_stack.cpu_time, **WHO),
+        "offcpu_interned": _interned(by_stack.off_cpu, **WHO),
+        "rss_growth_interned": _interned(by_stack.rss_growth, **CMD),
+        "span_wait_interned": _interned(by_stack.span_wait),
         # Timelines and reports
         "rss_track": _track(tracks.rss_track),
         "switch_slices": _track(tracks.switch_slices),
@@ -321,6 +435,9 @@ def queries() -> dict[str, Query]:
             lambda e: source.time_slice(e, slice_start, slice_end).groupBy("kind").agg(F.count(F.lit(1)).alias("count"))
         ),
         "latest_run": _events(_runs),
+        "capture_scan": _capture,
+        "events_roundtrip": _roundtrip,
+        "unsigned_scan": _unsigned,
         "user_sql": _sql_source,
         "query_list": _query_list,
         "frame_offset_names": _events(
@@ -334,6 +451,7 @@ def queries() -> dict[str, Query]:
         "profile_header": _profile("header"),
         "profile_offset_functions": _profile("functions", with_offset=True),
         "profile_string_bytes": _string_bytes,
+        "profile_message_bytes": _message_bytes,
         "profile_line_locations": _profile("locations", with_lines=True),
         "profile_line_functions": _profile("functions", with_lines=True),
         "profile_line_samples": _profile("samples", with_lines=True),
@@ -345,6 +463,9 @@ def queries() -> dict[str, Query]:
         ),
         "trace_frames": lambda spark, sf_dir: _trace(spark, sf_dir).frames,
         "trace_json": _trace_json,
+        "trace_document": _trace_document,
+        "empty_trace": _empty_trace,
+        "contract_rejects": _contract,
         "trace_header": lambda spark, sf_dir: _trace(spark, sf_dir).header,
         # From kernel observations to raw events
         "switch_pairing": lambda spark, d: kernel.pair_switches(derived.switches(spark, d), 1500).select(
@@ -377,11 +498,15 @@ def queries() -> dict[str, Query]:
         "span_names": lambda spark, d: derived.named_buffers(spark, d).select("c_custkey", c_string("buffer").alias("name")),
         # Enrichment
         "process_attribution": _attributed,
-        "span_exit": lambda spark, d: spans.span_exits(_span_state(spark, d)).select(*SPAN_COLUMNS),
-        "span_close": lambda spark, d: spans.span_closes(_span_state(spark, d)).select(*SPAN_COLUMNS),
+        "attribution_after_reset": _after_reset,
+        "span_exit": lambda spark, d: spans.span_exits(_span_state(spark, d).exits).select(*SPAN_COLUMNS),
+        "span_close": lambda spark, d: spans.span_closes(_span_state(spark, d).closes).select(*SPAN_COLUMNS),
         "open_span_label": _labels,
+        "span_parents": _span_parents,
         "stack_resolution": _resolved,
         "symbol_lookup": _symbol_lookup,
+        "symbol_lookup_versions": _symbol_versions,
+        "range_lookup_wide": _wide_ranges,
         "sample_filter": _raw(lambda r: r.where((F.col("type") == "sample") & collect.has_stack()).select("seq")),
         "event_kinds": _raw(
             lambda r: r.where(F.col("type").isin(collect.PLAIN)).groupBy(collect.event_kind().alias("kind")).agg(F.count(F.lit(1)).alias("count"))
@@ -401,18 +526,20 @@ def queries() -> dict[str, Query]:
             "seq", "timestamp", "duration", "kind", "cpu", "tgid", "pid", "span_id", "parent_id", "id", "amount", "command", "trace_name",
             "ustack_id", "kstack_id",
         ),
+        "stream_process_filter": _stream("raw_leaders", steps.tracked_step(["cmd1"]), "seq", "type"),
         "stream_rejects": lambda spark, d: collect.reject_counts(_stream("raw", steps.collect_step(report=True))(spark, d)),
         # Several runs, whose process and thread ids are the same
         "offcpu_runs": _by_path(_two_runs(by_stack.off_cpu), scope=("run",), **WHO),
         "rss_growth_runs": _by_path(_two_runs(by_stack.rss_growth), scope=("run",), **WHO),
-        "span_exit_runs": lambda spark, d: spans.span_exits(_run_state(spark, d)).select(*SPAN_COLUMNS),
+        "span_exit_runs": lambda spark, d: spans.span_exits(_run_state(spark, d).exits).select(*SPAN_COLUMNS),
         "attribution_runs": lambda spark, d: process.attribute(_raw_runs(spark, d)).select(
             "seq", "command", F.lower(F.hex("exe_buildid")).alias("buildid")
         ),
+        "collected_events_runs": _collected_runs,
         # The same with hot keys
         "hot_offcpu": _hot(_by_path(by_stack.off_cpu, **WHO)),
         "hot_rss_growth": _hot(_by_path(by_stack.rss_growth, **WHO)),
-        "hot_span_exit": _hot(lambda spark, d: spans.span_exits(_span_state(spark, d)).select(*SPAN_COLUMNS)),
+        "hot_span_exit": _hot(lambda spark, d: spans.span_exits(_span_state(spark, d).exits).select(*SPAN_COLUMNS)),
         "hot_collected_events": _hot(_collected),
         # Telemetry
         "missing_call_paths": _raw(tracks.missing_call_paths),

@@ -34,7 +34,7 @@ def _query(name: str, sql: str, *needs: str) -> None:
         visit(need)
     body = ", ".join(f"{p} as ({PARTS[p]})" for p in wanted)
     sql = sql.strip()
-    if sql.startswith("with "):
+    if wanted and sql.startswith("with "):
         body, sql = f"{body}, {sql[5:]}", ""
     ORACLE[name] = f"with recursive {body} {sql}" if wanted else sql
 
@@ -54,7 +54,7 @@ def union_of(a: str, b: str) -> str:
 
 
 def path_id(names: str) -> str:
-    return f"left(sha256(array_to_string({names}, chr(1))), 32)"
+    return f"list_reduce(list_prepend('{'0' * 32}', {names}), lambda parent, name: left(sha256(concat(parent, name)), 32))"
 
 
 # ---------------------------------------------------------------- derived tables
@@ -383,6 +383,26 @@ _query(
     """,
     "frames",
 )
+# Bytes of a number; ids, lengths of strings and of functions' messages take one byte each, as all are below 128.
+_BYTES = "greatest(1, (length(bin({})) + 6) // 7)"
+_query(
+    "profile_message_bytes",
+    f"""
+    with samples as (
+        select case when len(stack) > 0 then 2 + len(stack) else 0 end + 2 + {_BYTES.format("n")} + {_BYTES.format("v")} as payload from cpu
+    ), locations as (
+        select 6 + case when address <> 0 then 1 + {_BYTES.format("address")} else 0 end as payload from byname
+    )
+    select 1 as section, cast(9 + {_BYTES.format("sum(v)::bigint")} as bigint) as bytes from cpu
+    union all select 2, cast(sum(1 + {_BYTES.format("payload::bigint")} + payload) as bigint) from samples
+    union all select 3, cast(sum(1 + {_BYTES.format("payload::bigint")} + payload) as bigint) from locations
+    union all select 4, cast(sum(6) as bigint) from byname
+    union all select 5, cast(sum(2 + length(value)) as bigint) from (
+        select unnest(['', 'samples', 'count', 'sampled_cpu', 'ns', 'process', 'sampled_duration']) as value
+        union all select distinct name from frames)
+    """,
+    "byname",
+)
 _query(
     "profile_header",
     "select 'count' as count_title, 'sampled_duration' as value_title, cast(sum(v) as bigint) as duration_nanos from cpu",
@@ -460,6 +480,19 @@ _query(
     "sw",
     "sp",
 )
+_query("trace_document", "select 'X' as ph, * from xrows union all select 'C', * from crows", "xrows", "crows")
+_query("empty_trace", "select 'ns' as \"displayTimeUnit\", count(*) = 0 as empty from events where value is null and event_id < 0")
+_query(
+    "contract_rejects",
+    """
+    select *, case when event is null then 'no event' when event = 'other' then 'neither complete nor counter'
+                   when name is null then 'no name' end as reason
+    from (select case when cpu = 3 then 'other' when pid % 7 <> 0 then 'complete' end as event,
+                 case when pid % 11 <> 0 then name end as name, pid, start from sw)
+    where event is null or event = 'other' or name is null
+    """,
+    "sw",
+)
 _query(
     "trace_json",
     """
@@ -598,6 +631,30 @@ _part(
 )
 _query("process_attribution", "select seq, epoch, command, exe as buildid from att", "att")
 
+_part(
+    "seeded",
+    """
+    select epoch, tgid, seq, comm, buildid from rawe where type = 'process_exec'
+    union all
+    select epoch, t, seq, concat('run', t % 6), lpad(cast(t % 10 as varchar), 2, '0')
+    from (select *, unnest(range(0, 64, 2)) as t from rawe where type = 'reset')
+    """,
+    "rawe",
+)
+_query(
+    "attribution_after_reset",
+    """
+    with known as (
+        select * from (select *, lag(comm) over (partition by epoch, tgid order by seq) as before from seeded)
+        where before is null or before <> comm
+    )
+    select r.seq, r.epoch, x.comm as command, x.buildid as buildid
+    from (select * from rawe where type not in ('process_exec', 'reset')) r
+    asof left join known x on r.epoch = x.epoch and r.tgid = x.tgid and r.seq >= x.seq
+    """,
+    "seeded",
+)
+
 _part(
     "threads",
     "select *, row_number() over (partition by epoch, pid order by seq) as rn from rawe",
@@ -686,6 +743,15 @@ _part(
 _query("span_exit", "select * exclude (epoch) from exits", "exits")
 _query("span_close", "select * exclude (epoch) from closes", "closes")
 
+_query(
+    "span_parents",
+    """
+    select w.seq, coalesce(nullif(w.parent_id, 0), l.st[-1], 0) as parent
+    from threads w left join lists l on w.epoch = l.epoch and w.pid = l.pid and w.rn = l.rn + 1 where w.type = 'trace_enter'
+    """,
+    "lists",
+)
+
 _part(
     "used",
     """
@@ -883,6 +949,75 @@ _query("stream_events", "select * exclude (exe) from collected", "collected")
 for _name in ("offcpu", "rss_growth", "span_exit", "collected_events"):
     ORACLE[f"hot_{_name}"] = ORACLE[_name]
 
+# Events that hold keys of call paths give what events with the paths give.
+for _name, _as in (("cpu_by_stack", "cpu_by_stack"), ("offcpu", "offcpu"), ("rss_growth", "rss_growth_command"), ("span_wait", "span_wait")):
+    ORACLE[f"{_name}_interned"] = ORACLE[_as]
+
+# ---------------------------------------------------------------- symbols valid in time, and runs of their own
+
+_part(
+    "symv",
+    """
+    select scope, cast(null as bigint) as since, start, "end", name from sym
+    union all
+    select scope, scope * 5000, start, "end", concat('new_', name) from sym where scope > 0 and scope % 3 = 0 and start // 4096 % 2 = 0
+    """,
+    "sym",
+)
+_part("tables", "select distinct scope, coalesce(since, -1) as version from symv where scope >= 0", "symv")
+_part(
+    "rawv",
+    "select r.*, t.version from raw r asof left join tables t on r.tgid = t.scope and r.seq >= t.version",
+    "raw",
+    "tables",
+)
+_part(
+    "usedv",
+    """
+    select distinct tgid as scope, version, ustack_id as stack_id from rawv where ustack_id >= 0
+    union select distinct -1, -1, kstack_id from raw where kstack_id >= 0
+    """,
+    "rawv",
+)
+_query(
+    "symbol_lookup_versions",
+    """
+    select a.scope, nullif(a.version, -1) as since, a.address, s.name, s.start, a.address - s.start as off
+    from (select distinct u.scope, u.version, unnest(m.frames) as address from usedv u join stackmap m using (stack_id)) a
+    join symv s on a.scope = s.scope and a.version = coalesce(s.since, -1) and a.address >= s.start and a.address < s."end"
+    where a.address <> 0
+    """,
+    "usedv",
+    "symv",
+    "stackmap",
+)
+
+# ---------------------------------------------------------------- wide, nested and negative ranges
+
+_query(
+    "range_lookup_wide",
+    """
+    with points as (
+        select distinct p_partkey % 3 as grp, unnest([p_partkey * 64, -p_partkey * 4096, p_partkey * 1099511627776, -p_partkey * 1099511627776]) as addr
+        from part
+    ), ranges as (
+        select s_suppkey % 3 as grp, s_suppkey as id, -s_suppkey * 1125899906842624 as start, s_suppkey * 4611686018427387 as "end" from supplier
+        union all select s_suppkey % 3, s_suppkey + 1000000, s_suppkey * 640 - 3200, s_suppkey * 640 + 3200 from supplier
+        union all select s_suppkey % 3, s_suppkey + 2000000, -s_suppkey * 65536 - 7, -s_suppkey * 65536 + 60000 from supplier
+        union all select 0, 3000000, -9223372036854775808, 9223372036854775807
+    )
+    select p.grp, p.addr, arg_max(r.id, (r.start, -cast(r."end" as hugeint))) as id
+    from points p left join ranges r on p.grp = r.grp and r.start <= p.addr and p.addr < r."end" group by p.grp, p.addr
+    """,
+)
+
+# ---------------------------------------------------------------- captures
+
+_query("unsigned_scan", "select id, case when id % 2 = 0 then span_id - 9223372036854775807 - 1 else span_id end as span_id from ev", "ev")
+_query("capture_scan", 'select id, "timestamp", kind from ev where cpu >= 2', "ev")
+_query("events_roundtrip", f"""select id, "timestamp", duration, kind, amount, {text('ustack')} as stack from ev""", "ev")
+ORACLE["stream_process_filter"] = ORACLE["process_filter"]
+
 # A fold over several batches gives what one pass gives.
 ORACLE["stream_rejects"] = ORACLE["rejects"]
 
@@ -894,3 +1029,25 @@ _RUNS = """select raw.*, count(*) filter (type = 'reset') over (partition by seq
 from raw"""
 ORACLE["span_exit_runs"] = ORACLE["span_exit"].replace(PARTS["rawe"], _RUNS)
 ORACLE["attribution_runs"] = ORACLE["process_attribution"].replace(PARTS["rawe"], _RUNS).replace("select seq, epoch, command", "select seq, command")
+
+# Each run has symbols and call paths of its own.
+_RUN_PARTS = {
+    "used": """select distinct seq // 16 % 2 as run, tgid as scope, ustack_id as stack_id from raw where ustack_id >= 0
+        union select distinct seq // 16 % 2, -1, kstack_id from raw where kstack_id >= 0""",
+    "addresses": """select run, scope, stack_id, pos, address + run as address from (
+        select u.run, u.scope, u.stack_id, unnest(m.frames) as address, generate_subscripts(m.frames, 1) as pos
+        from used u join stackmap m using (stack_id)) where address <> 0""",
+    "named": """select a.run, a.scope, a.address, concat(s.name, '_r', a.run) as name, s.start, a.address - s.start as off
+        from (select distinct run, scope, address from addresses) a
+        join sym s on a.scope = s.scope and a.address >= s.start and a.address < s."end" """,
+    "resolved": """select run, scope, stack_id, string_agg(concat(name, ':', start, ':', off), ';' order by pos) as stack
+        from addresses join named using (run, scope, address) group by run, scope, stack_id""",
+}
+_runs = ORACLE["collected_events"].replace(PARTS["rawe"], _RUNS)
+for _name, _sql in _RUN_PARTS.items():
+    _runs = _runs.replace(PARTS[_name], _sql)
+ORACLE["collected_events_runs"] = (
+    _runs.replace('select "timestamp", duration, kind, cpu, tgid', 'select c.seq // 16 % 2 as run, "timestamp", duration, kind, cpu, tgid')
+    .replace("u.scope = c.tgid", "u.run = c.seq // 16 % 2 and u.scope = c.tgid")
+    .replace("k.scope = -1", "k.run = c.seq // 16 % 2 and k.scope = -1")
+)

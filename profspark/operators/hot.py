@@ -5,6 +5,7 @@ a table; their number is known, so that it is broadcast only below a bound.
 """
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 from functools import cache
 
@@ -40,11 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """Cut a plan that several others start from: a checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """Cut a plan that several others start from: a parquet table in the shared folder, written once, of which each
+    reader takes its columns and rows. Tables stay until the folder is cleaned."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def key_hash(keys: list[str]) -> Column:

@@ -4,7 +4,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from profspark.functions.frames import c_string
-from profspark.operators.ordered import lag, last, ordered, running_sum
+from profspark.operators.hot import materialized
+from profspark.operators.intervals import Need, crowds, lookup, moment
+from profspark.operators.ordered import Ordered, chained, lag, lead, ordered, running_sum
+from profspark.operators.process import is_type
 
 # Fixed value: kernel frames of the probe itself on a switch.
 SWITCH_PROBE_FRAMES = 5
@@ -103,15 +106,21 @@ def keep_tracked(
         seeds = initial.select(*scope, "tgid", F.col("tgid").alias("pid"), "comm", F.lit("process_exec").alias("type"))
         # Nulls come first in the order of arrival.
         raw = raw.withColumn("_seed", F.lit(False)).unionByName(seeds.withColumn("_seed", F.lit(True)), allowMissingColumns=True)
-    is_exec, is_exit = F.col("type") == "process_exec", F.col("type") == "process_exit"
+    is_exec, is_exit, passes = is_type("process_exec"), is_type("process_exit"), is_type("reset", "done")
     leader = ~(is_exec | is_exit) | F.coalesce(F.col("pid") == F.col("tgid"), F.lit(True))
-    change = F.when(is_exec & c_string("comm").isin(commands), True).when(is_exit, False)
-    states = ordered(
-        raw.where(leader), [*scope, "tgid"], ["seq"], _now=last(change), _before=last(change, before=True)
-    )
-    tracked = F.coalesce(F.when(is_exit, F.col("_before")).otherwise(F.col("_now")), F.lit(False))
-    passes = F.col("type").isin("reset", "done")
-    kept = states.where(tracked | passes).drop("_now", "_before")
+    starts = is_exec & F.coalesce(c_string("comm").isin(commands), F.lit(False))
+    keys = [*scope, "tgid"]
+    rows = raw.where(leader)
+    changes = materialized(rows.where(starts | is_exit).select(*keys, "seq", moment().alias("begin"), is_exit.alias("_exit")))
+    crowd = crowds(changes, changes=Need(keys, F.lit(True)))["changes"]
+
+    def until_next(part: DataFrame, slice_col: str | None) -> DataFrame:
+        return Ordered(keys, ["seq"], slice_col).apply(part, end=lead(F.col("begin")), _ended=lead(F.col("_exit")))
+
+    ended = chained(changes, crowd.slicing(changes), until_next, derived=False)
+    # An exit still belongs to the process it ends.
+    tracked = ended.where("not _exit").withColumn("end", F.when(F.col("_ended"), F.col("end") + 1).otherwise(F.col("end")))
+    kept = lookup(rows.where(~passes), tracked, [], crowd, how="left_semi").unionByName(rows.where(passes))
     return kept if initial is None else kept.where(~F.col("_seed")).drop("_seed")
 
 

@@ -52,8 +52,11 @@ def slicing(df: DataFrame, keys: list[str], order: str) -> Slicing:
     The number of slices follows the rows of hot keys. Rows with one key and one order value stay together.
     """
     found = hot_keys(df, keys)
-    if not found:
-        return Slicing(keys, order)
+    return sliced(df, order, keys, found) if found else Slicing(keys, order)
+
+
+def sliced(df: DataFrame, order: str, keys: list[str], found: HotKeys) -> Slicing:
+    """The slices of known hot keys."""
     slices = max(2, -(-found.rows // group_rows(df.sparkSession)))
     hot_rows = df.withColumn("_h", key_hash(keys)).join(found.small(), "_h", "left_semi")
     values = hot_rows.select(F.col(order).cast("double").alias("v"))

@@ -1,49 +1,83 @@
 """Process attribution: the command and executable of each event's process, as of the event."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from profspark.functions.frames import c_string
-from profspark.operators.ordered import Ordered, Slicing, chained, last, running_sum, slicing
+from profspark.operators.hot import materialized
+from profspark.operators.intervals import Crowds, Need, crowds, lookup, moment
+from profspark.operators.ordered import Ordered, chained, last, lead, running_sum
 
-BLOCK_BITS = 18
+PROCESS = ["epoch", "tgid"]
+
+
+def is_type(*types: str) -> Column:
+    return F.coalesce(F.col("type").isin(*types), F.lit(False))
 
 
 def with_epoch(raw: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     """Number the stretches between losses of events: state is never carried over a reset marker.
 
-    A running count of resets over blocks of the arrival order, carried from block to block; without any reset, which
-    one filtered scan tells, a constant. ``scope`` names the columns of a host and run: they become part of the epoch,
-    so that neither a reset nor any state of one run touches another one, whose process and thread ids may be the same.
+    The few reset rows are numbered on their own, and all others look up the interval between two of them; without any
+    reset, which the count of the lookup tells, the number is a constant. ``scope`` names the columns of a host and run:
+    they become part of the epoch, so that neither a reset nor any state of one run touches another one, whose process
+    and thread ids may be the same.
     """
     if "epoch" in raw.columns:
         return raw
-    if raw.where(F.col("type") == "reset").isEmpty():
+    resets = materialized(raw.where(is_type("reset")).select(*scope, "seq", "type"))
+    crowd = crowds(resets, resets=Need(list(scope), is_type("reset")))["resets"]
+    if not crowd.changes:
         return _scoped(raw.withColumn("epoch", F.lit(0).cast("bigint")), scope)
-    blocks = raw.withColumn("_block", F.shiftright("seq", BLOCK_BITS) + 1)
-    is_reset = F.when(F.col("type") == "reset", 1).otherwise(0).cast("bigint")
-    return _scoped(Ordered(list(scope), ["seq"], "_block").apply(blocks, epoch=running_sum(is_reset)).drop("_block"), scope)
+    numbered = chained(resets, crowd.slicing(resets), lambda rows, s: _numbered(rows, list(scope), s), derived=False)
+    found = lookup(raw, numbered, ["epoch"], crowd)
+    return _scoped(found.withColumn("epoch", F.coalesce("epoch", F.lit(0).cast("bigint"))), scope)
+
+
+def _numbered(resets: DataFrame, keys: list[str], slice_col: str | None) -> DataFrame:
+    rows = resets.withColumn("begin", moment())
+    return Ordered(keys, ["seq"], slice_col).apply(rows, epoch=running_sum(F.lit(1).cast("bigint")), end=lead(F.col("begin")))
 
 
 def _scoped(rows: DataFrame, scope: tuple[str, ...]) -> DataFrame:
     return rows.withColumn("epoch", F.struct(*scope, F.col("epoch").alias("number"))) if scope else rows
 
 
-def attribute(raw: DataFrame, cut: Slicing | None = None) -> DataFrame:
+def with_running(raw: DataFrame, running: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Raw events with the processes that still ran after a loss of events, as execs at the moment of the loss.
+
+    ``running`` (``scope``, seq, tgid, comm, buildid) is what was found running when the reset marker ``seq`` was set. It
+    is the state that the marker's epoch starts with; without it, events stay unattributed until the next exec. In a
+    stream the same rows may simply follow the marker.
+    """
+    seeds = running.select(*scope, "seq", F.lit("process_exec").alias("type"), "tgid", F.col("tgid").alias("pid"), "comm", "buildid")
+    return raw.unionByName(seeds, allowMissingColumns=True)
+
+
+def exec_need() -> Need:
+    return Need(PROCESS, is_type("process_exec"))
+
+
+def attribute(raw: DataFrame, changes: DataFrame | None = None, crowd: Crowds | None = None) -> DataFrame:
     """Add ``command`` and ``exe_buildid``; both null when no exec of the process was seen.
 
-    The latest exec counts; one that keeps the command keeps the earlier build id, too. An exit forgets nothing.
+    The latest exec counts; one that keeps the command keeps the earlier build id, too. An exit forgets nothing. Rows
+    look up the interval between two execs of their process. ``changes`` is a written table that holds the execs, and
+    ``crowd`` what ``crowds`` found in it for ``exec_need``.
     """
-    return chained(raw, cut or slicing(raw, ["tgid"], "seq"), _attribute)
+    if changes is None:
+        changes = materialized(raw.where(is_type("process_exec")).select(*PROCESS, "seq", "type", "comm", "buildid"))
+    crowd = crowd or crowds(changes, execs=exec_need())["execs"]
+    execs = changes.where(is_type("process_exec")).select(*PROCESS, "seq", "comm", "buildid")
+    known = chained(execs, crowd.slicing(execs), _commands, derived=False).where("_info is not null")
+    known = known.select(*PROCESS, "begin", "end", F.col("_info.comm").alias("command"), F.col("_info.buildid").alias("exe_buildid"))
+    return lookup(raw, known, ["command", "exe_buildid"], crowd)
 
 
-def _attribute(rows: DataFrame, slice_col: str | None) -> DataFrame:
-    scan = Ordered(["epoch", "tgid"], ["seq"], slice_col)
-    rows = rows.withColumn("_comm", F.when(F.col("type") == "process_exec", c_string("comm")))
-    rows = scan.apply(rows, _current=last(F.col("_comm"), before=True))
+def _commands(execs: DataFrame, slice_col: str | None) -> DataFrame:
+    scan = Ordered(PROCESS, ["seq"], slice_col)
+    rows = execs.withColumns({"_comm": c_string("comm"), "begin": moment()})
+    rows = scan.apply(rows, _current=last(F.col("_comm"), before=True), end=lead(F.col("begin")))
     replaces = F.col("_comm").isNotNull() & ~F.coalesce(F.col("_comm") == F.col("_current"), F.lit(False))
     rows = rows.withColumn("_new", F.when(replaces, F.struct(F.col("_comm").alias("comm"), F.col("buildid"))))
-    rows = scan.apply(rows, _info=last(F.col("_new")))
-    return rows.withColumns({"command": F.col("_info.comm"), "exe_buildid": F.col("_info.buildid")}).drop(
-        "_comm", "_current", "_new", "_info"
-    )
+    return scan.apply(rows, _info=last(F.col("_new")))

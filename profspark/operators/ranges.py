@@ -2,30 +2,57 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Ranges and points meet in pages of 2 ** PAGE_BITS values. A range longer than a page is listed once for each page.
-PAGE_BITS = 16
+# Ranges of up to 2 ** LOWEST values share one size of page; no page is larger than 2 ** HIGHEST values.
+LOWEST = 6
+HIGHEST = 63
+
+
+def _level(start: Column, end: Column) -> Column:
+    """Exponent of the smallest page, a power of two, that is not smaller than the range."""
+    length = end.cast("double") - start.cast("double")
+    return F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), F.ceil(F.log2(length)))).cast("int")
+
+
+def _page(value: Column, level: Column) -> Column:
+    return F.call_function("shiftright", value, level)
 
 
 def range_lookup(points: DataFrame, ranges: DataFrame, scope: list[str], point: str, payload: list[str]) -> DataFrame:
     """Each of the distinct ``points`` with the ``payload`` of the range [start, end) of its scope that holds it, nulls
-    where there is none; of ranges that overlap the one that starts last.
+    where there is none; of ranges that overlap the one that starts last, and of those the shortest.
 
-    An equi-join on scope and page, so that no scope, however large, is one group.
+    Pages have several sizes, each twice the next smaller one. A range is listed in the pages of the size next above its
+    own, of which it touches two at most, however wide it is; a point looks into one page of every size in use, of which
+    there are 58 at most, counted from the ranges. So this is an equi-join on scope, size and page, in which no scope,
+    however large, is one group, and whose rows grow neither with the widths of ranges nor with distances between them.
+    Starts, ends and points are signed 64-bit numbers; null ones, and ranges that end before they start, hold nothing.
     """
-    pages = F.sequence(F.shiftright("start", PAGE_BITS), F.shiftright(F.col("end") - 1, PAGE_BITS))
-    listed = ranges.where(F.col("end") > F.col("start")).select(
-        *[F.col(c).alias(f"_s_{c}") for c in scope], F.explode(pages).alias("_p"), F.struct("start", "end", *payload).alias("_range")
+    kept = ranges.where(F.col("end") > F.col("start")).withColumn("_level", _level(F.col("start"), F.col("end")))
+    levels = sorted(r[0] for r in kept.select("_level").distinct().collect())
+    pages = F.array_distinct(F.array(_page(F.col("start"), F.col("_level")), _page(F.col("end") - 1, F.col("_level"))))
+    listed = kept.select(
+        *[F.col(c).alias(f"_s_{c}") for c in scope], "_level", F.explode(pages).alias("_p"), F.struct(*dict.fromkeys(["start", "end", *payload])).alias("_range")
     )
     at = F.col(point)
-    same = [F.col(c) == F.col(f"_s_{c}") for c in scope]
+    probes = points.withColumn("_at_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
     inside = reduce(
         lambda a, b: a & b,
-        [*same, F.shiftright(at, PAGE_BITS) == F.col("_p"), F.col("_range.start") <= at, at < F.col("_range.end")],
+        [
+            *[F.col(c) == F.col(f"_s_{c}") for c in scope],
+            F.col("_at_level") == F.col("_level"),
+            _page(at, F.col("_at_level")) == F.col("_p"),
+            F.col("_range.start") <= at,
+            at < F.col("_range.end"),
+        ],
     )
-    found = points.join(listed, inside, "left").groupBy(*points.columns).agg(F.max_by("_range", "_range.start").alias("_range"))
+    hits = probes.join(listed, inside).select(*points.columns, "_range")
+    none = F.lit(None).cast(hits.schema["_range"].dataType)
+    both = hits.unionByName(points.withColumn("_range", none))
+    nearest = F.struct(F.col("_range.start"), -F.col("_range.end").cast("decimal(20,0)"))
+    found = both.groupBy(*points.columns).agg(F.max_by("_range", F.when(F.col("_range").isNotNull(), nearest)).alias("_range"))
     return found.select(
         *points.columns, F.col("_range").isNotNull().alias("found"), *[F.col(f"_range.{c}").alias(c) for c in payload]
     )

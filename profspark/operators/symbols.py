@@ -1,74 +1,120 @@
-"""Stack ids to call paths of symbols."""
+"""Stack ids to call paths of symbols.
 
-from pyspark.sql import DataFrame
+A process's symbols may come in several tables, one after the other: a column ``since`` of the symbols is the arrival
+order (``seq``) from which a table holds, null from the start on, and it holds until the next one of its process. Rows
+then carry ``version``, the ``since`` of the table that held when they arrived, so that a process id that is used again
+never reads the table of the process before. Kernel symbols have one table. ``run`` names the columns of a host and run,
+which keep equal process and stack ids of several runs apart; symbols and the stack map have them, too.
+"""
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from profspark.operators.hot import hot_keys, materialized, spread_join
+from profspark.operators.intervals import EARLIEST, Need, crowds, lookup
+from profspark.operators.ordered import Ordered, chained, lead
 from profspark.operators.ranges import range_lookup
 from profspark.schema import FRAME, KERNEL_SCOPE
 
+Run = tuple[str, ...]
+
+
+def _since() -> Column:
+    return F.coalesce(F.col("since"), F.lit(EARLIEST).cast("bigint"))
+
+
+def with_version(rows: DataFrame, symbols: DataFrame, run: Run = ()) -> DataFrame:
+    """Rows (``run``, seq, tgid, ...) with the ``version`` of their process's symbols; null before the first table."""
+    keys = [*run, "tgid"]
+    tables = symbols.where(F.col("scope") != KERNEL_SCOPE).select(*run, F.col("scope").alias("tgid"), _since().alias("begin")).distinct()
+    tables = materialized(tables)
+    crowd = crowds(tables, order="begin", tables=Need(keys, F.lit(True)))["tables"]
+
+    def until_next(part: DataFrame, slice_col: str | None) -> DataFrame:
+        return Ordered(keys, ["begin"], slice_col).apply(part, end=lead(F.col("begin")))
+
+    held = chained(tables, crowd.slicing(tables, "begin"), until_next, derived=False)
+    return lookup(rows, held.withColumn("version", F.col("begin")), ["version"], crowd)
+
+
+def place(df: DataFrame, run: Run = ()) -> list[str]:
+    """The columns that tell apart where a stack id or an address means something."""
+    return [*run, "scope", *(["version"] if "version" in df.columns else [])]
+
 
-def used_call_paths(rows: DataFrame) -> DataFrame:
-    """Distinct (scope, stack_id) of the rows: user call paths per process, kernel ones in one scope. Ids below 0 mean
-    that no stack was collected."""
-    user = F.struct(F.col("tgid").alias("scope"), F.col("ustack_id").alias("stack_id"))
-    kernel = F.struct(F.lit(KERNEL_SCOPE).cast("bigint").alias("scope"), F.col("kstack_id").alias("stack_id"))
-    both = rows.select(F.explode(F.array(user, kernel)).alias("stack")).select("stack.*")
+def used_call_paths(rows: DataFrame, run: Run = ()) -> DataFrame:
+    """Distinct (run, scope, version, stack_id) of the rows: user call paths per process, kernel ones in one scope. Ids
+    below 0 mean that no stack was collected. Without versioned rows there is no ``version``."""
+    versioned = "version" in rows.columns
+    version = [F.col("version")] if versioned else []
+    start = [F.lit(EARLIEST).cast("bigint").alias("version")] if versioned else []
+    user = F.struct(F.col("tgid").alias("scope"), *version, F.col("ustack_id").alias("stack_id"))
+    kernel = F.struct(F.lit(KERNEL_SCOPE).cast("bigint").alias("scope"), *start, F.col("kstack_id").alias("stack_id"))
+    both = rows.select(*run, F.explode(F.array(user, kernel)).alias("stack")).select(*run, "stack.*")
     return both.where(F.col("stack_id") >= 0).distinct()
 
 
-def stack_addresses(used: DataFrame, stackmap: DataFrame) -> DataFrame:
-    """(scope, stack_id, pos, address) of the non-zero addresses; unknown stack ids vanish."""
-    hot = hot_keys(used, ["stack_id"])
+def stack_addresses(used: DataFrame, stackmap: DataFrame, run: Run = ()) -> DataFrame:
+    """(run, scope, version, stack_id, pos, address) of the non-zero addresses; unknown stack ids vanish."""
+    keys = [*run, "stack_id"]
+    hot = hot_keys(used, keys)
     return (
-        spread_join(used, stackmap, ["stack_id"], "scope", hot, "inner")
-        .select("scope", "stack_id", F.posexplode("frames").alias("pos", "address"))
+        spread_join(used, stackmap, keys, "scope", hot, "inner")
+        .select(*place(used, run), "stack_id", F.posexplode("frames").alias("pos", "address"))
         .where(F.col("address") != 0)
     )
 
 
-def resolve_addresses(addresses: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(scope, address, frame) for the distinct addresses that lie in a symbol (scope, start, end, name)."""
-    wanted = addresses.select("scope", "address").distinct()
-    named = range_lookup(wanted, symbols.withColumn("symbol", F.col("start")), ["scope"], "address", ["name", "symbol"])
+def resolve_addresses(addresses: DataFrame, symbols: DataFrame, run: Run = ()) -> DataFrame:
+    """(run, scope, version, address, frame) for the distinct addresses that lie in a symbol (run, scope, since, start,
+    end, name) of their place."""
+    keys = place(addresses, run)
+    ranges = symbols.withColumn("symbol", F.col("start"))
+    if "version" in keys:
+        ranges = ranges.withColumn("version", F.when(F.col("scope") == KERNEL_SCOPE, F.lit(EARLIEST).cast("bigint")).otherwise(_since()))
+    wanted = addresses.select(*keys, "address").distinct()
+    named = range_lookup(wanted, ranges, keys, "address", ["name", "symbol"])
     frame = F.struct(
         "name", F.col("symbol").alias("address"), (F.col("address") - F.col("symbol")).alias("offset")
     )
-    return named.where("found").select("scope", "address", frame.alias("frame"))
+    return named.where("found").select(*keys, "address", frame.alias("frame"))
 
 
-def resolved_call_paths(rows: DataFrame, stackmap: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(scope, stack_id, stack) of the call paths the rows use; frames without a symbol are left out, order is kept.
+def resolved_call_paths(rows: DataFrame, stackmap: DataFrame, symbols: DataFrame, run: Run = ()) -> DataFrame:
+    """(run, scope, version, stack_id, stack) of the call paths the rows use; frames without a symbol are left out,
+    order is kept.
 
     Works on distinct call paths and distinct addresses, so its size follows the variety of code, not the number of events.
     """
-    used = materialized(used_call_paths(rows))
-    addresses = materialized(stack_addresses(used, stackmap))
-    hot = hot_keys(addresses, ["scope", "address"])
-    resolved = resolve_addresses(addresses, symbols)
-    frames = spread_join(addresses, resolved, ["scope", "address"], "stack_id", hot, "inner")
-    return frames.groupBy("scope", "stack_id").agg(
+    used = materialized(used_call_paths(rows, run))
+    addresses = materialized(stack_addresses(used, stackmap, run))
+    keys = [*place(used, run), "address"]
+    hot = hot_keys(addresses, keys)
+    resolved = resolve_addresses(addresses, symbols, run)
+    frames = spread_join(addresses, resolved, keys, "stack_id", hot, "inner")
+    return frames.groupBy(*place(used, run), "stack_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "frame"))), lambda f: f["frame"]).alias("stack")
     )
 
 
-def with_call_paths(rows: DataFrame, paths: DataFrame, raw: DataFrame) -> DataFrame:
+def with_call_paths(rows: DataFrame, paths: DataFrame, raw: DataFrame, run: Run = ()) -> DataFrame:
     """Replace ``ustack_id`` and ``kstack_id`` by the ``resolved_call_paths``; an empty one where nothing was resolved.
 
     Call paths that very many events share are looked for in ``raw``, the cheap input the rows come from.
     """
     none = F.array().cast(f"array<{FRAME.simpleString()}>")
+    version = ["version"] if "version" in paths.columns else []
     user = paths.where(F.col("scope") != KERNEL_SCOPE).select(
-        F.col("scope").alias("tgid"), F.col("stack_id").alias("ustack_id"), F.col("stack").alias("ustack")
+        *run, F.col("scope").alias("tgid"), *version, F.col("stack_id").alias("ustack_id"), F.col("stack").alias("ustack")
     )
     kernel = paths.where(F.col("scope") == KERNEL_SCOPE).select(
-        F.col("stack_id").alias("kstack_id"), F.col("stack").alias("kstack")
+        *run, F.col("stack_id").alias("kstack_id"), F.col("stack").alias("kstack")
     )
-    for keys, side in ((["tgid", "ustack_id"], user), (["kstack_id"], kernel)):
+    for keys, side in (([*run, "tgid", *version, "ustack_id"], user), ([*run, "kstack_id"], kernel)):
         # Events without a stack carry -1, which may be the largest key of all; it is counted like the others.
-        ids = raw.select("tgid", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("ustack_id", "kstack_id")])
+        ids = raw.select(*run, "tgid", *version, *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("ustack_id", "kstack_id")])
         hot = hot_keys(ids, keys)
         rows = spread_join(rows, side, keys, "seq", hot)
     return rows.withColumns({"ustack": F.coalesce("ustack", none), "kstack": F.coalesce("kstack", none)}).drop(
-        "ustack_id", "kstack_id"
+        "ustack_id", "kstack_id", *version
     )

@@ -1,10 +1,15 @@
-"""Analyses that end in one row per call path: (stack, count, value)."""
+"""Analyses that end in one row per call path: (stack, count, value).
+
+With ``paths``, the dictionary of ``intern_paths``, the events hold keys instead of call paths; keys are what is grouped and
+shuffled, and the result gets its paths at the end.
+"""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from profspark.functions.frames import combined_stack, is_empty
 from profspark.operators.ordered import lag, lead, ordered
+from profspark.plans.paths import STACKS, no_path, with_path
 
 
 def selected(events: DataFrame, kinds: list[str], buildid: str | None = None, command: str | None = None) -> DataFrame:
@@ -17,6 +22,18 @@ def selected(events: DataFrame, kinds: list[str], buildid: str | None = None, co
     return rows
 
 
+def _stack(paths: DataFrame | None, stack: str = "ustack") -> str:
+    return stack if paths is None else STACKS[stack]
+
+
+def _named(found: DataFrame, paths: DataFrame | None) -> DataFrame:
+    return found if paths is None else with_path(found, paths, "ustack")
+
+
+def _empty(paths: DataFrame | None, stack: str) -> Column:
+    return is_empty(stack) if paths is None else no_path(STACKS[stack])
+
+
 def _count() -> Column:
     return F.count(F.lit(1)).alias("count")
 
@@ -28,9 +45,11 @@ def value_by_stack(
     name: str,
     buildid: str | None = None,
     command: str | None = None,
+    paths: DataFrame | None = None,
 ) -> DataFrame:
     """Events and the sum of one column by user call path. Partial aggregation on the map side absorbs hot ones."""
-    return selected(events, kinds, buildid, command).groupBy("ustack").agg(_count(), F.sum(value).alias(name))
+    found = selected(events, kinds, buildid, command).groupBy(_stack(paths)).agg(_count(), F.sum(value).alias(name))
+    return _named(found, paths)
 
 
 def cpu_time(events: DataFrame, **who) -> DataFrame:
@@ -67,16 +86,25 @@ def off_cpu(
     command: str | None = None,
     dedup: bool = True,
     scope: tuple[str, ...] = (),
+    paths: DataFrame | None = None,
 ) -> DataFrame:
     """Time from a thread's leaving the CPU to its next start, by combined stack.
 
     Only rows with some stack take part, also as the next start. A thread's last row counts but adds no time.
     ``scope``: the columns that tell hosts and runs apart, whose thread ids may be the same.
     """
-    rows = selected(events, ["switch"], buildid, command).where(~is_empty("ustack") | ~is_empty("kstack"))
-    rows = rows.select(*scope, "pid", "timestamp", (F.col("timestamp") - F.col("duration")).alias("start"), combined_stack(dedup).alias("stack"))
+    both = [_stack(paths, "ustack"), _stack(paths, "kstack")]
+    rows = selected(events, ["switch"], buildid, command).where(~_empty(paths, "ustack") | ~_empty(paths, "kstack"))
+    what = [combined_stack(dedup).alias("stack")] if paths is None else both
+    rows = rows.select(*scope, "pid", "timestamp", (F.col("timestamp") - F.col("duration")).alias("start"), *what)
     gaps = ordered(rows, [*scope, "pid"], ["start", "timestamp"], next_start=lead(F.col("start")))
-    return gaps.groupBy("stack").agg(_count(), F.sum(F.col("next_start") - F.col("timestamp")).alias("offcpu_ns"))
+    off = F.sum(F.col("next_start") - F.col("timestamp")).alias("offcpu_ns")
+    if paths is None:
+        return gaps.groupBy("stack").agg(_count(), off)
+    # Different pairs of paths may combine to one.
+    pairs = gaps.groupBy(*both).agg(_count(), off)
+    named = with_path(with_path(pairs, paths, "ustack"), paths, "kstack").withColumn("stack", combined_stack(dedup))
+    return named.groupBy("stack").agg(F.sum("count").alias("count"), F.sum("offcpu_ns").alias("offcpu_ns"))
 
 
 def rss_growth(
@@ -85,6 +113,7 @@ def rss_growth(
     command: str | None = None,
     skip_empty: bool | None = None,
     scope: tuple[str, ...] = (),
+    paths: DataFrame | None = None,
 ) -> DataFrame:
     """Growth of the resident set by the stack that caused it, largest first.
 
@@ -94,15 +123,12 @@ def rss_growth(
         skip_empty = command is not None
     rows = selected(events, ["rss"], buildid, command)
     if skip_empty:
-        rows = rows.where(~is_empty("ustack"))
-    rows = rows.select(*scope, "tgid", "timestamp", "pid", "amount", "ustack")
+        rows = rows.where(~_empty(paths, "ustack"))
+    rows = rows.select(*scope, "tgid", "timestamp", "pid", "amount", _stack(paths))
     steps = ordered(rows, [*scope, "tgid"], ["timestamp", "pid"], prev_amount=lag(F.col("amount")))
-    return (
-        steps.where(F.col("amount") > F.col("prev_amount"))
-        .groupBy("ustack")
-        .agg(_count(), F.sum(F.col("amount") - F.col("prev_amount")).alias("total_rss"))
-        .orderBy(F.desc("total_rss"))
-    )
+    grown = steps.where(F.col("amount") > F.col("prev_amount")).groupBy(_stack(paths))
+    found = grown.agg(_count(), F.sum(F.col("amount") - F.col("prev_amount")).alias("total_rss"))
+    return _named(found, paths).orderBy(F.desc("total_rss"))
 
 
 def span_successors(events: DataFrame, columns: list[Column], span_keys: list[str]) -> DataFrame:
@@ -116,7 +142,7 @@ def span_successors(events: DataFrame, columns: list[Column], span_keys: list[st
 
 
 def span_wait(
-    events: DataFrame, clamp_negative: bool = False, span_keys: tuple[str, ...] = ("span_id",)
+    events: DataFrame, clamp_negative: bool = False, span_keys: tuple[str, ...] = ("span_id",), paths: DataFrame | None = None
 ) -> DataFrame:
     """Time a span stays parked after an exit, by the stack it was parked at.
 
@@ -124,9 +150,10 @@ def span_wait(
     start is the span's first entry, which makes the last wait before a close negative unless ``clamp_negative``.
     Span ids are unique per process only; pass ``("tgid", "span_id")`` to keep processes apart.
     """
-    rows = span_successors(events, [F.col("ustack").alias("stack")], list(span_keys))
+    rows = span_successors(events, [F.col(_stack(paths))], list(span_keys))
     end = events.agg(F.max("timestamp")).scalar()
     wait = F.coalesce("next_start", end) - F.col("timestamp")
     if clamp_negative:
         wait = F.greatest(wait, F.lit(0))
-    return rows.where(F.col("kind") == "trace_exit").groupBy("stack").agg(_count(), F.sum(wait).alias("wait_ns"))
+    found = rows.where(F.col("kind") == "trace_exit").groupBy(_stack(paths)).agg(_count(), F.sum(wait).alias("wait_ns"))
+    return _named(found, paths).withColumnRenamed("ustack", "stack")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 # Field numbers of the public profile message format.
 SAMPLE_TYPE, SAMPLE, LOCATION, FUNCTION, STRINGS, DURATION = 1, 2, 4, 5, 6, 10
 VARINT, BYTES = 0, 2
+# The last of a message's sections: header, samples, locations, functions, strings.
+STRINGS_SECTION = 5
 
 
 def varint(value: int) -> bytes:
@@ -105,5 +107,5 @@ def profile_chunks(profile, rows_per_chunk: int = 5000) -> DataFrame:
         .unionByName(encoded(2, profile.samples, _sample(), any_order))
         .unionByName(encoded(3, profile.locations, _location(), any_order))
         .unionByName(encoded(4, profile.functions, _function(), any_order))
-        .unionByName(encoded(5, profile.strings, _block(STRINGS, F.hex(F.encode("value", "utf-8"))), F.col("string_id")))
+        .unionByName(encoded(STRINGS_SECTION, profile.strings, _block(STRINGS, F.hex(F.encode("value", "utf-8"))), F.col("string_id")))
     )

@@ -86,6 +86,7 @@ def raw(spark: SparkSession, sf_dir: str, read: Read = table) -> DataFrame:
     k, c, s = F.col("o_orderkey"), F.col("o_custkey"), F.col("step")
     steps = (
         read(spark, sf_dir, "orders")
+        .repartition(spark.sparkContext.defaultParallelism)  # one small file, of which each row becomes many
         .select("o_orderkey", "o_custkey", "o_totalprice", F.explode(F.sequence(F.lit(0), F.lit(12))).alias("step"))
         .where(~((s == 0) & (k % 17 == 0)))
         .where(~((s == 4) & (k % 11 == 0)))
@@ -128,6 +129,20 @@ def raw(spark: SparkSession, sf_dir: str, read: Read = table) -> DataFrame:
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RAW_SCHEMA])
 
 
+def running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other process, found running at each reset marker of the raw events."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(62), F.lit(2)).cast("array<bigint>")).alias("tgid")
+    found = raw(spark, sf_dir).where("type = 'reset'").select("seq", every)
+    name = F.concat(F.lit("run"), (F.col("tgid") % 6).cast("string"))
+    return found.select("seq", "tgid", name.alias("comm"), F.unhex(F.lpad((F.col("tgid") % 10).cast("string"), 2, "0")).alias("buildid"))
+
+
+def raw_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw events with execs and exits of group leaders, which are the ones that count."""
+    leader = F.when(F.col("type").isin("process_exec", "process_exit"), F.col("tgid")).otherwise(F.col("pid"))
+    return raw(spark, sf_dir).withColumn("pid", leader)
+
+
 def stackmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stack per customer, with zeros at the end; some ids are missing."""
     c = F.col("c_custkey")
@@ -152,6 +167,36 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def symbol_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols from the start on; every third process has a second table later, with half of them by other names."""
+    first = symbols(spark, sf_dir)
+    later = first.where("scope > 0 and scope % 3 = 0 and start div 4096 % 2 = 0").withColumn("name", F.concat(F.lit("new_"), "name"))
+    return first.withColumn("since", F.lit(None).cast("bigint")).unionByName(later.withColumn("since", F.col("scope") * 5000))
+
+
+def wide_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of three groups: vast ones, nested and around zero; small ones, overlapping; negative ones; all numbers."""
+    s = F.col("s_suppkey")
+    parts = [
+        (0, -s * 1125899906842624, s * 4611686018427387),
+        (1_000_000, s * 640 - 3200, s * 640 + 3200),
+        (2_000_000, -s * 65536 - 7, -s * 65536 + 60000),
+    ]
+    rows = F.array(*[F.struct((s + i).alias("id"), a.cast("bigint").alias("start"), b.cast("bigint").alias("end")) for i, a, b in parts])
+    own = table(spark, sf_dir, "supplier").select((s % 3).alias("grp"), F.explode(rows).alias("r")).select("grp", "r.*")
+    every = spark.range(1).select(
+        F.lit(0).cast("bigint").alias("grp"), F.lit(3_000_000).cast("bigint").alias("id"),
+        F.lit(-(1 << 63)).cast("bigint").alias("start"), F.lit((1 << 63) - 1).cast("bigint").alias("end"),
+    )
+    return own.unionByName(every)
+
+
+def wide_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("p_partkey")
+    at = F.array(p * 64, -p * 4096, p * 1099511627776, -p * 1099511627776)
+    return table(spark, sf_dir, "part").select((p % 3).alias("grp"), F.explode(at).alias("addr")).distinct()
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One source line range per part, some with inlined calls."""
     p = F.col("p_partkey")

@@ -200,3 +200,80 @@ def test_trace_contract(spark):
 def test_missing_columns_count_as_zero(spark):
     row = trace([timeline(spark, "a").drop("stack")]).events.first()
     assert (row.ts, row.dur, row.tid, row.sf, row.cat) == (0, 0, 0, None, "command=n0")
+
+
+def joined(path):
+    return b"".join((path / n).read_bytes() for n in (path / "manifest").read_text().split())
+
+
+def test_one_trace_document(spark, tmp_path):
+    """Files joined in the order of their names are one JSON document, whatever the number of tasks."""
+    events = derived.events(spark, SF)
+    built = trace([tracks.switch_slices(events, sort=False), tracks.rss_track(events, sort=False)])
+    names = sinks.write_trace_document(built, f"{tmp_path}/t")
+    assert names == sorted(names) and len(names) > 4
+    document = json.loads(joined(tmp_path / "t"))
+    assert set(document) == {"displayTimeUnit", "traceEvents", "stackFrames"} and document["displayTimeUnit"] == "ns"
+    want = sorted(json.dumps(json.loads(r.value), sort_keys=True) for r in built.json_rows().collect())
+    assert sorted(json.dumps(e, sort_keys=True) for e in document["traceEvents"]) == want
+    frames = {r.id: {k: v for k, v in (("parent", r.parent), ("name", r.name)) if v is not None} for r in built.frames.collect()}
+    assert document["stackFrames"] == frames and frames
+    used = {e[k] for e in document["traceEvents"] for k in ("sf", "esf") if k in e}
+    assert used <= set(frames) and all(f["parent"] in frames for f in frames.values() if "parent" in f)
+    with pytest.raises(FileExistsError):
+        sinks.write_trace_document(built, f"{tmp_path}/t")
+    empty = trace([tracks.rss_track(events.where("kind = 'none'"), sort=False)])
+    sinks.write_trace_document(empty, f"{tmp_path}/e")
+    assert json.loads(joined(tmp_path / "e")) == {"displayTimeUnit": "ns", "traceEvents": None, "stackFrames": {}}
+
+
+def fields(data):
+    """(field, value) of a message; bytes of length-delimited fields."""
+
+    def number(at):
+        value = shift = 0
+        while True:
+            value |= (data[at] & 127) << shift
+            shift += 7
+            at += 1
+            if data[at - 1] < 128:
+                return value, at
+
+    at = 0
+    while at < len(data):
+        tag, at = number(at)
+        value, at = number(at)
+        if tag & 7 == 2:
+            value, at = data[at : at + value], at + value
+        else:
+            assert tag & 7 == 0
+        yield tag >> 3, value
+
+
+def test_one_profile_message(spark, tmp_path):
+    built = profile(by_stack.cpu_time(derived.events(spark, SF), buildid="01"))
+    sinks.write_profile_message(built, f"{tmp_path}/p", rows_per_chunk=7)
+    found = list(fields(joined(tmp_path / "p")))
+    strings = [v.decode() for f, v in found if f == 6]
+    assert strings == [r.value for r in built.strings.orderBy("string_id").collect()]
+    assert sum(f == 2 for f, _ in found) == built.samples.count() and sum(f == 4 for f, _ in found) == built.locations.count()
+    assert sum(f == 5 for f, _ in found) == built.functions.count() and sum(f == 1 for f, _ in found) == 2
+    assert {f for f, _ in found} == {1, 2, 4, 5, 6, 10, 2056} and all(not v for f, v in found if f == 2056)
+    assert dict(found)[10] == built.header.first().duration_nanos
+
+
+def test_deep_and_odd_frame_names(spark):
+    """127 frames, one step each; names that look like ids or hold separators give nodes of their own."""
+    deep = [(f"f{i}", i, 0) for i in range(127)]
+    rows = [(deep,), ([("a\u0001b", 1, 0)],), ([("a", 1, 0), ("b", 2, 0)],), ([(None, 1, 0), ("a", 3, 0)],), ([],), (None,)]
+    stacks = spark.createDataFrame(rows, f"stack {STACK}")
+    events = stacks.selectExpr("'complete' as event", "'x' as name", "1 as pid", "stack")
+    built = trace([events])
+    frames = {r.id: r for r in built.frames.collect()}
+    assert len(frames) == 127 + 1 + 2 and sum(f.parent is None for f in frames.values()) == 3
+    leaf = {r.sf for r in built.events.collect()}
+    assert len(leaf) == 5 and None in leaf and leaf - {None} <= set(frames)
+    at, seen = next(f for f in frames.values() if f.name == "f126"), 0
+    while at is not None:
+        at, seen = frames.get(at.parent), seen + 1
+    assert seen == 127

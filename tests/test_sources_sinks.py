@@ -150,3 +150,38 @@ def test_derived_times_do_not_depend_on_the_session_zone(spark):
         assert derived.events(spark, SF).agg(F.min("timestamp"), F.max("timestamp")).first() == want
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_numbers_are_taken_once(spark, tmp_path):
+    """Many writers at once never get one number, though none has written anything yet."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda _: sinks.next_export_path(spark, str(tmp_path), "trace"), range(24)))
+    assert len(set(got)) == 24
+
+
+def test_interned_paths(spark):
+    """Keys and numbers are all that is shuffled for the aggregate; null, empty and odd paths keep apart."""
+    from profspark.plans.paths import intern_paths, merge_paths, no_path
+
+    events = derived.events(spark, SF)
+    keyed, paths = intern_paths(events)
+    keyed.write.parquet(base := f"{sinks_dir(spark)}/events")
+    keyed, paths = spark.read.parquet(base), paths.persist()
+    assert paths.count() == events.select("ustack").union(events.select("kstack")).distinct().count() == merge_paths(paths, paths).count()
+    plan = by_stack.cpu_time(keyed, paths=paths, buildid="01")._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("partial_count") :]
+    assert "stack#" not in below.split("InMemory")[0] and "ReadSchema" in below
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [None]), (4, [(None, 5, None)]), (5, [(None, None, 5)]), (6, [("a", 1, 2)]), (7, [("a", 1, 2)])], "id int, ustack array<struct<name:string,address:long,offset:long>>").withColumn("kstack", F.col("ustack"))
+    keyed, paths = intern_paths(odd)
+    assert paths.count() == 6 and {r.id for r in keyed.where(no_path("ustack_key")).collect()} == {1, 2}
+    assert keyed.join(paths.withColumnRenamed("key", "ustack_key"), "ustack_key").count() == 7
+
+
+def sinks_dir(spark):
+    import uuid
+
+    from profspark.operators.hot import shared_dir
+
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
