@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from profspark.llm.sampling import SCALE, below
+from profspark.llm.sampling import SCALE, bound
 from profspark.llm.scratch import narrowed, packed, row_and, unpacked
 from profspark.llm.words import LETTERS, PIECE, U64, _powers, encoded, mix, words
 
 BUCKETS = 1 << 18
-#: The model is fitted on at most so many documents of each language, the first in the order of a hash of their texts.
+#: The model is fitted on at most so many different texts of each language, the first in the order of their hashes.
 DOCS_PER_LANGUAGE = 400
-LANGUAGES = 64
-#: Passages are so many words long, and so many are drawn from a document, spread over all of it.
+#: Passages are so many words long, and so many are drawn from a document, spread over all of it. A document of fewer
+#: words gives one, in which its words are repeated.
 PASSAGE, PASSAGES = 12, 10
 BLOCK = 64
 AFFIXES = 4
@@ -183,20 +183,33 @@ class Crf:
         return prob / prob.sum(axis=1, keepdims=True)
 
 
-def _passages(text: str, label: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Passages spread over the whole text."""
-    out = []
-    for n, rows, tri, count in features(encoded(text.lower())):
-        end = np.cumsum(count)
-        for at in np.unique(np.linspace(0, max(0, n - PASSAGE), PASSAGES).astype(int)):
-            if n - at >= PASSAGE:
-                own = slice(at, at + PASSAGE)
-                out.append((rows[:, own], tri[end[at] - count[at] : end[at + PASSAGE - 1]], count[own], np.full(PASSAGE, label)))
+def _cut(text: str) -> list[bytes]:
+    """Passages spread over the whole text, in lower case; each is shorter than a piece."""
+    data, out, every = encoded(text.lower()), [], 1
+    _, starts, ends = words(data, LETTERS)
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE - 8, "right")))
+        if ends[at] - starts[at] <= PIECE - 8:
+            s, e = starts[at:stop], ends[at:stop]
+            if len(s) >= PASSAGE:
+                places = np.unique(np.linspace(0, len(s) - PASSAGE, PASSAGES).astype(int))
+                out += [data[s[k] : e[k + PASSAGE - 1]] for k in places.tolist()][::every]
+            elif len(starts) < PASSAGE and at == 0:
+                own = [data[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)]
+                out.append(b" ".join((own * PASSAGE)[:PASSAGE]))
+        at = stop
         if len(out) > 4 * PASSAGES:
-            out = out[::2]
+            out, every = out[::2], 2 * every
     return out
 
 
+def _passage(data: bytes, label: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    parts = list(features(data))
+    rows, tri, count = (np.concatenate([p[i] for p in parts], axis=-1) for i in (1, 2, 3))
+    return rows, tri, count, np.full(rows.shape[1], label)
+
+
 def _joined(pieces: list, rng: np.random.Generator) -> list:
     """Each passage beside two others, drawn at random and so mostly of other languages."""
     others = [pieces[i] for i in rng.integers(0, len(pieces), 2 * len(pieces))]
@@ -204,21 +217,35 @@ def _joined(pieces: list, rng: np.random.Generator) -> list:
 
 
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> Crf:
-    """Fits a model on at most `docs_per_language` documents of each of at most LANGUAGES languages (the most frequent).
+    """Fits a model of every language on at most `docs_per_language` different texts of each.
 
-    Rows without text or language are passed over. Each document's words all count as words of its language.
+    Rows without text or language are passed over. Each document's words all count as words of its language. Executors
+    cut the passages to learn from; the driver gets nothing else of the texts, about 6 MB for each language at most, and
+    the model has 2 MB of weights for each.
     """
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct("hash").alias("texts")).orderBy(F.desc("rows"), "lang").collect()
     langs = [r.lang for r in counts]
-    # A language's few rows with low hashes are all that is moved.
-    low = F.lit(False)
-    for r in counts:
-        low = F.when(F.col("lang") == r.lang, below(F.xxhash64("text"), docs_per_language, r["count"])).otherwise(low)
-    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("text"), F.lit(SCALE)), "text")
-    some = rows.where(low).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_per_language)
-    pieces = [p for r in some.select("text", "lang").sort("lang", "rank").toLocalIterator() for p in _passages(r.text, langs.index(r.lang))]
     model = Crf(langs)
+    if not langs:
+        return model
+    # A language's few texts with low hashes are all that is moved, each once.
+    low = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, bound(docs_per_language, r.texts))])
+    some = rows.where(F.pmod("hash", F.lit(SCALE)) < F.element_at(low, F.col("lang")))
+    some = some.groupBy("lang", "hash").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(SCALE)), "hash")
+    some = some.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= docs_per_language)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(lang, rank, at, passage) for lang, rank, text in zip(*(batch[c].to_pylist() for c in ("lang", "rank", "text")), strict=True) for at, passage in enumerate(_cut(text))]
+            columns = list(zip(*found, strict=True)) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["lang", "rank", "at", "passage"])
+
+    passages = some.mapInArrow(cut, "lang string, rank int, at int, passage binary").sort("lang", "rank", "at")
+    number = {lang: k for k, lang in enumerate(langs)}
+    pieces = [_passage(bytes(r.passage), number[r.lang]) for r in passages.toLocalIterator()]
     if pieces:
         model.fit(_joined(pieces, np.random.default_rng(11)))
     return model

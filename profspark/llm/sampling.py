@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 SCALE = 1 << 40
 
 
+def bound(wanted: int, total: int) -> int:
+    """Of `total` hashes modulo SCALE about twice `wanted` lie below it; all, where they are fewer."""
+    return min(SCALE, -(-(2 * wanted + 100) * SCALE // max(1, total)))
+
+
 def below(hash_: Column, wanted: int, total: int) -> Column:
     """True for about twice `wanted` of `total` rows, those with the lowest hashes; for all rows where they are fewer."""
-    return F.pmod(hash_, F.lit(SCALE)) < F.lit(min(SCALE, -(-(2 * wanted + 100) * SCALE // max(1, total))))
+    return F.pmod(hash_, F.lit(SCALE)) < F.lit(bound(wanted, total))
 
 
 def first_rows(df: DataFrame, id_col: str, wanted: int, total: int) -> DataFrame:

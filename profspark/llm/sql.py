@@ -122,7 +122,6 @@ def _rules_sql() -> str:
 
     sums = lambda c, n: ", ".join(f"coalesce(sum({c}[{i}]), 0)" for i in range(1, n + 1))
     width, most = len(rules.CLASSES) + 1, max(len(v.split()) for v in rules.COMMON.values()) + 1
-    langs = ", ".join(f"'{k}'" for k in rules.COMMON)
     return f"""
 with base as (
     select doc_id, lang, regexp_extract_all({text}, '[^\\x20\\x09-\\x0D]+') as w, length({text}) as n_chars,
@@ -146,7 +145,7 @@ with base as (
 ), histograms as (
     select * exclude (common), list_append(common, n_words - list_sum(common)) as words from counted
 ), by_lang as (
-    select lang, [{sums("chars", width)}] as all_chars, [{sums("words", most)}] as all_words from histograms where lang in ({langs}) group by lang
+    select lang, [{sums("chars", width)}] as all_chars, [{sums("words", most)}] as all_words from histograms where lang is not null group by lang
 ), every as (
     select [{sums("chars", width)}] as every_chars from histograms
 ), compared as (

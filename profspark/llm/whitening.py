@@ -70,19 +70,23 @@ def _summed(rows: DataFrame, d: int, width: int, part: Callable[[np.ndarray], np
 def _covariance(rows: DataFrame, n: int, sums: list[int], spread: int) -> np.ndarray:
     """Of all vectors, divisor n. Entries are centred at the integer next to the mean; the rest is taken out exactly.
 
-    Where entries are more than 2**20 apart, products are rounded to a power of two that keeps their sums in 64 bits.
+    Where sums of products could pass 64 bits, each dimension is counted in a power of two that keeps them below.
     """
-    unit = 1 << max(0, spread.bit_length() - 20)
     d, centre = len(sums), [(2 * s + n) // (2 * n) for s in sums]
-    around = np.array(centre, dtype=np.int64)
+    around, unit = np.array(centre, dtype=np.int64), np.ones(len(sums))
+    if 2 * spread.bit_length() + n.bit_length() > 62:
+        # No sum of squares is larger than the square of the sum.
+        far = _summed(rows, d, d, lambda x: np.abs(x - around).sum(axis=0, dtype=np.int64)[None])[0]
+        unit = np.array([2.0 ** max(0, int(v).bit_length() - 31) for v in far])
 
     def products(x: np.ndarray) -> np.ndarray:
         c = (x - around).astype(np.float64) / unit
         return np.rint(c.T @ c).astype(np.int64)
 
-    total = _summed(rows, d, d, products).astype(object)
+    whole = np.array([int(u) for u in unit], dtype=object)
+    total = _summed(rows, d, d, products).astype(object) * np.outer(whole, whole)
     off = np.array([s - n * c for s, c in zip(sums, centre, strict=True)], dtype=object)
-    return ((n * total * unit**2 - np.outer(off, off)) / (n * n)).astype(np.float64)
+    return ((n * total - np.outer(off, off)) / (n * n)).astype(np.float64)
 
 
 def whitened(df: DataFrame, vector: Column, components: int = 8, keep: list[str] | None = None) -> DataFrame:

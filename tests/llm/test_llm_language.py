@@ -62,3 +62,25 @@ def test_edges(edges, empty, trained):
     assert language.identified(empty, trained).count() == 0
     nothing = language.train(empty)
     assert nothing.labels == [] and {r.lang_pred for r in language.identified(edges, nothing).collect()} == {"und"}
+
+
+def test_every_language_is_learned(spark):
+    """Seventy languages, half of them in texts of three words, one of them in copies of one text mostly."""
+    letter = lambda x: chr(97 + x % 26)
+    word = lambda k, i: letter(k // 26) + letter(k) + "".join(letter(k * 7 + i * (k + 3) + j * (2 * k + 5)) for j in range(4))
+    rows = [(" ".join(word(k, (i + j) % 9) for j in range(3 if k % 2 else 20)), f"l{k:02d}") for k in range(70) for i in range(9)]
+    rows += [(rows[0][0], "l00")] * 300
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"), docs_per_language=9)
+    assert sorted(model.labels) == [f"l{k:02d}" for k in range(70)] and model.labels[0] == "l00"
+    texts = spark.createDataFrame([(" ".join(word(k, i) for i in range(9)), f"l{k:02d}") for k in range(70)], "text string, lang string")
+    got = language.identified(texts, model).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 66
+
+
+def test_passages(spark):
+    assert language._cut("") == [] and language._cut(" 12 34 ") == []
+    assert language._cut("One two.") == [b" ".join([b"one", b"two"] * 6)]
+    long = " ".join(f"w{chr(97 + i % 26)}" for i in range(60_000))
+    cut = language._cut(long)
+    assert 10 <= len(cut) <= 40 and all(len(c.split()) == 12 for c in cut)
+    assert language._cut("x" * 300_000) == []
