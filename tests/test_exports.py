@@ -227,29 +227,6 @@ def test_one_trace_document(spark, tmp_path):
     assert json.loads(joined(tmp_path / "e")) == {"displayTimeUnit": "ns", "traceEvents": None, "stackFrames": {}}
 
 
-def fields(data):
-    """(field, value) of a message; bytes of length-delimited fields."""
-
-    def number(at):
-        value = shift = 0
-        while True:
-            value |= (data[at] & 127) << shift
-            shift += 7
-            at += 1
-            if data[at - 1] < 128:
-                return value, at
-
-    at = 0
-    while at < len(data):
-        tag, at = number(at)
-        value, at = number(at)
-        if tag & 7 == 2:
-            value, at = data[at : at + value], at + value
-        else:
-            assert tag & 7 == 0
-        yield tag >> 3, value
-
-
 def test_one_profile_message(spark, tmp_path):
     built = profile(by_stack.cpu_time(derived.events(spark, SF), buildid="01"))
     sinks.write_profile_message(built, f"{tmp_path}/p", rows_per_chunk=7)
