@@ -49,7 +49,7 @@ class Crowds:
         """Add ``_low``, ``_high`` and ``_bits``, null for keys that are not crowded."""
         crowded = self.frame.drop("_changes")
         crowded = F.broadcast(crowded) if self.count <= BROADCAST_KEYS else crowded.hint("shuffle_hash")
-        return df.withColumn("_h", _hash(self.keys)).join(crowded, "_h", "left").drop("_h")
+        return df.withColumn("_h", key_hash(self.keys)).join(crowded, "_h", "left").drop("_h")
 
     def slicing(self, changes: DataFrame, order: str = "seq") -> Slicing:
         """How windows over the changes cut the keys that have very many."""
@@ -67,14 +67,10 @@ class Need:
     change: Column
 
 
-def _hash(keys: list[str]) -> Column:
-    return key_hash(keys) if keys else F.lit(0).cast("bigint")
-
-
 def crowds(changes: DataFrame, /, order: str = "seq", **needs: Need) -> dict[str, Crowds]:
     """Count the changes of each key of all the lookups, by one narrow job over ``changes``, an input or written table."""
     most = group_rows(changes.sparkSession)
-    marks = [F.when(n.change, F.struct(F.lit(name).alias("_for"), _hash(n.keys).alias("_h"))) for name, n in needs.items()]
+    marks = [F.when(n.change, F.struct(F.lit(name).alias("_for"), key_hash(n.keys).alias("_h"))) for name, n in needs.items()]
     each = changes.select(F.col(order).alias("_at"), F.explode(F.array_compact(F.array(*marks))).alias("m")).select("_at", "m.*")
     one = each.groupBy("_for", "_h").agg(F.count(F.lit(1)).alias("_changes"), F.min("_at").alias("_low"), F.max("_at").alias("_high"))
     crowded, hot = F.col("_changes") > min(CROWD, most), F.when(F.col("_changes") > most, F.col("_changes"))
