@@ -79,6 +79,15 @@ def _track(analysis, **options) -> Query:
     return run
 
 
+def _as_long(totals: DataFrame, column: str) -> DataFrame:
+    """A small table of totals, its column as the 64-bit number the SQL gives wherever all of them fit into one; exact
+    decimals where one does not, where the SQL has no result."""
+    totals = materialized(totals)
+    if totals.where(F.expr(f"try_cast({column} as bigint)").isNull() & F.col(column).isNotNull()).isEmpty():
+        return totals.withColumn(column, F.col(column).cast("bigint"))
+    return totals
+
+
 def _events(transform: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: transform(derived.events(spark, sf_dir))
 
@@ -430,7 +439,7 @@ def queries() -> dict[str, Query]:
         "parked_spans": _track(tracks.parked_spans),
         "io_totals": _events(tracks.io_totals),
         "peak_rss": _events(tracks.peak_rss),
-        "offcpu_by_kernel_fn": _events(lambda e: tracks.off_cpu_in_kernel(e, ["k_1", "k_3"], "cmd1")),
+        "offcpu_by_kernel_fn": _events(lambda e: _as_long(tracks.off_cpu_in_kernel(e, ["k_1", "k_3"], "cmd1"), "offcpu_ns")),
         "time_slice": _events(
             lambda e: source.time_slice(e, slice_start, slice_end).groupBy("kind").agg(F.count(F.lit(1)).alias("count"))
         ),

@@ -7,7 +7,6 @@ from profspark.functions.frames import combined_stack
 from profspark.operators.ordered import lead, ordered
 from profspark.plans.by_stack import selected, span_successors
 
-
 def _micros(column: str) -> Column:
     return F.expr(f"({column}) div 1000")
 
@@ -132,7 +131,8 @@ def off_cpu_in_kernel(
     events: DataFrame, functions: list[str], command: str | None = None, scope: tuple[str, ...] = ()
 ) -> DataFrame:
     """Off-CPU time of threads that wait below given kernel functions; a thread's last row has no successor and is
-    left out. One row per function that occurs."""
+    left out. One row per function that occurs. Times of many threads may add up to more than 64 bits hold, so the
+    sum is a decimal."""
     rows = selected(events, ["switch"], command=command).select(
         *scope,
         "pid",
@@ -145,7 +145,7 @@ def off_cpu_in_kernel(
         gaps.where(F.col("wakeup").isNotNull() & (F.col("wakeup") != 0))
         .select(F.explode("functions").alias("function"), (F.col("wakeup") - F.col("timestamp")).alias("wait"))
         .groupBy("function")
-        .agg(F.count(F.lit(1)).alias("count"), F.sum("wait").alias("offcpu_ns"))
+        .agg(F.count(F.lit(1)).alias("count"), F.sum(F.col("wait").cast("decimal(28,0)")).alias("offcpu_ns"))
     )
 
 

@@ -1,6 +1,8 @@
 """Results that do not depend on how large a table is: what larger inputs than the test tables bring about."""
 
+import __spark_entry__ as entry
 from profspark.operators import process
+from profspark.plans import tracks
 
 
 def test_epochs_of_more_resets_than_a_task_takes(spark, split_hot):
@@ -8,3 +10,14 @@ def test_epochs_of_more_resets_than_a_task_takes(spark, split_hot):
     rows = [(i, "reset" if i % 3 == 0 else "sample") for i in range(300)]
     found = process.with_epoch(spark.createDataFrame(rows, "seq long, type string"))
     assert sorted((r.seq, r.epoch) for r in found.collect()) == [(i, i // 3 + 1) for i, _ in rows]
+
+
+def test_waiting_times_beyond_64_bits(spark):
+    """Threads that wait for a century each."""
+    century = 3_155_760_000 * 1_000_000_000
+    rows = [(1, pid, t, 0, "switch", "c", [("k_1",)]) for pid in range(5) for t in (0, century)]
+    events = spark.createDataFrame(rows, "id long, pid long, timestamp long, duration long, kind string, command string, kstack array<struct<name: string>>")
+    found = tracks.off_cpu_in_kernel(events, ["k_1"], "c")
+    assert [tuple(r) for r in found.collect()] == [("k_1", 5, 5 * century)] and 5 * century > 2**63
+    assert dict(entry._as_long(found, "offcpu_ns").dtypes)["offcpu_ns"] == "decimal(38,0)"
+    assert dict(entry._as_long(found.where("offcpu_ns < 0"), "offcpu_ns").dtypes)["offcpu_ns"] == "bigint"
