@@ -1,8 +1,14 @@
 """Results that do not depend on how large a table is: what larger inputs than the test tables bring about."""
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
-from profspark.operators import process
+from profspark.operators import process, ranges
 from profspark.plans import tracks
+from profspark.sources import derived
 
 
 def test_epochs_of_more_resets_than_a_task_takes(spark, split_hot):
@@ -21,3 +27,37 @@ def test_waiting_times_beyond_64_bits(spark):
     assert [tuple(r) for r in found.collect()] == [("k_1", 5, 5 * century)] and 5 * century > 2**63
     assert dict(entry._as_long(found, "offcpu_ns").dtypes)["offcpu_ns"] == "decimal(38,0)"
     assert dict(entry._as_long(found.where("offcpu_ns < 0"), "offcpu_ns").dtypes)["offcpu_ns"] == "bigint"
+
+
+@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("scope", [["s"], []])
+def test_ranges_cut_into_disjoint_ones_equal_search(spark, monkeypatch, split_hot, seed, scope):
+    monkeypatch.setattr(ranges, "CROWDED", 0)
+    rng = random.Random(seed)
+    edge = lambda: rng.choice([rng.randint(-100, 100), rng.randint(-(1 << 20), 1 << 20), rng.randint(-(1 << 63), (1 << 63) - 1), -(1 << 63), (1 << 63) - 1, 0])
+    of = lambda: rng.choice([1, 2, None]) if scope else 1
+    held = [(of(), *sorted((edge(), edge())), i) for i in range(200)] + [(1, 5, 5, 900), (1, None, 9, 901), (1, 9, 3, 902)]
+    points = list({(of(), rng.choice([edge(), rng.choice(held)[1], rng.choice(held)[2]])) for _ in range(300)})
+    got = ranges.range_lookup(
+        spark.createDataFrame(points, "s long, at long"), spark.createDataFrame(held, "s long, start long, end long, id long"), scope, "at", ["start", "end"]
+    ).collect()
+    for r in got:
+        inside = [(a, -b) for s, a, b, _ in held if s is not None and s == r.s and None not in (a, b, r.at) and a <= r.at < b]
+        a, b = max(inside, default=(None, None))
+        assert (r.found, r.start, r.end) == (bool(inside), a, None if b is None else -b)
+    assert len(got) == len(points)
+
+
+def test_nested_ranges_meet_no_point_each(spark, monkeypatch):
+    """3000 ranges one in another: a point meets a few of the stretches they are cut into."""
+    nested = spark.range(1, 3001).select((-F.col("id")).alias("start"), F.col("id").alias("end"), "id")
+    cut = ranges._disjoint(nested.select("start", "end", F.struct("start", "end", "id").alias("_range")), [])
+    assert cut.count() == 5999 and max(ranges._pages(cut, []).values()) <= ranges.CROWDED
+    found = ranges.range_lookup(spark.range(-3000, 3000).select(F.col("id").alias("at")), nested, [], "at", ["id"])
+    assert found.where("id = greatest(-at, at + 1)").count() == 6000
+
+
+def test_wide_ranges_of_many_suppliers(spark, tmp_path):
+    spark.range(8000).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    found = derived.wide_ranges(spark, str(tmp_path))
+    assert found.count() == 24001 and found.where("id < 1000000").select("start", "end").distinct().count() == 8000
