@@ -9,6 +9,9 @@ import __spark_entry__ as entry
 from profspark.operators import process, ranges
 from profspark.plans import tracks
 from profspark.sources import derived
+from profspark.streaming import fold, steps
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_epochs_of_more_resets_than_a_task_takes(spark, split_hot):
@@ -61,3 +64,21 @@ def test_wide_ranges_of_many_suppliers(spark, tmp_path):
     spark.range(8000).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
     found = derived.wide_ranges(spark, str(tmp_path))
     assert found.count() == 24001 and found.where("id < 1000000").select("start", "end").distinct().count() == 8000
+
+
+def test_a_batch_of_a_stream_caches_no_plan(spark, tmp_path):
+    """What a batch reads more than once is written, and gone when it ends; cached, it keeps its many small partitions."""
+    folded, plans = fold.Fold(steps.collect_step(report=True), str(tmp_path)), []
+    inner = folded.step.run
+
+    def run(state, batch, keep):
+        output, after = inner(state, batch, keep)
+        plans.extend(df._jdf.queryExecution().executedPlan().toString() for df in (output, after))
+        return output, after
+
+    folded.step = fold.Step(run, folded.step.touches, folded.step.key)
+    raw = derived.raw(spark, SF)
+    for i in range(2):
+        folded(raw.where(f"seq div 10000 % 2 = {i}"), i)
+    assert len(plans) == 4 and not any("InMemoryTableScan" in p for p in plans)
+    assert not list((tmp_path / "work").glob("*"))
