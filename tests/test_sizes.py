@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from profspark.operators import process, ranges
+from profspark.operators import intervals, process, ranges
 from profspark.plans import tracks
 from profspark.sources import derived
 from profspark.streaming import fold, steps
@@ -82,3 +82,13 @@ def test_a_batch_of_a_stream_caches_no_plan(spark, tmp_path):
         folded(raw.where(f"seq div 10000 % 2 = {i}"), i)
     assert len(plans) == 4 and not any("InMemoryTableScan" in p for p in plans)
     assert not list((tmp_path / "work").glob("*"))
+
+
+def test_windows_over_many_changes_get_more_tasks(spark, monkeypatch):
+    """So many that none gets more than its share, though Spark would merge them into one per core."""
+    query = entry.queries()["span_parents"]
+    plain = sorted(map(tuple, query(spark, SF).collect()))
+    monkeypatch.setattr(intervals, "TASK_CHANGES", 200)
+    dealt = query(spark, SF)
+    assert sorted(map(tuple, dealt.collect())) == plain
+    assert dealt.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
