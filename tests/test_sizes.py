@@ -92,3 +92,15 @@ def test_windows_over_many_changes_get_more_tasks(spark, monkeypatch):
     dealt = query(spark, SF)
     assert sorted(map(tuple, dealt.collect())) == plain
     assert dealt.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["open_span_label", "rejects"])
+def test_state_from_dealt_windows(spark, monkeypatch, name):
+    """The queries that look up the lists made by such windows: the same rows, from more than a task per core."""
+    query = entry.queries()[name]
+    plain = sorted(map(str, query(spark, SF).collect()))
+    calls, dealt = [], intervals.Crowds.dealt
+    monkeypatch.setattr(intervals, "TASK_CHANGES", 200)
+    monkeypatch.setattr(intervals.Crowds, "dealt", lambda self, rows: calls.append(out := dealt(self, rows)) or out)
+    assert sorted(map(str, query(spark, SF).collect())) == plain
+    assert any("REPARTITION_BY_NUM" in c._jdf.queryExecution().executedPlan().toString() for c in calls)
