@@ -41,6 +41,9 @@ from profspark.llm.words import SPACED, U64, encoded, mix, shingles, words
 TILE = 1024
 #: Signatures that a range of them has on average.
 RANGE = 1 << 20
+#: Signatures, or texts, that a task works on at a time.
+DEALT = 1 << 19
+TEXTS = 256
 WIDEST = 1 << 40
 
 
@@ -137,8 +140,8 @@ def jaccard_components(
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 rows = []
                 for d, t in zip(part["id"].to_pylist(), part["text"].to_pylist(), strict=True):
                     s = _set(t, size)
@@ -197,24 +200,37 @@ def _met(described: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     ranges = max(partitions, -(-total // RANGE))
     speaks = spark.sparkContext.broadcast(Bloom.of(nodes, "key"))
 
-    def of_speakers(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        """The rows that speak for a set, and the signatures of each; a few copies may pass, too."""
-        rows = np.flatnonzero(speaks.value.hits(batch["key"].to_numpy()))
-        lists = batch["sigs"].take(pa.array(rows))
-        return np.repeat(rows, lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+    def of_speakers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """The rows that speak for a set, and the signatures of each, about DEALT at a time, however many a batch has; a
+        few copies may pass, too."""
+        for batch in batches:
+            rows = np.flatnonzero(speaks.value.hits(batch["key"].to_numpy()))
+            lengths = batch["sigs"].value_lengths().to_numpy()[rows]
+            piece = (np.cumsum(lengths, dtype=np.int64) - lengths) // DEALT
+            for part in np.split(np.arange(len(rows)), np.flatnonzero(piece[1:] != piece[:-1]) + 1):
+                if len(part):
+                    yield batch, np.repeat(rows[part], lengths[part]), batch["sigs"].take(pa.array(rows[part])).flatten().to_numpy()
+
+    def by_range(sigs: np.ndarray) -> pa.RecordBatch:
+        third = np.zeros(len(sigs), dtype=bool)
+        third[2:] = sigs[2:] == sigs[:-2]
+        sigs = sigs[~third]
+        own = ((sigs.view(U64) >> U64(32)) * U64(ranges)) >> U64(32)
+        order = np.argsort(own, kind="stable")
+        sigs, own = sigs[order], own[order]
+        edge = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True]))) if len(own) else np.zeros(1, dtype=np.int64)
+        blobs = [sigs[x:y].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(own[edge[:-1]].astype(np.int64)), pa.array(blobs, pa.binary())], names=["range", "sigs"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sigs = np.sort(of_speakers(batch)[1])
-            third = np.zeros(len(sigs), dtype=bool)
-            third[2:] = sigs[2:] == sigs[:-2]
-            sigs = sigs[~third]
-            own = ((sigs.view(U64) >> U64(32)) * U64(ranges)) >> U64(32)
-            order = np.argsort(own, kind="stable")
-            sigs, own = sigs[order], own[order]
-            edge = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True]))) if len(own) else np.zeros(1, dtype=np.int64)
-            blobs = [sigs[x:y].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(own[edge[:-1]].astype(np.int64)), pa.array(blobs, pa.binary())], names=["range", "sigs"])
+        held, size = [], 0
+        for _, _, sigs in of_speakers(batches):
+            held, size = [*held, sigs], size + len(sigs)
+            if size >= DEALT:
+                yield by_range(np.sort(np.concatenate(held)))
+                held, size = [], 0
+        if held:
+            yield by_range(np.sort(np.concatenate(held)))
 
     def twice(table: pa.Table) -> pa.Table:
         sigs = np.sort(np.concatenate([np.frombuffer(v.as_buffer(), dtype=np.int64) for v in table["sigs"]]))
@@ -225,8 +241,7 @@ def _met(described: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     passes = spark.sparkContext.broadcast(Bloom.of(shared, "sig"))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, sigs = of_speakers(batch)
+        for batch, row, sigs in of_speakers(batches):
             may = passes.value.hits(sigs)
             row, sigs = row[may], sigs[may]
             node, key = (batch[c].to_numpy()[row] for c in ("node", "key"))
@@ -324,18 +339,18 @@ def _arrays(docs: DataFrame, pairs: DataFrame, maps: DataFrame, have: DataFrame
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for d, t in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                s = _set(t, size)
-                if len(s):
-                    node = _node(s)
-                    key = row_key(node, d)
-                    if bloom.value.has(key):
-                        rows.append((node, key, len(s), s.tobytes()))
-            for at in range(0, len(rows), 256):
-                columns = zip(*rows[at : at + 256], strict=True)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds)], names=["node", "key", "n", "shingles"])
+            for at in range(0, batch.num_rows, TEXTS):
+                part, rows = batch.slice(at, TEXTS), []
+                for d, t in zip(part["id"].to_pylist(), part["text"].to_pylist(), strict=True):
+                    s = _set(t, size)
+                    if len(s):
+                        node = _node(s)
+                        key = row_key(node, d)
+                        if bloom.value.has(key):
+                            rows.append((node, key, len(s), s.tobytes()))
+                if rows:
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*rows, strict=True), kinds)], names=["node", "key", "n", "shingles"])
 
     found = docs.mapInArrow(read, "node long, key long, n long, shingles binary")
     found = found.join(need, ["node", "key"], "left_semi").dropDuplicates(["node", "key"]).select("node", "n", "shingles")

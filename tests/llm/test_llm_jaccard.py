@@ -3,12 +3,13 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from profspark.llm import jaccard
 from profspark.llm.bloom import Bloom
 from profspark.llm.components import components
-from profspark.llm.scratch import Scratch
+from profspark.llm.scratch import ARROW, ARROW_ROWS, Scratch
 
 
 def shingle_set(text, size=3):
@@ -103,3 +104,26 @@ def test_groups_by_size():
         by[percent] = low[1]
         assert (segments[1:] > spare[1:]).all() and (np.diff(low) > 0).all()
     assert by[90] == 9
+
+
+def test_python_gets_few_rows_at_a_time(spark):
+    """While a table is written; the session's setting stays."""
+    before = spark.conf.get(ARROW)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    found = Scratch(spark).keep(spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long"))
+    assert found.agg({"n": "max"}).first()[0] <= ARROW_ROWS and found.agg({"n": "sum"}).first()[0] == 5000
+    assert spark.conf.get(ARROW) == before
+
+
+def test_signatures_are_dealt_in_pieces(spark, monkeypatch):
+    """Of a batch of texts, and of one text, that have more than a task should hold at once."""
+    rows = family_rows(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(jaccard, "DEALT", 100)
+    monkeypatch.setattr(jaccard, "TEXTS", 7)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    assert got == brute(rows)
