@@ -10,13 +10,15 @@ which keep equal process and stack ids of several runs apart; symbols and the st
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from profspark.operators.hot import hot_keys, materialized, spread_join
+from profspark.operators.hot import hot_keys, materialized, spread_join, too_few
 from profspark.operators.intervals import EARLIEST, Need, crowds, lookup
 from profspark.operators.ordered import Ordered, chained, lead
 from profspark.operators.ranges import range_lookup
 from profspark.schema import FRAME, KERNEL_SCOPE
 
 Run = tuple[str, ...]
+# A task finds the symbols of about so many addresses, and puts them together: sorted with their frames, some KB each.
+TASK_ADDRESSES = 100_000
 
 
 def _since() -> Column:
@@ -65,14 +67,19 @@ def stack_addresses(used: DataFrame, stackmap: DataFrame, run: Run = ()) -> Data
     )
 
 
-def resolve_addresses(addresses: DataFrame, symbols: DataFrame, run: Run = ()) -> DataFrame:
+def _dealt(rows: DataFrame, keys: list[str], tasks: int) -> DataFrame:
+    """By the keys in more partitions, if the session's shuffles have too few."""
+    return rows.repartition(tasks, *keys) if too_few(rows.sparkSession, tasks) else rows
+
+
+def resolve_addresses(addresses: DataFrame, symbols: DataFrame, run: Run = (), tasks: int = 0) -> DataFrame:
     """(run, scope, version, address, frame) for the distinct addresses that lie in a symbol (run, scope, since, start,
-    end, name) of their place."""
+    end, name) of their place. ``tasks``: how many the number of addresses asks for, where it is known."""
     keys = place(addresses, run)
     ranges = symbols.withColumn("symbol", F.col("start"))
     if "version" in keys:
         ranges = ranges.withColumn("version", F.when(F.col("scope") == KERNEL_SCOPE, F.lit(EARLIEST).cast("bigint")).otherwise(_since()))
-    wanted = addresses.select(*keys, "address").distinct()
+    wanted = _dealt(addresses.select(*keys, "address"), [*keys, "address"], tasks).distinct()
     named = range_lookup(wanted, ranges, keys, "address", ["name", "symbol"])
     frame = F.struct(
         "name", F.col("symbol").alias("address"), (F.col("address") - F.col("symbol")).alias("offset")
@@ -90,9 +97,10 @@ def resolved_call_paths(rows: DataFrame, stackmap: DataFrame, symbols: DataFrame
     addresses = materialized(stack_addresses(used, stackmap, run))
     keys = [*place(used, run), "address"]
     hot = hot_keys(addresses, keys)
-    resolved = resolve_addresses(addresses, symbols, run)
+    tasks, own = -(-hot.total // TASK_ADDRESSES), [*place(used, run), "stack_id"]
+    resolved = resolve_addresses(addresses, symbols, run, tasks)
     frames = spread_join(addresses, resolved, keys, "stack_id", hot, "inner")
-    return frames.groupBy(*place(used, run), "stack_id").agg(
+    return _dealt(frames, own, tasks).groupBy(*own).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "frame"))), lambda f: f["frame"]).alias("stack")
     )
 

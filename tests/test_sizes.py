@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from profspark.operators import intervals, process, ranges
+from profspark.operators import hot, intervals, process, ranges, symbols
 from profspark.plans import tracks
 from profspark.sources import derived
 from profspark.streaming import fold, steps
@@ -104,3 +104,36 @@ def test_state_from_dealt_windows(spark, monkeypatch, name):
     monkeypatch.setattr(intervals.Crowds, "dealt", lambda self, rows: calls.append(out := dealt(self, rows)) or out)
     assert sorted(map(str, query(spark, SF).collect())) == plain
     assert any("REPARTITION_BY_NUM" in c._jdf.queryExecution().executedPlan().toString() for c in calls)
+
+
+@pytest.mark.parametrize("name", ["collected_events_runs", "open_span_label"])
+def test_lookups_in_many_changes_get_more_tasks(spark, monkeypatch, name):
+    """Than the session's shuffles have partitions, and both sides of such a lookup are shuffled once."""
+    query = entry.queries()[name]
+    plain = sorted(map(str, query(spark, SF).collect()))
+    monkeypatch.setattr(intervals, "TASK_CHANGES", 100)
+    monkeypatch.setattr(intervals, "BROADCAST_INTERVALS", 100)
+    monkeypatch.setattr(hot, "TASK_ROWS", 500)
+    monkeypatch.setattr(symbols, "TASK_ADDRESSES", 50)
+    dealt = query(spark, SF)
+    assert sorted(map(str, dealt.collect())) == plain
+    plan = dealt._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    lines = [line for line in plan.split("\n") if "hashpartitioning" in line]
+    assert any("hashpartitioning(_k" in line and "REPARTITION_BY_NUM" in line for line in lines)
+    # None of the lookups by several keys is left to the session's number of partitions.
+    assert not any("hashpartitioning(coalesce(epoch" in line or "hashpartitioning(coalesce(_i_epoch" in line for line in lines)
+
+
+def test_joins_with_a_dictionary_get_tasks_by_rows(spark, monkeypatch):
+    rows = spark.range(3000).select((F.col("id") % 50).alias("k"), "id")
+    words = spark.range(40).select(F.col("id").alias("k"), F.col("id").cast("string").alias("word"))
+    expected = sorted((r % 50, r, str(r % 50) if r % 50 < 40 else None) for r in range(3000))
+    for most, hot_rows in ((1_000_000, 1_000_000), (100, 1_000_000), (100, 20)):
+        monkeypatch.setattr(hot, "TASK_ROWS", most)
+        spark.conf.set(hot.GROUP_ROWS, str(hot_rows))
+        try:
+            found = hot.dictionary_join(rows, words.hint("merge"), ["k"], "id")
+            assert sorted(map(tuple, found.collect()), key=lambda r: (r[0], r[1])) == expected
+            assert (found.rdd.getNumPartitions() >= 30) == (most == 100)
+        finally:
+            spark.conf.unset(hot.GROUP_ROWS)
