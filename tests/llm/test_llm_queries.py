@@ -5,12 +5,14 @@ import re
 from functools import partial
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from profspark.llm import sql
 from profspark.llm.queries import ORACLES, QUERIES
+from profspark.llm.scratch import ARROW, ARROW_ROWS
 
 SF = "/root/testdata/sf0.001"
 
@@ -107,6 +109,24 @@ def test_pipeline_keeps_one_of_near_copies(spark, documents, monkeypatch):
     assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["copies"](spark, docs, SF).collect()} == want
 
 
+@pytest.mark.parametrize("name", ["language", "benchmarks", "tokens"])
+def test_stages_hand_python_few_rows_at_a_time(spark, documents, name):
+    """Also while their reader writes the table that they return; the stages after them run in the same executors."""
+    before = spark.conf.get(ARROW)
+    spark.conf.set(ARROW, "10000")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    try:
+        dict(corpus_pipeline.STAGES)[name](spark, documents, SF)
+        found = spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0]
+    finally:
+        spark.conf.set(ARROW, before)
+    assert found <= ARROW_ROWS
+
+
 def test_registered():
     assert set(QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
     assert set(ORACLES) <= set(entry.oracle_sql())
