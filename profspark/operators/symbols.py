@@ -19,6 +19,8 @@ from profspark.schema import FRAME, KERNEL_SCOPE
 Run = tuple[str, ...]
 # A task finds the symbols of about so many addresses, and puts them together: sorted with their frames, some KB each.
 TASK_ADDRESSES = 100_000
+# Call paths of at most so many frames in all, some MB, are broadcast to the events.
+BROADCAST_FRAMES = 200_000
 
 
 def _since() -> Column:
@@ -111,6 +113,8 @@ def with_call_paths(rows: DataFrame, paths: DataFrame, raw: DataFrame, run: Run
     Call paths that very many events share are looked for in ``raw``, the cheap input the rows come from.
     """
     none = F.array().cast(f"array<{FRAME.simpleString()}>")
+    paths = materialized(paths)
+    frames = {r["kernel"]: r["frames"] for r in paths.groupBy((F.col("scope") == KERNEL_SCOPE).alias("kernel")).agg(F.sum(F.size("stack") + 1).alias("frames")).collect()}
     version = ["version"] if "version" in paths.columns else []
     user = paths.where(F.col("scope") != KERNEL_SCOPE).select(
         *run, F.col("scope").alias("tgid"), *version, F.col("stack_id").alias("ustack_id"), F.col("stack").alias("ustack")
@@ -118,7 +122,12 @@ def with_call_paths(rows: DataFrame, paths: DataFrame, raw: DataFrame, run: Run
     kernel = paths.where(F.col("scope") == KERNEL_SCOPE).select(
         *run, F.col("stack_id").alias("kstack_id"), F.col("stack").alias("kstack")
     )
-    for keys, side in (([*run, "tgid", *version, "ustack_id"], user), ([*run, "kstack_id"], kernel)):
+    both = [(frames.get(False, 0), [*run, "tgid", *version, "ustack_id"], user), (frames.get(True, 0), [*run, "kstack_id"], kernel)]
+    # What is broadcast comes last, so that no found call path is shuffled for it.
+    for size, keys, side in sorted(both, key=lambda x: x[0] <= BROADCAST_FRAMES):
+        if size <= BROADCAST_FRAMES:
+            rows = rows.join(F.broadcast(side), keys, "left")
+            continue
         # Events without a stack carry -1, which may be the largest key of all; it is counted like the others.
         ids = raw.select(*run, "tgid", *version, *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("ustack_id", "kstack_id")])
         hot = hot_keys(ids, keys)

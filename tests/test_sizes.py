@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from profspark.operators import hot, intervals, process, ranges, symbols
+from profspark.operators import hot, intervals, process, ranges, spans, symbols
 from profspark.plans import tracks
 from profspark.sources import derived
 from profspark.streaming import fold, steps
@@ -124,6 +124,42 @@ def test_lookups_in_many_changes_get_more_tasks(spark, monkeypatch, name):
     assert not any("hashpartitioning(coalesce(epoch" in line or "hashpartitioning(coalesce(_i_epoch" in line for line in lines)
 
 
+def test_events_are_shuffled_few_times(spark, monkeypatch):
+    """Enters are dealt by span once for the entries alive and for the owners of closes, which share that, and small call
+    paths are broadcast."""
+    monkeypatch.setattr(intervals, "BROADCAST_INTERVALS", 10)
+    found = entry.queries()["collected_events_runs"](spark, SF)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    lines = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    # 25 before.
+    assert "ReusedExchange" in plan and len([line for line in lines if "ReusedExchange" not in line]) <= 16
+
+
+def test_only_rows_behind_an_exec_look_for_their_state(spark, monkeypatch):
+    """The events are those of all rows' state; rows without a known process, here most, are in no shuffle for them."""
+    from profspark.plans import collect
+
+    monkeypatch.setattr(intervals, "BROADCAST_INTERVALS", 10)
+    raw = derived.raw(spark, SF).where("type != 'process_exec' or tgid % 4 = 1")
+    paths, names = derived.stackmap(spark, SF), derived.symbols(spark, SF)
+    looked, lookup = [], spans.lookup
+
+    def seen(rows, intervals, payload, *more, **how):
+        if payload == ["entry", "entered"]:
+            looked.append(rows)
+        return lookup(rows, intervals, payload, *more, **how)
+
+    monkeypatch.setattr(spans, "lookup", seen)
+    events, rejected = collect.collect_events(raw, paths, names)
+    kept, every = (rows.count() for rows in looked)
+    assert kept < every / 4
+    plain = collect.to_events(collect.annotate(raw), collect.Settings())
+    columns = ["timestamp", "duration", "kind", "tgid", "pid", "span_id", "parent_id", "id", "amount", "command", "trace_name"]
+    assert sorted(map(str, events.select(columns).collect())) == sorted(map(str, plain.select(columns).collect()))
+    assert rejected.where("reason = 'missing command'").count() > every / 4
+
+
 def test_joins_with_a_dictionary_get_tasks_by_rows(spark, monkeypatch):
     rows = spark.range(3000).select((F.col("id") % 50).alias("k"), "id")
     words = spark.range(40).select(F.col("id").alias("k"), F.col("id").cast("string").alias("word"))
