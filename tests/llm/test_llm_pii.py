@@ -1,7 +1,9 @@
+import random
 import re
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from profspark.llm import pii
 
@@ -95,3 +97,20 @@ def test_long_secrets_are_replaced_to_their_end(spark):
     assert list(map(len, new)) == [300, 300, 50_000] and len(set(new)) == 3
     assert not any(v[at : at + 20] in n for v, n in zip(values, new, strict=True) for at in range(0, 300 - 20))
     assert all(r.n_entities == 1 for r in got)
+
+
+def test_few_texts_are_searched_for_entities(spark):
+    """The patterns are tried in texts that have a part of a match only, and find there what they find one after another."""
+    plain = "(" + "|".join(f"(?:{p})" for p in pii.PATTERNS.values()) + ")"
+    rng = random.Random(1)
+    names = [n for v in pii.NAMES.values() for n in v.split()]
+    bits = [*"0123456789 .-+()@=:\"aZéЯ_%", "12", "345", "6789", " +49 ", "token", "API-key", "password: ", "DE89", " 3704", "x.com", "abcdefgh", "Novak", "Петров-Ли", "ÉAnna"]
+    mixed = ["".join(rng.choice([rng.choice(bits), rng.choice(names), rng.choice(MENTIONS)[1], " "]) for _ in range(rng.randint(1, 30))) for _ in range(4000)]
+    mixed += [f"{n} Novak" for n in names] + [f"un{n} Novak" for n in names]
+    found = spark.createDataFrame([(t,) for t in mixed], "text string").select(
+        F.coalesce(pii.entities(F.col("text")), F.array().cast("array<string>")).alias("new"), F.regexp_extract_all("text", F.lit(plain), F.lit(1)).alias("old")
+    )
+    assert found.where("new != old").count() == 0 and found.where("size(old) > 1").count() > 500
+    ordinary = "In 2024 about 1,234,567 people read: it is 10.5 per cent (or 12 of 100) more than in May 2023 = a record. " * 20
+    kept = spark.createDataFrame([(ordinary,)], "text string").select(F.col("text").rlike(pii.POSSIBLE).alias("searched"))
+    assert not kept.first().searched
