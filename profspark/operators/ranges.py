@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from profspark.operators.hot import materialized
-from profspark.operators.ordered import lead, ordered
+from profspark.operators.ordered import last, lead, ordered
 
 # Ranges of up to 2 ** LOWEST values share one size of page; no page is larger than 2 ** HIGHEST values.
 LOWEST = 6
 HIGHEST = 63
 # Where a page has more ranges than this, as of ranges one in another, ranges are cut into disjoint ones first.
 CROWDED = 64
+# Spark takes a written table for as small as its compressed file, and these files are a hundredth of their rows. Tables of
+# more rows than this are never broadcast, which the driver would have to hold.
+BROADCAST_RANGES = 100_000
 
 
 def _level(start: Column, end: Column) -> Column:
@@ -32,10 +35,19 @@ def _listed(ranges: DataFrame) -> DataFrame:
     return leveled.withColumn("_p", F.explode(pages))
 
 
-def _pages(ranges: DataFrame, scope: list[str]) -> dict[int, int]:
-    """The sizes in use, with the ranges in the fullest page of each."""
+def _sizes(ranges: DataFrame, scope: list[str]) -> dict[int, tuple[int, int]]:
+    """The sizes in use, with the ranges in the fullest page of each, and in all its pages."""
     full = _listed(ranges).groupBy(*scope, "_level", "_p").agg(F.count(F.lit(1)).alias("n"))
-    return {r[0]: r[1] for r in full.groupBy("_level").agg(F.max("n")).collect()}
+    return {r[0]: (r[1], r[2]) for r in full.groupBy("_level").agg(F.max("n"), F.sum("n")).collect()}
+
+
+def _pages(ranges: DataFrame, scope: list[str]) -> dict[int, int]:
+    return {level: most for level, (most, _) in _sizes(ranges, scope).items()}
+
+
+def _joined_with(side: DataFrame, rows: int) -> DataFrame:
+    """A side of a join that has so many rows."""
+    return side.hint("merge") if rows > BROADCAST_RANGES else side
 
 
 def _first_of(at: Column) -> Column:
@@ -73,9 +85,21 @@ def _disjoint(ranges: DataFrame, scope: list[str]) -> DataFrame:
     levels = sorted(r[0] for r in best.select("_level").distinct().collect())
     probes = stretches.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
     probes = probes.withColumn("_p", _page(F.col("start"), F.col("_level")))
+    best = _joined_with(best, best.count())
     return probes.join(best, [*scope, "_level", "_p"]).groupBy(*scope, "start", "end").agg(_first_of(F.lit(True)))
 
 
+def _as_of(points: DataFrame, stretches: DataFrame, scope: list[str], point: str) -> DataFrame:
+    """``points`` with the ``_range`` of the stretch that holds each, null where none does; no two stretches overlap, so
+    only the last one that starts at or before a point can. One sort of both, a point being one row."""
+    starts = stretches.select(*scope, F.col("start").alias("_at"), F.lit(False).alias("_point"), F.struct("end", "_range").alias("_held"))
+    for c in scope:  # a point without a scope is in no range
+        starts = starts.where(F.col(c).isNotNull())
+    rows = points.withColumns({"_at": F.col(point), "_point": F.lit(True)}).unionByName(starts, allowMissingColumns=True)
+    found = ordered(materialized(rows), scope, ["_at", "_point"], _held=last(F.col("_held"))).where("_point")
+    return found.select(*points.columns, F.when(F.col("_at") < F.col("_held.end"), F.col("_held._range")).alias("_range"))
+
+
 def range_lookup(points: DataFrame, ranges: DataFrame, scope: list[str], point: str, payload: list[str]) -> DataFrame:
     """Each of the distinct ``points`` with the ``payload`` of the range [start, end) of its scope that holds it, nulls
     where there is none; of ranges that overlap the one that starts last, and of those the shortest.
@@ -84,21 +108,30 @@ def range_lookup(points: DataFrame, ranges: DataFrame, scope: list[str], point:
     own, of which it touches two at most, however wide it is; a point looks into one page of every size in use, of which
     there are 58 at most, counted from the ranges. So this is an equi-join on scope, size and page, in which no scope,
     however large, is one group, and whose rows grow neither with the widths of ranges nor with distances between them,
-    nor with how many overlap: where a page has many, ranges are cut into disjoint ones first, of which it has a few.
+    nor with how many overlap: where a page has many, ranges are cut into disjoint ones first, of which a point is in one
+    at most, the last that starts before it.
     Starts, ends and points are signed 64-bit numbers; null ones, and ranges that end before they start, hold nothing.
     """
     kept = ranges.where(F.col("end") > F.col("start")).select(
         *scope, "start", "end", F.struct(*dict.fromkeys(["start", "end", *payload])).alias("_range")
     )
-    pages = _pages(kept, scope)
-    if max(pages.values(), default=0) > CROWDED:
-        kept = materialized(_disjoint(kept, scope))
-        pages = _pages(kept, scope)
+    sizes = _sizes(kept, scope)
+    if max((most for most, _ in sizes.values()), default=0) > CROWDED:
+        found = _as_of(points, materialized(_disjoint(kept, scope)), scope, point)
+    else:
+        found = _paged(points, kept, scope, point, sizes)
+    return found.select(
+        *points.columns, F.col("_range").isNotNull().alias("found"), *[F.col(f"_range.{c}").alias(c) for c in payload]
+    )
+
+
+def _paged(points: DataFrame, kept: DataFrame, scope: list[str], point: str, sizes: dict[int, tuple[int, int]]) -> DataFrame:
+    """``points`` with the ``_range`` of the range that holds each, found in the pages."""
     listed = _listed(kept).select(
         *[F.col(c).alias(f"_s_{c}") for c in scope], "_level", "_p", F.col("start").alias("_from"), F.col("end").alias("_to"), "_range"
     )
     at = F.col(point)
-    probes = points.withColumn("_at_level", F.explode(F.array(*map(F.lit, sorted(pages))).cast("array<int>")))
+    probes = points.withColumn("_at_level", F.explode(F.array(*map(F.lit, sorted(sizes))).cast("array<int>")))
     inside = reduce(
         lambda a, b: a & b,
         [
@@ -109,10 +142,8 @@ def range_lookup(points: DataFrame, ranges: DataFrame, scope: list[str], point:
             at < F.col("_to"),
         ],
     )
-    hits = probes.join(listed, inside).select(*points.columns, "_range")
+    side = _joined_with(listed, sum(rows for _, rows in sizes.values()))
+    hits = probes.join(side, inside).select(*points.columns, "_range")
     none = F.lit(None).cast(hits.schema["_range"].dataType)
     both = hits.unionByName(points.withColumn("_range", none))
-    found = both.groupBy(*points.columns).agg(_first_of(F.col("_range").isNotNull()))
-    return found.select(
-        *points.columns, F.col("_range").isNotNull().alias("found"), *[F.col(f"_range.{c}").alias(c) for c in payload]
-    )
+    return both.groupBy(*points.columns).agg(_first_of(F.col("_range").isNotNull()))

@@ -60,6 +60,22 @@ def test_nested_ranges_meet_no_point_each(spark, monkeypatch):
     assert found.where("id = greatest(-at, at + 1)").count() == 6000
 
 
+def test_many_ranges_are_never_broadcast(spark, monkeypatch):
+    """Their files are small and their rows are not: neither the blocks of nested ranges nor the ranges in pages go through
+    the driver, and points look for one of the cut ranges only."""
+    plans, written = [], ranges.materialized
+    monkeypatch.setattr(ranges, "materialized", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df))
+    monkeypatch.setattr(ranges, "BROADCAST_RANGES", 100, raising=False)
+    points = spark.range(-3000, 3000).select((F.col("id") % 2).alias("s"), F.col("id").alias("at")).unionByName(spark.createDataFrame([(None, 1), (1, None)], "s long, at long"))
+    for width in (F.col("id"), F.lit(1).cast("bigint")):
+        held = spark.range(1, 3001).select(F.lit(1).cast("bigint").alias("s"), (-width).alias("start"), F.col("id").alias("end"), "id")
+        held = held.unionByName(held.withColumn("s", F.lit(None).cast("bigint")))
+        found = ranges.range_lookup(points, held, ["s"], "at", ["start", "id"])
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        assert found.count() == 6002 and found.where("found and s is null").isEmpty() and not found.where("found").isEmpty()
+    assert not any("BroadcastHashJoin" in p for p in plans) and not any("_at_level" in p for p in plans)
+
+
 def test_wide_ranges_of_many_suppliers(spark, tmp_path):
     spark.range(8000).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
     found = derived.wide_ranges(spark, str(tmp_path))
