@@ -1,6 +1,8 @@
 """Results that do not depend on how large a table is: what larger inputs than the test tables bring about."""
 
+import pathlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from profspark.operators import hot, intervals, process, ranges, spans, symbols
 from profspark.plans import tracks
-from profspark.sources import derived
+from profspark.sources import derived, events
 from profspark.streaming import fold, steps
 
 SF = "/root/testdata/sf0.001"
@@ -189,3 +191,45 @@ def test_joins_with_a_dictionary_get_tasks_by_rows(spark, monkeypatch):
             assert (found.rdd.getNumPartitions() >= 30) == (most == 100)
         finally:
             spark.conf.unset(hot.GROUP_ROWS)
+
+
+def _shuffle_files(spark):
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_") and n.endswith(".data")}
+
+
+def test_shuffles_of_written_tables_go_with_the_writing(spark):
+    before = _shuffle_files(spark)
+    kept = hot.materialized(spark.range(10_000).repartition(4, "id").groupBy(F.col("id") % 1000).count())
+    for _ in range(100):  # the files go in the background
+        if not _shuffle_files(spark) - before:
+            break
+        time.sleep(0.1)
+    assert not _shuffle_files(spark) - before and kept.count() == 1000
+    assert spark.conf.get(hot.CLEANUP) == "false"
+
+
+@pytest.mark.parametrize("report", [False, True])
+def test_a_batch_keeps_nothing_but_its_output_and_state(spark, tmp_path, monkeypatch, report):
+    """Its tables go when it ends, and rows that are of no process, for the rejects all plain ones, look for no span."""
+    looked, lookup = [], spans.lookup
+    monkeypatch.setattr(spans, "lookup", lambda rows, i, payload, *a, **k: (looked.append(rows.count()) if payload == ["top"] else None) or lookup(rows, i, payload, *a, **k))
+    tables = lambda: set(pathlib.Path(hot.shared_dir(spark)).glob("table-*"))
+    folded, before = fold.Fold(steps.collect_step(report=report), str(tmp_path)), tables()
+    raw = derived.raw(spark, SF)
+    plain = []
+    for i in range(2):
+        part = raw.where(f"seq div 10000 % 2 = {i}")
+        plain.append(part.where(F.col("type").isin(derived.PLAIN_TYPES)).count())
+        folded(part, i)
+    assert tables() == before and not list((tmp_path / "work").glob("*"))
+    assert len(looked) == 2 and all(n < p * (0.1 if report else 0.9) for n, p in zip(looked, plain, strict=True))
+
+
+def test_a_replayed_batch_is_several_files(spark, tmp_path):
+    """As many as there are partitions for it, so that no task sorts or writes a whole batch; none comes before its turn."""
+    rows = spark.range(10_000).select((F.col("id") * 7 % 10_000).alias("seq"))
+    stream, seen = events.replay_stream(rows, "seq", f"{tmp_path}/in", 3), []
+    query = stream.writeStream.foreachBatch(lambda df, i: seen.append(sorted(r.seq for r in df.collect()))).option("checkpointLocation", f"{tmp_path}/c")
+    query.trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == 3 and sum(seen, []) == list(range(10_000)) and len(list((tmp_path / "in").glob("part-*"))) == 6
