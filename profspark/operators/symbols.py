@@ -21,6 +21,8 @@ Run = tuple[str, ...]
 TASK_ADDRESSES = 100_000
 # Call paths of at most so many frames in all, some MB, are broadcast to the events.
 BROADCAST_FRAMES = 200_000
+# Events of more raw rows than this are written before their call paths are joined by shuffles.
+WRITTEN_ROWS = 5_000_000
 
 
 def _since() -> Column:
@@ -131,7 +133,8 @@ def with_call_paths(rows: DataFrame, paths: DataFrame, raw: DataFrame, run: Run
         # Events without a stack carry -1, which may be the largest key of all; it is counted like the others.
         ids = raw.select(*run, "tgid", *version, *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("ustack_id", "kstack_id")])
         hot = hot_keys(ids, keys)
-        rows = spread_join(rows, side, keys, "seq", hot)
+        # The shuffles that made the events are gone by then, and so are those of the join before.
+        rows = spread_join(materialized(rows) if hot.total > WRITTEN_ROWS else rows, side, keys, "seq", hot)
     return rows.withColumns({"ustack": F.coalesce("ustack", none), "kstack": F.coalesce("kstack", none)}).drop(
         "ustack_id", "kstack_id", *version
     )

@@ -233,3 +233,19 @@ def test_a_replayed_batch_is_several_files(spark, tmp_path):
     query = stream.writeStream.foreachBatch(lambda df, i: seen.append(sorted(r.seq for r in df.collect()))).option("checkpointLocation", f"{tmp_path}/c")
     query.trigger(availableNow=True).start().awaitTermination()
     assert len(seen) == 3 and sum(seen, []) == list(range(10_000)) and len(list((tmp_path / "in").glob("part-*"))) == 6
+
+
+@pytest.mark.parametrize("name", ["collected_events", "hot_collected_events"])
+def test_shuffles_of_large_tables_are_not_there_at_once(spark, monkeypatch, name):
+    """Rows with many changes are written between lookups, and shuffles of one go before the next: the same rows, and the
+    lists' windows and the entries are in no plan together."""
+    query = entry.queries()[name]
+    plain = sorted(map(str, query(spark, SF).collect()))
+    monkeypatch.setattr(intervals, "BROADCAST_INTERVALS", 10)
+    monkeypatch.setattr(spans, "WRITTEN_CHANGES", 10)
+    monkeypatch.setattr(symbols, "BROADCAST_FRAMES", 10)
+    monkeypatch.setattr(symbols, "WRITTEN_ROWS", 10)
+    found = query(spark, SF)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "top_after" not in plan and "owner" not in plan
+    assert sorted(map(str, found.collect())) == plain
